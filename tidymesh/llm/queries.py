@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidymesh.llm.byte_bpe import decode_bpe, encode_bpe
 from tidymesh.llm.common import read
 from tidymesh.llm.exact_dedup import exact_dedup
+from tidymesh.llm.packing import pack_documents
 from tidymesh.llm.secret_scan import PATTERNS, find_secrets, spelled
 from tidymesh.llm.sharding import shard_documents
+from tidymesh.llm.warc import round_trip
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tok
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = pack_documents(docs, tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN, content="crc32")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     # one array for all columns, as an expression used twice would scan the text twice
@@ -29,14 +40,30 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("secret_spans")).alias("spans"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tok
+
+    path = tok.path("byte_bpe_multi_50k.tiktoken")
+    coded = decode_bpe(encode_bpe(read(spark, sf_dir, "documents").select("doc_id", "text"), path, tok.PATTERN), path, tok.PATTERN)
+    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -45,4 +72,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.t) AS text_sha256
         FROM documents d JOIN g ON coalesce(d.text, '') = g.t
     """,
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages),
+        f AS (SELECT t, min(page_id) AS first FROM p GROUP BY 1)
+        SELECT p.page_id, p.n AS payload_bytes, sha256(p.t) AS payload_digest,
+            CASE WHEN p.n >= 100 AND f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN p.n >= 100 AND f.first <> p.page_id THEN f.first END AS refers_to
+        FROM p JOIN f ON p.t = f.t
+    """,
 }
