@@ -13,6 +13,7 @@ from tidymesh.llm.exact_dedup import exact_dedup
 from tidymesh.llm.packing import pack_documents
 from tidymesh.llm.secret_scan import PATTERNS, find_secrets, spelled
 from tidymesh.llm.sharding import shard_documents
+from tidymesh.llm.topk_search import top_k
 from tidymesh.llm.warc import round_trip
 
 
@@ -48,6 +49,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tok
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
+    "op9_topk_search": op9_topk_search,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
@@ -80,4 +86,15 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN p.n >= 100 AND f.first <> p.page_id THEN f.first END AS refers_to
         FROM p JOIN f ON p.t = f.t
     """,
+    "op9_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
 }
