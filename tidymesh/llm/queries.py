@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidymesh.llm.byte_bpe import decode_bpe, encode_bpe
 from tidymesh.llm.common import read
 from tidymesh.llm.exact_dedup import exact_dedup
+from tidymesh.llm.jaccard_join import jaccard_components
 from tidymesh.llm.packing import pack_documents
 from tidymesh.llm.secret_scan import PATTERNS, find_secrets, spelled
 from tidymesh.llm.sharding import shard_documents
@@ -17,6 +18,10 @@ from tidymesh.llm.topk_search import top_k
 from tidymesh.llm.warc import round_trip
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(read(spark, sf_dir, "documents"), keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -63,6 +68,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
