@@ -172,7 +172,7 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes lists of texts. Pieces that were met before are looked up; the memo is cleared at ``most`` pieces."""
 
-    def __init__(self, ranks: Ranks, pattern: str, most: int = 400_000) -> None:
+    def __init__(self, ranks: Ranks, pattern: str, most: int = 150_000) -> None:
         self.ranks, self.find, self.most = ranks, regex.compile(pattern).findall, most
         self.clear()
 
@@ -242,6 +242,13 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what is made for a batch takes many times its memory."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     kept = [c for c in batch.schema.names if c != name]
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], names=[*kept, name])
@@ -261,7 +268,7 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             parts = [coder.encode(x) for x in in_chunks(texts)]
             counts = np.concatenate([np.zeros(1, np.int64), *(n for n, _ in parts)])
@@ -276,7 +283,7 @@ def decode_bpe(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = encoder(path, pattern).ranks
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(ids_col).fill_null([])
             ids, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             counts = ranks.lengths[ids]
