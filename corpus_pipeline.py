@@ -5,9 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidymesh.llm.exact_dedup import exact_dedup
+from tidymesh.llm.jaccard_join import jaccard_components
+from tidymesh.llm.packing import pack_documents
+from tidymesh.llm.secret_scan import redact_secrets
+from tidymesh.llm.toxicity import fit_toxicity, score_toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score under 0.3, by a model of the labels."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model, score_col="__score").where("__score < 0.3").drop("__score")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
+    return exact_dedup(docs, keep="largest").where("kept").select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest doc_id."""
+    gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark, and n_chars counted again where the text has changed."""
+    length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return redact_secrets(docs).withColumn("n_chars", length).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids, each with its place in a sequence of at most 1024."""
+    import public_tokenizers as tok
+
+    return pack_documents(docs, tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN)
+
+
+STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("exact dedup", exact), ("n-gram Jaccard join", near), ("secret scan", secrets), ("best-fit packing", packing)]
+#: Training, similarity components and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
