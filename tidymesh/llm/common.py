@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a few short columns that may be broadcast.
+FEW = 50_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,12 +46,14 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: Column, most: int = 1000) -> DataFrame:
-    """Left-join ``groups`` (unique string ``key``, ``size`` rows in each) to ``rows`` without one task per hot key.
+    """Left-join ``groups`` (settled; unique string ``key``, ``size`` rows in each) to ``rows`` without one task per hot key.
 
-    Groups with at least ``n_rows / most`` rows are at most ``most`` in number, whatever the input, so they are
+    Up to FEW groups are broadcast as they are. Of more, those with at least ``n_rows / most`` rows are at most ``most`` in number, whatever the input, so they are
     broadcast; all others meet in a shuffle join, where rows that are already answered are dealt by ``spread``.
     """
     others = [c for c in groups.columns if c != key]
+    if groups.count() <= FEW:
+        return rows.join(F.broadcast(groups), key, "left").select(*rows.columns, *others)
     hot = groups.where(F.col(size) * most >= n_rows).select(F.col(key), F.struct(*others).alias("__hot"))
     cold = groups.where(F.col(size) * most < n_rows).select(F.col(key).alias("__key"), F.struct(*others).alias("__cold"))
     met = rows.join(F.broadcast(hot), key, "left")

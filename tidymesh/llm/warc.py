@@ -7,15 +7,16 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidymesh.llm.common import attach_groups, fresh_path, text_or_empty
+from tidymesh.llm.common import attach_groups, fresh_path, settle, text_or_empty
 
 END = b"\r\n\r\n"
 CHUNK = 64 * 1024
-SEGMENT = 1024 * 1024
-RECORDS_PER_FILE = 64
+SEGMENT = 128 * 1024
+RECORDS_PER_FILE = 512
 
 
 def framed(body: bytes, size: int = CHUNK) -> bytes:
@@ -41,8 +42,9 @@ def unframed(data: bytes) -> bytes:
         at += n + 2
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of each record; the archive may be compressed, as a whole or by record."""
+def records(data: bytes, only: bytes = b"") -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers in lower case, block) of each record whose head contains ``only``; the archive may be compressed, as
+    a whole or by record."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
@@ -51,12 +53,13 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = data[at:end].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/1."):
             raise ValueError(f"no WARC record at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
         start = end + len(END)
         stop = start + int(head["content-length"])
         if data[stop : stop + len(END)] != END:
             raise ValueError(f"the record at byte {at} is cut off")
-        yield head, data[start:stop]
+        if data.find(only, at, end) >= 0:
+            yield head, data[start:stop]
         at = stop + len(END)
 
 
@@ -94,7 +97,7 @@ def segments(page: str | None, target: str | None, uid: str, kind: str, refers:
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 100, segment: int = SEGMENT, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write a record per row of ``pages`` as WARC files in ``path``, any folder that Spark can write to.
+    """Write a record per row of ``pages`` as compressed WARC files in ``path``, any folder that Spark can write to.
 
     The body (null: empty) is put in UTF-8 into a chunked HTTP response. Of rows with equal bodies of at least
     ``least`` bytes, that with the smallest id has the body (so have rows that repeat that id); the others
@@ -104,7 +107,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     given = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), text_or_empty(body_col).cast("string").alias("body"))
     rows = given.withColumn("digest", F.sha2("body", 256)).withColumn("n", F.octet_length("body"))
     groups = rows.where((F.col("n") >= least) & F.col("page").isNotNull()).groupBy("digest").agg(F.count("*").alias("copies"), F.min("page").alias("first")).where("copies > 1")
-    met = attach_groups(rows.drop("n"), groups, "digest", "copies", rows.count(), F.col("page"))
+    met = attach_groups(rows.drop("n"), settle(groups, "copies"), "digest", "copies", rows.count(), F.col("page"))
     revisit = F.col("page").isNotNull() & (F.col("page") != F.col("first"))
     met = met.select("page", F.col("page").cast("string").alias("page_text"), "url", "body", "digest", F.when(revisit, F.col("first").cast("string")).alias("refers"), F.monotonically_increasing_id().alias("row"))
 
@@ -119,66 +122,87 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     # a record is bytes; the writer puts them out as they are, with the separator after each
     written = met.drop("page").mapInPandas(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    written.write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
+    written.write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+PAGE = "page string, record_type string, refers_to string, payload binary, payload_digest string, payload_bytes bigint, url string"
+SEGMENT_ROW = "origin string, number int, total bigint, type string, page string, url string, refers string, digest string, length bigint, block binary"
+
+
+def described(h: dict[str, str]) -> tuple:
+    """(type, page, url, refers, digest, length) of a record's head."""
+    length = int(h["x-payload-length"]) if "x-payload-length" in h else None
+    return h["warc-type"], h.get("x-page-id"), h.get("warc-target-uri"), h.get("x-refers-to-page"), h.get("warc-payload-digest", "").removeprefix("sha256:") or None, length
+
+
+def built(about: tuple, block: bytes, bodies: bool) -> tuple:
+    """A row of PAGE from a whole block: the chunked framing is undone and the digest checked."""
+    kind, page, url, refers, digest, length = about
+    if kind == "revisit":
+        return page, kind, refers, None, digest, length, url
+    head, _, payload = block.partition(END)
+    if b"transfer-encoding: chunked" in head.lower():
+        payload = unframed(payload)
+    own = hashlib.sha256(payload).hexdigest()
+    if digest and own != digest:
+        raise ValueError("the payload's digest is another")
+    return page, kind, refers, payload if bodies else None, own, len(payload), url
+
+
+def table(rows: list[tuple], kind: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64(), "int": pa.int32()}
+    fields = [x.split() for x in kind.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
     """The pages in the archives of ``path``: page (text), record_type, refers_to (text), payload (null for
-    revisits), payload_digest, payload_bytes, url.
+    revisits, and for all without ``bodies``), payload_digest, payload_bytes, url.
 
-    Records of one origin are grouped by its id (the segments of one record, never more), put in order by their
-    numbers and checked against the total length that the last one states; then the chunked framing is undone and
-    the digest checked. A missing, repeated or cut-off segment, or a body of another digest, raises ValueError.
+    Records that are whole are taken where they stand. Segments are grouped by the id of their origin (the segments
+    of one record, never more), put in order by their numbers and checked against the total length that the last
+    one states; then the chunked framing is undone and the digest checked. A missing, repeated or cut-off segment,
+    or a body of another digest, raises ValueError.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    kind = "origin string, number int, total bigint, type string, page string, url string, refers string, digest string, length bigint, block binary"
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for data in frame["content"]:
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                found = records(data.as_py())
+                yield table([built(described(h), block, bodies) for h, block in found if h["warc-type"] in ("response", "revisit") and "warc-segment-number" not in h], PAGE)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
                 rows = []
-                for h, block in records(data):
-                    if h["warc-type"] not in ("response", "revisit", "continuation"):
-                        continue
+                for h, block in records(data.as_py(), b"WARC-Segment-Number"):
                     total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
-                    number = int(h["warc-segment-number"]) if "warc-segment-number" in h else 0
-                    length = int(h["x-payload-length"]) if "x-payload-length" in h else None
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                    rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), number, total, h["warc-type"], h.get("x-page-id"), h.get("warc-target-uri"), h.get("x-refers-to-page"), digest, length, block))
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in kind.split(", ")]).astype({"total": "Int64", "length": "Int64"})
-
-    found = files.mapInPandas(parse, kind)
-    whole = found.where("number = 0").select("type", "page", "url", "refers", "digest", "length", F.array(F.struct("number", "total", "block")).alias("parts"))
-    head = {c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in ("type", "page", "url", "refers", "digest", "length")}
-    joined = found.where("number > 0").groupBy("origin").agg(*head.values(), F.array_sort(F.collect_list(F.struct("number", "total", "block"))).alias("parts")).drop("origin")
-    out = "page string, record_type string, refers_to string, payload binary, payload_digest string, payload_bytes bigint, url string"
-
-    def body(kind: str, parts: list, digest: str | None) -> bytes | None:
-        if kind == "revisit":
-            return None
-        numbers, data = [p["number"] for p in parts], b"".join(p["block"] for p in parts)
-        if numbers != [0] and (numbers != list(range(1, len(parts) + 1)) or parts[-1]["total"] != len(data)):
-            raise ValueError(f"segments {numbers} of {len(data)} bytes don't make the record")
-        head, _, payload = data.partition(END)
-        if b"transfer-encoding: chunked" in head.lower():
-            payload = unframed(payload)
-        if digest and hashlib.sha256(payload).hexdigest() != digest:
-            raise ValueError("the payload's digest is another")
-        return payload
-
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            payload = [body(k, p, d) for k, p, d in zip(f["type"], f["parts"], f["digest"])]
-            digest = [d if p is None else hashlib.sha256(p).hexdigest() for p, d in zip(payload, f["digest"])]
-            n = [int(x) if p is None else len(p) for p, x in zip(payload, f["length"])]
-            yield pd.DataFrame({"page": f["page"], "record_type": f["type"], "refers_to": f["refers"], "payload": payload, "payload_digest": digest, "payload_bytes": n, "url": f["url"]})
-
-    return whole.unionByName(joined).mapInPandas(build, out)
-
-
-def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", path: str | None = None) -> DataFrame:
+                    rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["warc-segment-number"]), total, *described(h), block))
+                yield table(rows, SEGMENT_ROW)
+
+    names = ("type", "page", "url", "refers", "digest", "length")
+    head = [F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in names]
+    parts = files.mapInArrow(pieces, SEGMENT_ROW).groupBy("origin").agg(*head, F.array_sort(F.collect_list(F.struct("number", "total", "block"))).alias("parts")).drop("origin")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                r = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                numbers, data = [p["number"] for p in r["parts"]], b"".join(p["block"] for p in r["parts"])
+                if numbers != list(range(1, len(numbers) + 1)) or r["parts"][-1]["total"] != len(data):
+                    raise ValueError(f"segments {numbers} of {len(data)} bytes don't make the record")
+                rows.append(built(tuple(r[c] for c in names), data, bodies))
+            yield table(rows, PAGE)
+
+    return files.mapInArrow(wholes, PAGE).unionByName(parts.mapInArrow(join, PAGE))
+
+
+def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", path: str | None = None, bodies: bool = True) -> DataFrame:
     """Write ``pages`` to archives in ``path`` (in the shared folder, if none is given) and read them back, the ids in their own type."""
     path = path or fresh_path(pages.sparkSession, "warc")
     write_warc(pages, path, id_col, url_col, body_col)
-    back, kind = read_warc(pages.sparkSession, path), pages.schema[id_col].dataType
+    back, kind = read_warc(pages.sparkSession, path, bodies), pages.schema[id_col].dataType
     return back.withColumn(id_col, F.col("page").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
