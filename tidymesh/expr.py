@@ -14,6 +14,7 @@ import operator
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,11 +123,17 @@ def depth(x: Any) -> int:
     return ROW
 
 
+#: What some row-wise functions do on plain numbers and arrays, so that models run on the driver too.
+_NUMERIC = {name: getattr(np, name) for name in ("abs", "sin", "cos", "tan", "log", "exp", "sqrt", "floor", "ceil", "round")} | {"pow": np.power}
+
+
 def scalar(fun: Callable[..., Column]) -> Callable[..., Any]:
     """A function of columns and plain values as one of expressions too; without any expression it runs at once."""
 
     def call(*args: Any, **kw: Any) -> Any:
         every = [*args, *kw.values()]
+        if args and all(isinstance(x, (int, float, np.ndarray, np.generic)) for x in args) and fun.__name__ in _NUMERIC:
+            return _NUMERIC[fun.__name__](*args, **kw)
         if not any(deferred(x) for x in every):
             return fun(*args, **kw)
         return Expr(lambda ctx: fun(*(ctx.column(x) for x in args), **{k: ctx.column(x) for k, x in kw.items()}), max(map(depth, every)))

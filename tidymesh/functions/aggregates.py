@@ -317,7 +317,11 @@ def _value_place(frame, c: Column) -> Column:
 
 
 def _index_column(n: Column, m: int, j: int, prob: float, up: bool) -> Column:
-    """The index for a column of sample sizes: the same sum as _order_statistic, by an array of n + 1 terms."""
+    """The index for a column of sample sizes: the same sum as _order_statistic, by an array of n + 1 terms; for one new
+    value, in closed form."""
+    if m == 1:
+        at = F.greatest(F.ceil(prob * (n + 1) - 1 - 1e-9), F.lit(0)).cast("long")
+        return at + 1 if up else at
 
     def term(k: Column) -> Column:
         def lg(x: Any) -> Column:
@@ -347,19 +351,17 @@ def _at_index(c: Column, place: Column, index: Column) -> Column:
 
 
 @aggregate
-def _known(c: Column) -> Column:
-    return F.count(F.lit(1))
+def _index(c: Column, m: int, j: int, prob: float, up: bool) -> Column:
+    return _index_column(F.count(F.lit(1)), m, j, prob, up)
 
 
 def pint_lo(x: Any, m: int = 1, j: int = 1, alpha: float = 0.005) -> Expr:
     """Lower prediction bound without a law: an order statistic of the group; missing where the group is too small."""
-    index = scalar(lambda n: _index_column(n, m, j, alpha, False))(_known(x))
-    return _at_index(x, _value_place(x), index)
+    return _at_index(x, _value_place(x), _index(x, m, j, alpha, False))
 
 
 def pint_up(x: Any, m: int = 1, j: int = 1, alpha: float = 0.005) -> Expr:
-    index = scalar(lambda n: _index_column(n, m, j, 1 - alpha, True))(_known(x))
-    return _at_index(x, _value_place(x), index)
+    return _at_index(x, _value_place(x), _index(x, m, j, 1 - alpha, True))
 
 
 @aggregate
