@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tidymesh.llm.common import attach_groups, settle
 
-CHUNK = 8_000_000
+#: Bytes of text that are hashed at once, and of whose sets a run is made.
+CHUNK, RUN = 1_000_000, 16_000_000
 #: An n-gram in this share of the documents is frequent; their number is at most MOST_FREQUENT.
 FREQUENT = 1 / 256
 MOST_FREQUENT = 200_000
@@ -100,19 +101,37 @@ def chunks(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.Array, np.ndarray
         at = to
 
 
+def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """As chunks, many put together."""
+    held, size = [], 0
+    for batch in batches:
+        for x in chunks(batch, n):
+            held.append(x)
+            size += len(x[2])
+            if 6 * size > RUN:
+                yield together(held)
+                held, size = [], 0
+    if held:
+        yield together(held)
+
+
+def together(held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    ids, sizes, sets = zip(*held)
+    return pa.concat_arrays(ids), np.concatenate(sizes), np.concatenate(sets)
+
+
 def survey(docs: DataFrame, n: int) -> DataFrame:
     """Rows (id, n) for each document, and rows (gram, seen) for n-grams that are frequent in their chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, sizes, sets in chunks(batch, n):
-                grams, seen = np.unique(sets, return_counts=True)
-                often = seen >= max(4, len(ids) * FREQUENT / 2)
-                grams, seen = grams[often].view(np.int64), seen[often]
-                blank, none = pa.nulls(len(grams), ids.type), pa.nulls(len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([ids, blank]), pa.concat_arrays([pa.array(sizes), pa.nulls(len(grams), pa.int64())]), pa.concat_arrays([none, pa.array(grams)]), pa.concat_arrays([none, pa.array(seen)])], names=["id", "n", "gram", "seen"]
-                )
+        for ids, sizes, sets in runs(batches, n):
+            grams, seen = np.unique(sets, return_counts=True)
+            often = seen >= max(4, len(ids) * FREQUENT / 2)
+            grams, seen = grams[often].view(np.int64), seen[often]
+            blank, none = pa.nulls(len(grams), ids.type), pa.nulls(len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([ids, blank]), pa.concat_arrays([pa.array(sizes), pa.nulls(len(grams), pa.int64())]), pa.concat_arrays([none, pa.array(grams)]), pa.concat_arrays([none, pa.array(seen)])], names=["id", "n", "gram", "seen"]
+            )
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, gram bigint, seen bigint")
 
@@ -128,22 +147,21 @@ PART = "part int, heavy boolean, ids binary, sizes binary, counts binary, grams
 def fragments(docs: DataFrame, n: int, frequent: np.ndarray, number: int) -> DataFrame:
     """Each chunk's sets cut into ``number`` ranges of hashes, a row for each; frequent n-grams apart (heavy)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for ids, sizes, sets in chunks(batch, n):
-                key, owner = ids.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
-                at = np.minimum(np.searchsorted(frequent, sets), max(0, len(frequent) - 1))
-                often = frequent[at] == sets if len(frequent) else np.zeros(len(sets), bool)
-                rows = []
-                if often.any():
-                    counts = np.bincount(owner[often], minlength=len(sizes))
-                    rows.append(part(int(key[0]) % number, True, key, sizes, counts, sets[often] & LOW | np.uint64(TOP_CLASS << CLASS_BITS)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sizes, sets in runs(batches, n):
+            key, owner = ids.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            at = np.minimum(np.searchsorted(frequent, sets), max(0, len(frequent) - 1))
+            often = frequent[at] == sets if len(frequent) else np.zeros(len(sets), bool)
+            rows = []
+            if often.any():
+                counts = np.bincount(owner[often], minlength=len(sizes))
+                rows.append(part(int(key[0]) % number, True, key, sizes, counts, sets[often] & LOW | np.uint64(TOP_CLASS << CLASS_BITS)))
                 sets, owner = sets[~often], owner[~often]
-                where = ((sets >> np.uint64(32)) * np.uint64(number) >> np.uint64(32)).astype(np.int32)
-                order = np.argsort(where.astype(np.uint16) if number < 65_536 else where, kind="stable")
-                for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else []:
-                    rows.append(part(int(where[own[0]]), False, key, sizes, np.bincount(owner[own], minlength=len(sizes)), sets[own]))
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[x.split()[0] for x in PART.split(", ")]).astype({"part": "int32", "heavy": bool}), preserve_index=False)
+            where = ((sets >> np.uint64(32)) * np.uint64(number) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(where.astype(np.uint16) if number < 65_536 else where, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else []:
+                rows.append(part(int(where[own[0]]), False, key, sizes, np.bincount(owner[own], minlength=len(sizes)), sets[own]))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[x.split()[0] for x in PART.split(", ")]).astype({"part": "int32", "heavy": bool}), preserve_index=False)
 
     return docs.mapInArrow(run, PART)
 
