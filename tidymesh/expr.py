@@ -110,11 +110,6 @@ def as_column(x: Any) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, which keeps long formulas from being spelled out again and again."""
-    return F.transform(F.array(value), use)[0]
-
-
 def depth(x: Any) -> int:
     if isinstance(x, Expr):
         return x._depth

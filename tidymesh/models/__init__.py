@@ -1,0 +1 @@
+"""Models: functions, bounds and laws, their evaluation and fits."""

@@ -151,7 +151,9 @@ def uniform(index: Column, seed: int, name: str) -> Column:
 class Copula:
     """How uniform numbers become the joint law of quantile levels."""
 
-    def sample(self, index: Column, seed: int, var: list[str]) -> dict[str, Column]:
+    def sample(self, df: DataFrame, seed: int, var: list[str]) -> DataFrame:
+        """Uniform columns __u:name become levels of that name; each step is a projection of its own, so that what it
+        needs several times is there as a column."""
         raise NotImplementedError
 
     def d(self, u: dict[str, Any]) -> Any:
@@ -162,8 +164,8 @@ class Copula:
 class CopulaIndependence(Copula):
     var_rand: tuple[str, ...] = ()
 
-    def sample(self, index: Column, seed: int, var: list[str]) -> dict[str, Column]:
-        return {v: uniform(index, seed, v) for v in var}
+    def sample(self, df: DataFrame, seed: int, var: list[str]) -> DataFrame:
+        return df
 
     def d(self, u: dict[str, Any]) -> Any:
         return 1.0
@@ -191,12 +193,14 @@ class CopulaGaussian(Copula):
     def root(self, var: list[str]) -> np.ndarray:
         return np.linalg.cholesky(self.matrix(var))
 
-    def sample(self, index: Column, seed: int, var: list[str]) -> dict[str, Column]:
+    def sample(self, df: DataFrame, seed: int, var: list[str]) -> DataFrame:
         from tidymesh.functions.scalar import pnorm, qnorm
 
-        z = [qnorm(uniform(index, seed, v)) for v in var]
         low = self.root(var)
-        return {v: pnorm(sum((z[j] * float(low[i, j]) for j in range(i + 1) if low[i, j]), F.lit(0.0))) for i, v in enumerate(var)}
+        df = df.withColumns({f"__z:{v}": qnorm(F.col(f"`__u:{v}`")) for v in var})
+        mixed = {f"__z:{v}'": sum((F.col(f"`__z:{var[j]}`") * float(low[i, j]) for j in range(i + 1) if low[i, j]), F.lit(0.0)) for i, v in enumerate(var)}
+        df = df.withColumns(mixed).drop(*(f"__z:{v}" for v in var))
+        return df.withColumns({f"__u:{v}": pnorm(F.col(f"`__z:{v}'`")) for v in var}).drop(*mixed)
 
     def d(self, u: dict[str, Any]) -> Any:
         from tidymesh.models.marginals import _of
@@ -228,10 +232,13 @@ class Density:
             out = m.d(x[v]) * out
         return out
 
-    def sample(self, index: Column, seed: int) -> dict[str, Column]:
+    def sample(self, df: DataFrame, index: str, seed: int) -> DataFrame:
+        """``df`` plus a draw of each random input, by the row's ``index``."""
         if self.copula is None:
             raise ValueError("a density without a copula can't be sampled; comp_copula_independence sets one")
-        return self.pr2sample(self.copula.sample(index, seed, list(self.marginals)))
+        names = list(self.marginals)
+        df = self.copula.sample(df.withColumns({f"__u:{v}": uniform(F.col(index), seed, v) for v in names}), seed, names)
+        return df.withColumns({v: self.marginals[v].q(F.col(f"`__u:{v}`")) for v in names}).drop(*(f"__u:{v}" for v in names))
 
 
 @dataclass(frozen=True)
