@@ -127,16 +127,16 @@ def dnorm(x: Column) -> Column:
 
 
 def _upper_tail(x: Column) -> Column:
-    """Upper tail of the normal law for x >= 0: a rational approximation (relative error about 1e-14), further out a
+    """Upper tail of the normal law for x >= 0: a rational approximation (relative error under 1e-12), further out a
     continued fraction."""
     # fixed values: the coefficients of the approximation
     top = _poly(x, [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376])
     low = _poly(x, [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752])
     rest = x
-    for k in range(14, 0, -1):
+    for k in range(30, 0, -1):
         rest = x + k / rest
     density = F.exp(-x * x / 2)
-    return F.when(x < 7.07106781186547, density * top / low).otherwise(density / math.sqrt(2 * math.pi) / F.greatest(rest, F.lit(1.0)))
+    return F.when(x < 4, density * top / low).otherwise(density / math.sqrt(2 * math.pi) / F.greatest(rest, F.lit(1.0)))
 
 
 def _poly(x: Column, coefficients: list[float]) -> Column:
