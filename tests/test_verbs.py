@@ -111,6 +111,27 @@ def test_order_and_rows(spark):
     assert [r[1] for r in rows(flags >> tm.tf_mutate(c=tm.consec(X.b, i=3)), "i", "c")] == [False] * 3 + [True] * 3 + [False] * 3
 
 
+def test_running_over_all_rows(spark, monkeypatch):
+    """Without groups, rows run in blocks; the results are those of one window."""
+    from tidymesh.functions import windows
+
+    monkeypatch.setattr(windows, "BLOCK", 7)
+    values = [None if i % 11 == 3 else float((i * 37) % 23 - 9) for i in range(60)]
+    t = tm.as_table(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").repartition(5), ["i"])
+    got = rows(t >> tm.tf_mutate(s=tm.cumsum(X.v), m=tm.cummean(X.v), hi=tm.cummax(X.v), lo=tm.cummin(X.v), p=tm.cumprod(X.v / 9), some=tm.cumany(X.v > 12), every=tm.cumall(X.v > -9), d=tm.cumsum(X.v - tm.mean(X.v))))
+    seen = []
+    mean = statistics.mean(v for v in values if v is not None)
+    for (i, v, s, m, hi, lo, p, some, every, d), want in zip(sorted(got), values):
+        assert v == want
+        if v is None:
+            assert (s, m, hi, lo, p, some, every, d) == (None,) * 8
+            continue
+        seen.append(v)
+        assert s == pytest.approx(sum(seen)) and m == pytest.approx(sum(seen) / len(seen)) and (hi, lo) == (max(seen), min(seen))
+        assert p == pytest.approx(math.prod(x / 9 for x in seen)) and some == any(x > 12 for x in seen) and every == all(x > -9 for x in seen)
+        assert d == pytest.approx(sum(x - mean for x in seen), abs=1e-9)
+
+
 def test_aggregates_on_literals(spark):
     df = tm.df_make(x=[0, 1] * 5, y=[-1.0, -1.0, 0.0, 1.0, 1.0] * 2)
     z = statistics.NormalDist().inv_cdf(0.995)

@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidymesh.expr import Expr, aggregate, as_column, scalar, window
+from tidymesh.expr import WINDOW, Context, Expr, aggregate, as_column, scalar, temporary, window
+from tidymesh.plans.rowindex import with_row_index
 
 
 def _z(alpha: float) -> float:
@@ -94,10 +95,28 @@ def last(x: Any, order_by: Any = None) -> Expr:
 
 
 @window
-def _place(frame, keys: Any) -> Column:
+def _place_in_group(frame, keys: Any) -> Column:
     return F.row_number().over(frame.by(*_order(frame, keys)))
 
 
+def place(keys: Any = None) -> Expr:
+    """Each row's place in its group, from 1, in row order or in that of ``keys``; over a whole table without one task
+    for all rows."""
+    grouped = _place_in_group(keys)
+
+    def build(ctx: Context) -> Column:
+        if ctx.groups:
+            return grouped._build(ctx)
+        row = ctx.row()
+        wanted = keys if isinstance(keys, list) else [keys]
+        order = list(ctx.order) if keys is None else [as_column(row.hoisted(k)) for k in wanted]
+        name = temporary()
+        row.df = with_row_index(row.flush(), order, name)
+        return F.col(name) + 1
+
+    return Expr(build, WINDOW)
+
+
 @aggregate
 def _at(c: Column, place: Column, i: int) -> Column:
     if i >= 0:
@@ -109,7 +128,7 @@ def _at(c: Column, place: Column, i: int) -> Column:
 
 def nth(x: Any, n: int, order_by: Any = None) -> Expr:
     """The value at place ``n`` from 0, or from the end below 0; missing outside."""
-    return _at(x, _place(order_by), n)
+    return _at(x, place(order_by), n)
 
 
 @aggregate

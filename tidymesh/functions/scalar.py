@@ -173,14 +173,11 @@ def qnorm(p: Column) -> Column:
     return F.when(p == 0, F.lit(float("-inf"))).when(p == 1, F.lit(float("inf"))).when((p > 0) & (p < 1), inner)
 
 
-@window
-def _spaced(frame, a: Any, b: Any, n: int) -> Column:
-    return as_column(a) + (as_column(b) - as_column(a)) * (F.row_number().over(frame.by(*frame.rows)) - 1) / (n - 1)
-
-
 def linspace(a: Any, b: Any, n: int = 100) -> Any:
     """``n`` evenly spaced numbers, down the rows of a table of ``n`` rows."""
-    return _spaced(a, b, n)
+    from tidymesh.functions.aggregates import place
+
+    return scalar(lambda i: as_column(a) + (as_column(b) - as_column(a)) * (i - 1) / (n - 1))(place())
 
 
 def logspace(a: Any, b: Any, n: int = 100) -> Any:

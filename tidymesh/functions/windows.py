@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidymesh.expr import AGGREGATE, Context, Expr, scalar, temporary, window
 from tidymesh.functions.aggregates import median
+from tidymesh.plans.rowindex import with_row_index
 
 
 @window
@@ -47,22 +48,68 @@ def row_number(frame, c: Column, ascending: bool = True) -> Column:
     return F.when(c.isNotNull(), F.row_number().over(frame.by(_by_value(c, ascending), *frame.rows))).cast("double")
 
 
-def _running(fun: Callable[[Column], Column]) -> Callable[..., Expr]:
+#: Rows in a block of a running function over an ungrouped table.
+BLOCK = 250_000
+
+_Merge = Callable[[Column, Column], Column]
+_SUM: tuple[Callable[[Column], Column], _Merge] = (F.sum, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b))
+_COUNT: tuple[Callable[[Column], Column], _Merge] = (F.count, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+_PRODUCT: tuple[Callable[[Column], Column], _Merge] = (F.product, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a * b))
+
+
+def _in_blocks(ctx: Context, c: Column, parts: list[tuple[Callable[[Column], Column], _Merge]]) -> list[Column]:
+    """Running values over all rows without one task for all: rows get their place, each block of places runs by
+    itself, and what the blocks before have come to (a row for each block) is broadcast and merged in."""
+    value, place, block = temporary(), temporary(), temporary()
+    names = ctx.df.columns
+    df = with_row_index(ctx.flush().withColumn(value, c), ctx.order, place).withColumn(block, F.floor(F.col(place) / BLOCK))
+    v = F.col(value)
+    whole = df.groupBy(block).agg(*(agg(v).alias(f"__p{i}") for i, (agg, _) in enumerate(parts)))
+    before = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(block, *(agg_of(agg)(f"__p{i}").over(before).alias(f"__p{i}") for i, (agg, _) in enumerate(parts)))
+    spec = Window.partitionBy(block).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = [temporary() for _ in parts]
+    met = df.join(F.broadcast(whole), block).withColumns({m: agg(v).over(spec) for m, (agg, _) in zip(made, parts)})
+    met = met.withColumns({m: merge(F.col(f"__p{i}"), F.col(m)) for i, (m, (_, merge)) in enumerate(zip(made, parts))})
+    ctx.df = met.select(*(F.col(f"`{n}`") for n in names), *made)
+    return [F.col(m) for m in made]
+
+
+def agg_of(agg: Callable) -> Callable:
+    """How the blocks' values add up: as the rows' do, but counts are summed."""
+    return F.sum if agg is F.count else agg
+
+
+def _running(fun: Callable[[Column], Column], parts: list | None = None, final: Callable[..., Column] = lambda x: x) -> Callable[..., Expr]:
     @window
     def over(frame, c: Column) -> Column:
         return F.when(c.isNotNull(), fun(c).over(frame.running()))
 
-    return over
+    def call(x: Any) -> Expr:
+        grouped = over(x)
+
+        def build(ctx: Context) -> Column:
+            if ctx.groups or ctx.summary or parts is None:
+                return grouped._build(ctx)
+            name, value = temporary(), ctx.hoisted(x)
+            ctx.df = ctx.flush().withColumn(name, value)
+            got = _in_blocks(ctx, F.col(name), parts)
+            return F.when(F.col(name).isNotNull(), final(*got))
+
+        return Expr(build, grouped._depth)
+
+    call.__name__ = fun.__name__
+    return call
 
 
-cumsum = _running(F.sum)
-cummean = _running(F.avg)
+cumsum = _running(F.sum, [_SUM])
+cummean = _running(F.avg, [_SUM, _COUNT], lambda s, n: s / n)
 cumsd = _running(F.stddev_samp)
-cummax = _running(F.max)
-cummin = _running(F.min)
-cumprod = _running(F.product)
-cumany = _running(F.bool_or)
-cumall = _running(F.bool_and)
+cummax = _running(F.max, [(F.max, F.greatest)])
+cummin = _running(F.min, [(F.min, F.least)])
+cumprod = _running(F.product, [_PRODUCT])
+cumany = _running(F.bool_or, [(F.bool_or, lambda a, b: F.greatest(a, b))])
+cumall = _running(F.bool_and, [(F.bool_and, lambda a, b: F.least(a, b))])
 
 
 @window
