@@ -11,6 +11,7 @@ from tidymesh.llm.byte_bpe import decode_bpe, encode_bpe
 from tidymesh.llm.common import read
 from tidymesh.llm.exact_dedup import exact_dedup
 from tidymesh.llm.jaccard_join import jaccard_components
+from tidymesh.llm.line_dedup import dedup_lines
 from tidymesh.llm.packing import pack_documents
 from tidymesh.llm.secret_scan import PATTERNS, find_secrets, spelled
 from tidymesh.llm.sharding import shard_documents
@@ -26,6 +27,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -77,6 +83,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -88,6 +95,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        a AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM d),
+        tk AS (SELECT doc_id, line, place, list_filter(string_split(line, ' '), lambda t: t <> '') AS ts FROM a),
+        lf AS (SELECT doc_id, line, ts, len(ts) || ' ' || array_to_string(list_transform(ts[1:2], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '*' ELSE t END), ' ') AS leaf FROM tk WHERE len(ts) >= 3),
+        u AS (SELECT leaf, line, any_value(ts) AS ts, count(DISTINCT doc_id) AS c FROM lf GROUP BY 1, 2),
+        cell AS (SELECT leaf, line, c, unnest(ts) AS token, generate_subscripts(ts, 1) AS i FROM u),
+        sup AS (SELECT leaf, i, token, sum(c) AS s FROM cell GROUP BY 1, 2, 3),
+        tm AS (
+            SELECT leaf, line, string_agg(CASE WHEN s >= 4 THEN cell.token ELSE '<*>' END, ' ' ORDER BY cell.i) AS template FROM cell JOIN sup USING (leaf, i, token)
+            GROUP BY 1, 2 HAVING sum((s >= 4)::INT) >= 0.6 * count(*)
+        ),
+        td AS (SELECT DISTINCT lf.doc_id, leaf, line, template FROM lf JOIN tm USING (leaf, line)),
+        rec AS (SELECT template, min(doc_id) AS first FROM td GROUP BY 1 HAVING count(DISTINCT doc_id) >= 4),
+        gone AS (SELECT DISTINCT doc_id, line FROM td JOIN rec USING (template) WHERE doc_id <> first),
+        kept AS (SELECT tk.doc_id, place, tk.line, gone.line IS NOT NULL AS dropped FROM tk LEFT JOIN gone ON tk.doc_id = gone.doc_id AND tk.line = gone.line)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS text_sha256 FROM kept GROUP BY 1
+    """,
     "op4_exact_dedup": """
         WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.t) AS text_sha256
