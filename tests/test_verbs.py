@@ -221,6 +221,17 @@ def test_selection(spark):
     assert (df >> chain).columns == ["a1", "z"]
 
 
+def test_functions_of_ones_own(spark):
+    from tidymesh import api
+
+    double = api.make_symbolic(lambda c: c * 2)
+    spread = api.aggregate(lambda c: F.max(c) - F.min(c))
+    df = tm.df_make(g=["a", "a", "b"], v=[1.0, 4.0, 7.0])
+    assert rows(df >> api.tf_group_by("g") >> api.tf_summarize(s=spread(double(X.v)))) == [("a", 6.0), ("b", 0.0)]
+    assert rows(df >> api.tf_group_by("g") >> api.tf_apply(lambda f: f.assign(v=f.v.sum()), "g string, v double")) == [("a", 5.0), ("a", 5.0), ("b", 7.0)]
+    assert len(rows(df >> api.tf_apply(lambda f: f.head(1), "g string, v double"))) >= 1
+
+
 def test_transforms(spark):
     v = tm.df_make(x0=[1.0, 2.0, 3.0], x1=[1.0, 2.0, 3.0])
     lam = col(v >> st.tf_pca(), "lam")

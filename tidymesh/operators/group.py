@@ -82,5 +82,20 @@ def tran_describe(df: Table) -> Table:
     return Table(wide.select(rows.alias("r")).select("r.statistic", *(F.col("r.v")[c].alias(c) for c in names)))
 
 
+@verb
+def tran_apply(df: Table, fun: Callable[[Any], Any], schema: str) -> Table:
+    """A Python function of each group's rows as a pandas frame, for what no expression can say; ``schema``: what it gives.
+    A group must fit a worker. Without groups, the function gets the rows in batches."""
+    if df.groups:
+        return Table(df.df.groupBy(*quoted(df.groups)).applyInPandas(fun, schema))
+
+    def run(frames: Any) -> Any:
+        for f in frames:
+            yield fun(f)
+
+    return Table(df.df.mapInPandas(run, schema))
+
+
+tf_apply = add_pipe(tran_apply)
 tf_group_by, tf_ungroup, tf_summarize, tf_summarize_each, tf_count, tf_describe = map(add_pipe, (tran_group_by, tran_ungroup, tran_summarize, tran_summarize_each, tran_count, tran_describe))
 tran_summarise, tf_summarise = tran_summarize, tf_summarize
