@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidymesh.llm.byte_bpe import load_ranks
-from tidymesh.llm.common import number_within, settle
+from tidymesh.llm.byte_bpe import load_ranks, slices
+from tidymesh.llm.common import modest_batches, number_within, release, settle
 
 Filling = tuple[int, ...]
 Pattern = tuple[Filling, int]
@@ -52,13 +52,24 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return list(bins.items())
 
 
-def fillings(left: np.ndarray, room: int, waste: int, most: int, steps: int = 20_000) -> list[Filling]:
+def fillings(left: np.ndarray, room: int, waste: int, most: int, steps: int = 4_000) -> list[Filling]:
     """Undominated fillings of ``room`` that waste at most ``waste``, the least waste and the fewest items first.
 
     ``left``: how many items there are of each size. A filling to which another item could be added, or of whose
     items some could be changed for one as large as they are together, is dominated: items are taken from the
     largest down, fillings with fewer items come first, and of equal sums only the first is kept.
     """
+    if room <= 0:
+        return [()]
+    if left[room]:
+        return [(room,)]
+    low = np.arange(1, (room + 1) // 2)
+    pairs = low[(left[low] > 0) & (left[room - low] > 0)]
+    found_pairs = [(room - int(x), int(x)) for x in pairs[:most]]
+    if room % 2 == 0 and left[room // 2] > 1:
+        found_pairs.append((room // 2, room // 2))
+    if found_pairs:
+        return found_pairs[:most]
     found: dict[int, Filling] = {}
     sizes = [int(x) for x in np.flatnonzero(left[: room + 1])[::-1] if x]
     if not sizes:
@@ -101,7 +112,7 @@ def fillings(left: np.ndarray, room: int, waste: int, most: int, steps: int = 20
     return [found[w] for w in sorted(found)][:most]
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000, branches: int = 4) -> list[Pattern]:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, branches: int = 4) -> list[Pattern]:
     """Patterns (sizes in a bin, number of such bins) that hold all items: branch and bound by bin completion.
 
     At each node the largest size left is completed by undominated fillings; the pattern is used as often as its
@@ -158,19 +169,19 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000, bra
     return best
 
 
-def places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each size: the ranks at which runs of its items start, the sequence of the first, and the offset in it."""
+def places(patterns: list[Pattern]) -> dict[int, list[tuple[int, int, int, int]]]:
+    """For each size, runs of its items: (rank of the first, items, sequence of the first, offset in it)."""
     rank: dict[int, int] = {}
-    runs: dict[int, list[tuple[int, int, int]]] = {}
+    runs: dict[int, list[tuple[int, int, int, int]]] = {}
     base = 0
     for filling, n in patterns:
         at = 0
         for s in filling:
-            runs.setdefault(s, []).append((rank.get(s, 0), base, at))
+            runs.setdefault(s, []).append((rank.get(s, 0), n, base, at))
             rank[s] = rank.get(s, 0) + n
             at += s
         base += n
-    return {s: tuple(np.array(x, np.int64) for x in zip(*own)) for s, own in runs.items()}
+    return runs
 
 
 class Tokens:
@@ -184,15 +195,18 @@ class Tokens:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(tokenizer, encoding="utf-8") as f:
             self.added = [x["content"] for x in json.load(f).get("added_tokens", [])]
-        self.full = Tokenizer.from_file(tokenizer)
+        self.tokenizer, self.full = tokenizer, None
         self.quick = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})
 
     def ids(self, text: str) -> list[int]:
         if any(x in text for x in self.added):
+            if self.full is None:  # it takes much memory
+                from tokenizers import Tokenizer
+
+                self.full = Tokenizer.from_file(self.tokenizer)
             return self.full.encode(text, add_special_tokens=False).ids
         return self.quick.encode_ordinary(text)
 
@@ -220,7 +234,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens(tokenizer, ranks, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             owner, piece, start, length, out = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 ids = coder.ids(text.as_py() or "")
@@ -236,6 +250,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacit
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(out, kind)], names=["doc", "piece", "start", "length", name]
             )
+        release()
 
     return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {id_type}, piece int, start bigint, length bigint, {name} {kind}")
 
@@ -253,6 +268,7 @@ def pack_documents(
     Null and empty texts are a document of ``end_id`` alone; repeated rows and null ids are documents of their own;
     an empty table gives an empty result. Only the id is kept of the other columns, so their names can't clash.
     """
+    modest_batches(docs.sparkSession)
     pieces = settle(pieces_of(docs, tokenizer, ranks, pattern, capacity, end_id, id_col, text_col, content), "pieces")
     counts = {int(r.length): int(r["count"]) for r in pieces.groupBy("length").count().collect()}
     runs = places(bin_completion(counts, capacity))
@@ -260,18 +276,9 @@ def pack_documents(
     # ``start`` first: all pieces of one length but a document's first share few values, so the id decides
     ranked = number_within(pieces, "length", F.struct("doc", "start"), "rank", buckets)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for s in np.unique(length):
-                own = length == s
-                first, base, at = runs[int(s)]
-                k = np.searchsorted(first, rank[own], "right") - 1
-                sequence[own], offset[own] = base[k] + rank[own] - first[k], at[k]
-            kept = [c for c in batch.schema.names if c != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    placed = ranked.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+    # a run for each size in each pattern: as few as the layout, so this side is bounded
+    rows = [(size, int(f), int(f) + int(n), int(q), int(at)) for size, own in runs.items() for f, n, q, at in own]
+    table = docs.sparkSession.createDataFrame(rows, "length bigint, __from bigint, __to bigint, __base bigint, offset bigint")
+    met = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("__from")) & (F.col("rank") < F.col("__to")))
+    placed = met.select(*(ranked[c] for c in pieces.columns), (F.col("__base") + F.col("rank") - F.col("__from")).alias("sequence_id"), "offset")
     return placed.withColumnRenamed("doc", id_col)
