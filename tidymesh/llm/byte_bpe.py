@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidymesh.llm.common import modest_batches
+
 NONE = np.int64(1) << 62
 WIDEST = 256
 CHUNK_CHARS = 2_000_000
@@ -275,6 +277,7 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
             ids = np.concatenate([np.zeros(0, np.int32), *(x for _, x in parts)])
             yield _with(batch, ids_col, pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), pa.array(ids, pa.int32())))
 
+    modest_batches(docs.sparkSession)
     return docs.mapInArrow(run, _schema(docs, ids_col, T.ArrayType(T.IntegerType())))
 
 

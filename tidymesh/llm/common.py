@@ -62,6 +62,28 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_row
     return met.select(*rows.columns, *(F.col("__found")[c].alias(c) for c in others))
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in the Arrow batches of this session, unless their number was set: texts are long rows, and a batch is
+    held several times over by the executor and its workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def release() -> None:
+    """Give a worker's unused memory back: workers are kept between tasks, and with them what they once needed."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def number_within(rows: DataFrame, group: str, tie: Column, name: str, buckets: int) -> DataFrame:
     """Add ``name``: the row's place in its ``group``, gapless from 0, with no task per group.
 

@@ -12,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidymesh.llm.common import attach_groups, settle
+from tidymesh.llm.common import attach_groups, modest_batches, release, settle
 
 #: Bytes of text that are hashed at once, and of whose sets a run is made.
-CHUNK, RUN = 1_000_000, 16_000_000
+CHUNK, RUN = 1_000_000, 5_000_000
 #: An n-gram in this share of the documents is frequent; their number is at most MOST_FREQUENT.
 FREQUENT = 1 / 256
 MOST_FREQUENT = 200_000
 #: N-grams in a fragment of the global order, about.
-FRAGMENT = 2_000_000
+FRAGMENT = 1_000_000
 CLASS_BITS, TOP_CLASS = 58, 31
 LOW = np.uint64((1 << CLASS_BITS) - 1)
 
@@ -113,6 +113,7 @@ def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array,
                 held, size = [], 0
     if held:
         yield together(held)
+    release()
 
 
 def together(held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -199,6 +200,7 @@ def shared_grams(parts: DataFrame, number: int) -> DataFrame:
             if len(own):
                 at = np.flatnonzero(np.concatenate([[True], np.diff(ids[own]) != 0]))
                 rows.append((b, False, ids[own][at].tobytes(), sizes[own][at].tobytes(), np.diff(np.append(at, len(own))).tobytes(), grams[own].tobytes()))
+        release()
         return pd.DataFrame(rows, columns=[x.split()[0] for x in PART.split(", ")]).astype({"part": "int32", "heavy": bool})
 
     return parts.groupBy("part").applyInPandas(run, PART)
@@ -360,6 +362,7 @@ def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, n: int = 5,
     Only the id is kept of the other columns, so their names can't clash.
     """
     spark, limit = docs.sparkSession, Limit(num, den)
+    modest_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = settle(survey(rows, n), "survey")
     sizes = seen.where("n IS NOT NULL").select("id", "n")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidymesh.llm.common import modest_batches, release
+
 #: Places, from the first, of the characters of a subsequence: three within five characters, four within five.
 SHAPES = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)]
 DECAY = 0.6
@@ -242,12 +244,13 @@ class Values(dict):
         return math.nan
 
 
-def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", most: int = 400_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", most: int = 150_000) -> DataFrame:
     """``docs`` plus the probability that each whole text is toxic (replaces a column of that name).
 
     Null, empty and blank texts have the probability of a text without words. Each worker keeps the values of up
     to ``most`` words that it has met.
     """
+    modest_batches(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name != score_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +270,8 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_
                 scores.append(model.probability(features(np.fromiter((v for x in got for v in x), float, int(counts.sum())), counts)))
             column = pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), column], names=[*(f.name for f in fields), score_col])
+        del known
+        release()
 
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField(score_col, T.DoubleType())]))
 
