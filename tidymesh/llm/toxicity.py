@@ -19,6 +19,7 @@ from tidymesh.llm.common import modest_batches, release
 SHAPES = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)]
 DECAY = 0.6
 BITS = 18
+WITNESSES = 2
 WIDTH, STEP = 32, 16
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -162,12 +163,12 @@ def features(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], labels: list[int], landmarks: int = 384, words: int = 16_000, rounds: int = 3, seed: int = 1) -> Model:
+def fit(texts: list[str], labels: list[int], landmarks: int = 384, words: int = 8_000, rounds: int = 3, seed: int = 1) -> Model:
     """Train on labelled texts, of which one in four sets the link from values to probabilities.
 
-    A toxic text says not which of its words is toxic, so words stand for their text: each toxic text has the word
-    of the greatest value as its witness, first by the log odds of its subsequences and then by the machine, which
-    is trained again with the new witnesses (``rounds`` times). Words that toxic texts alone use count as well. Landmarks: witnesses, clean words like them, and
+    A toxic text says not which of its words is toxic, so words stand for their text: each toxic text has the words
+    of the greatest values as its witnesses, first by the log odds of its subsequences and then by the machine, which
+    is trained again with the new witnesses (``rounds`` times). Landmarks: witnesses, clean words like them, and
     clean words at random; the kernel with them, whitened, is what the machine sees.
     """
     rng = np.random.default_rng(seed)
@@ -199,14 +200,12 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 384, words: int =
     if not toxic or not len(clean):
         return Model(np.zeros(1 << BITS, np.float32), 0.0, np.zeros(0), float(y.mean()))
     never = seen[0] == 0
-    # words of several toxic texts and no clean one, where chance would have put them in eight or more
-    evident = np.where(never & (seen[1] >= 4) & (seen[1] * (train & (y == 0)).sum() >= 8 * len(toxic)), seen[1], 0)
     value = np.where(never, value, np.minimum(value, 0))
     for r in range(rounds):
-        chosen = np.array([own[np.argmax(value[own])] for own in toxic])
+        chosen = np.concatenate([own[np.argsort(-value[own], kind="stable")[:WITNESSES]] for own in toxic])
         witnesses = np.bincount(chosen[value[chosen] > 0] if (value[chosen] > 0).any() else chosen, minlength=len(value))
-        positive = np.flatnonzero(witnesses + evident)
-        votes = np.maximum(witnesses, evident)[positive]
+        positive = np.flatnonzero(witnesses)
+        votes = witnesses[positive]
         hard = clean[np.argsort(-value[clean], kind="stable")][: words // 2]
         rest = rng.permutation(np.setdiff1d(clean, hard))[: words - len(hard)]
         if r == 0:
@@ -226,6 +225,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 384, words: int =
         table = np.bincount(ids.ravel(), (weights * beta[:, None]).ravel(), 1 << BITS).astype(np.float32)
         value = dot(shown, table) + w[-1]
     model = Model(table, float(w[-1]), np.zeros(0), landmarks=names)
+    del z, shown
     kept = np.flatnonzero(held)
     x = features(model.values([vocabulary[k] for i in kept for k in at[i]]), np.array([len(at[i]) for i in kept]))
     model.link = logistic(x, y[kept])
@@ -292,7 +292,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     # at most 2 * rows ids, so this side is bounded
     found = docs.select(id_col, F.col(text_col).alias("__t")).where(F.length("__t") <= chars).join(F.broadcast(picked), id_col).select(id_col, "__t", "__y").toPandas()
     found = found.sort_values([id_col, "__t"], kind="stable").groupby([id_col, "__y"], sort=False).head(4)
-    return fit(found["__t"].tolist(), found["__y"].tolist())
+    model = fit(found["__t"].tolist(), found["__y"].tolist())
+    release()
+    return model
 
 
 def held_out(id_col: str = "doc_id") -> Column:
