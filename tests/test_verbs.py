@@ -203,6 +203,9 @@ def test_pareto(spark):
     assert [r[1] for r in rows(df >> tm.tf_mutate(p=tm.pareto_min(X.x, X.y)), "i", "p")] == [True, False, True] + [False] * 5
     assert [r[1] for r in rows(df >> pareto.tf_pareto("x", "y"), "i", "optimal")] == [True, False, True] + [False] * 5
     assert [r[1] for r in rows(df >> pareto.tf_stratum("x", "y"), "i", "stratum")] == [1, 2, 1, 2, 3, 2, 3, 4]
+    grouped = df >> tm.tf_mutate(g=X.i * 0) >> tm.tf_group_by("g") >> tm.tf_mutate(p=tm.pareto_min(X.x, X.y))
+    assert [r[1] for r in rows(grouped, "i", "p")] == [True, False, True] + [False] * 5
+    assert rows(df >> tm.tf_mutate(p=tm.pareto_min(X.x, X.y, 1 - X.x)) >> tm.tf_filter(X.p), "i") == [(0,), (1,), (2,)]
     twice = tm.df_make(x=[0, 0, 1], y=[0, 0, 1])
     assert rows(twice >> pareto.tf_pareto("x", "y"), "optimal") == [(False,)] * 3
 

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tidymesh.expr import AGGREGATE, Context, Expr, scalar, temporary, window
+from tidymesh.expr import AGGREGATE, WINDOW, Context, Expr, scalar, temporary, window
 from tidymesh.functions.aggregates import median
 from tidymesh.plans.rowindex import with_row_index
 
@@ -161,37 +161,45 @@ def _dominated(frame, *costs: Column) -> Column:
 
 
 def pareto_min(*costs: Any) -> Expr:
-    """True for rows that no other row of the group matches or betters in all of two costs (copies dominate each other).
+    """True for rows that no other row of the group matches or betters in all costs (copies dominate each other).
 
-    For one cost, or more than two, use tran_pareto: it needs a join.
+    Over a whole table, tasks thin their rows to fronts first; within groups, two costs go by one sorted window.
     """
-    if len(costs) != 2:
-        raise ValueError("pareto_min takes two costs; tran_pareto takes any number")
-    return scalar(lambda d: ~d)(_dominated(*costs))
+
+    def build(ctx: Context) -> Column:
+        if ctx.groups or ctx.summary:
+            if len(costs) != 2:
+                raise ValueError("within groups, pareto_min takes two costs")
+            return ~_dominated(*costs)._build(ctx)
+        from tidymesh.transforms.pareto import thin
+
+        names, values = [temporary() for _ in costs], [ctx.hoisted(c) for c in costs]
+        ctx.df = ctx.flush().withColumns({n: v.cast("double") for n, v in zip(names, values)})
+        best, keys = temporary(), [temporary() for _ in costs]
+        front = thin(ctx.df.select(*names), names).where("__n = 1").select(*(F.col(n).alias(k) for n, k in zip(names, keys)), F.lit(True).alias(best))
+        ctx.df = ctx.df.join(front, [F.col(n) == F.col(k) for n, k in zip(names, keys)], "left").drop(*keys)
+        return F.coalesce(F.col(best), F.lit(False))
+
+    return Expr(build, WINDOW)
 
 
 def fct_reorder(f: Any, x: Any, fun: Callable = median) -> Expr:
-    """The place of a row's level among the levels of ``f``, from 1, by ``fun`` of ``x`` over each level."""
-    return _level_place(f, _level_value(f, x, fun))
+    """The place of a row's level among the levels of ``f``, from 1, by ``fun`` of ``x`` over each level.
 
+    Levels are ranked in a table of their own, a row each, and joined back.
+    """
 
-def _level_value(f: Any, x: Any, fun: Callable) -> Expr:
     def build(ctx: Context) -> Column:
         key, value = ctx.hoisted(f), ctx.hoisted(x)
-        name, level = temporary(), temporary()
-        groups = [F.col(f"`{g}`") for g in ctx.groups]
-        held = ctx.df.groupBy(*groups, key.alias(level))
+        place, level, by = temporary(), temporary(), temporary()
+        keys = [temporary() for _ in ctx.groups]
+        held = ctx.df.where(key.isNotNull()).groupBy(*(F.col(f"`{g}`").alias(k) for g, k in zip(ctx.groups, keys)), key.alias(level))
         inner = Context(ctx.df, [], [], True)
-        found = held.agg(fun(Expr(lambda _: value))._build(inner).alias(name))
-        keys = [temporary() for _ in groups]
-        found = found.select(*(F.col(f"`{g}`").alias(k) for g, k in zip(ctx.groups, keys)), level, name)
-        on = [F.col(f"`{g}`").eqNullSafe(F.col(k)) for g, k in zip(ctx.groups, keys)] + [key.eqNullSafe(F.col(level))]
+        found = held.agg(fun(Expr(lambda _: value))._build(inner).alias(by))
+        spec = Window.partitionBy(*keys).orderBy(F.col(by).asc_nulls_last(), level)
+        found = found.select(*keys, level, F.dense_rank().over(spec).alias(place))
+        on = [F.col(f"`{g}`").eqNullSafe(F.col(k)) for g, k in zip(ctx.groups, keys)] + [key == F.col(level)]
         ctx.df = ctx.flush().join(found, on, "left").drop(*keys, level)
-        return F.col(name)
+        return F.col(place)
 
     return Expr(build, AGGREGATE)
-
-
-@window
-def _level_place(frame, f: Column, value: Column) -> Column:
-    return F.when(f.isNotNull(), F.dense_rank().over(frame.by(value.asc_nulls_last(), f)))
