@@ -132,6 +132,16 @@ def test_running_over_all_rows(spark, monkeypatch):
         assert d == pytest.approx(sum(x - mean for x in seen), abs=1e-9)
 
 
+def test_ranks_and_shifts_over_all_rows(spark):
+    """Without groups they go another way, to the same results as one group of all rows."""
+    values = [None if i % 9 == 4 else float((i * 29) % 11) for i in range(50)]
+    t = tm.as_table(spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "i int, g int, v double").repartition(4), ["i"])
+    made = dict(a=tm.lead(X.v, 2), b=tm.lag(X.v), c=tm.dense_rank(X.v), d=tm.min_rank(X.v, ascending=False), e=tm.percent_rank(X.v), f=tm.row_number(X.v), h=tm.min_rank(X.v + tm.lag(X.v)))
+    assert rows(t >> tm.tf_mutate(**made)) == rows(t >> tm.tf_group_by("g") >> tm.tf_mutate(**made))
+    one = tm.df_make(v=[3.0])
+    assert rows(one >> tm.tf_mutate(p=tm.percent_rank(X.v), l=tm.lag(X.v)), "p", "l") == [(0.0, None)]
+
+
 def test_aggregates_on_literals(spark):
     df = tm.df_make(x=[0, 1] * 5, y=[-1.0, -1.0, 0.0, 1.0, 1.0] * 2)
     z = statistics.NormalDist().inv_cdf(0.995)

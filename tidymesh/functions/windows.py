@@ -13,39 +13,93 @@ from tidymesh.functions.aggregates import median
 from tidymesh.plans.rowindex import with_row_index
 
 
-@window
-def lead(frame, c: Column, i: int = 1) -> Column:
-    return F.lead(c, i).over(frame.by(*frame.rows))
+def _whole(grouped: Expr, x: Any, alone: Callable[[Context, str], Column]) -> Expr:
+    """``grouped`` within groups; over a whole table, ``alone`` with the value as a column of that name."""
+
+    def build(ctx: Context) -> Column:
+        if ctx.groups or ctx.summary:
+            return grouped._build(ctx)
+        name, value = temporary(), ctx.hoisted(x)
+        ctx.df = ctx.flush().withColumn(name, value)
+        return alone(ctx, name)
+
+    return Expr(build, WINDOW)
 
 
 @window
-def lag(frame, c: Column, i: int = 1) -> Column:
-    return F.lag(c, i).over(frame.by(*frame.rows))
+def _shifted(frame, c: Column, i: int) -> Column:
+    return (F.lead(c, i) if i >= 0 else F.lag(c, -i)).over(frame.by(*frame.rows))
+
+
+def lead(x: Any, i: int = 1) -> Expr:
+    """The value ``i`` rows on. Over a whole table, rows meet by their places."""
+
+    def alone(ctx: Context, name: str) -> Column:
+        place, other, at = temporary(), temporary(), temporary()
+        df = with_row_index(ctx.df, ctx.order, place)
+        ahead = df.select((F.col(place) - i).alias(at), F.col(name).alias(other))
+        ctx.df = df.join(ahead, F.col(place) == F.col(at), "left").drop(place, at)
+        return F.col(other)
+
+    return _whole(_shifted(x, i), x, alone)
+
+
+def lag(x: Any, i: int = 1) -> Expr:
+    """The value ``i`` rows before."""
+    return lead(x, -i)
 
 
 def _by_value(c: Column, ascending: bool) -> Column:
     return c.asc_nulls_last() if ascending else c.desc_nulls_last()
 
 
-@window
-def dense_rank(frame, c: Column, ascending: bool = True) -> Column:
-    return F.when(c.isNotNull(), F.dense_rank().over(frame.by(_by_value(c, ascending)))).cast("double")
+def _ranked(kind: str, fun: Callable[[], Column]) -> Callable[..., Expr]:
+    @window
+    def within(frame, c: Column, ascending: bool) -> Column:
+        return F.when(c.isNotNull(), fun().over(frame.by(_by_value(c, ascending)))).cast("double")
+
+    def call(x: Any, ascending: bool = True) -> Expr:
+        def alone(ctx: Context, name: str) -> Column:
+            """Distinct values are counted and put in order; their places, or the rows before them, are joined back."""
+            v, place, before, size = temporary(), temporary(), temporary(), temporary()
+            values = ctx.df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias(v)).agg(F.count(F.lit(1)).alias(size))
+            if kind == "dense":
+                values = with_row_index(values, [_by_value(F.col(v), ascending)], place).withColumn(place, (F.col(place) + 1).cast("double"))
+            else:
+                run = Context(values, [], [_by_value(F.col(v), ascending)])
+                (total,) = _in_blocks(run, F.col(size), [_SUM])
+                values = run.df.withColumn(place, (total - F.col(size) + 1).cast("double"))
+            if kind == "percent":
+                rows = ctx.df.agg(F.count(F.lit(1)).alias(before))
+                values = values.crossJoin(F.broadcast(rows))  # one row
+                values = values.withColumn(place, F.coalesce(F.try_divide(F.col(place) - 1, F.col(before) - 1), F.lit(0.0)))
+            ctx.df = ctx.df.join(values.select(v, place), F.col(name) == F.col(v), "left").drop(v)
+            return F.col(place)
+
+        return _whole(within(x, ascending), x, alone)
 
+    return call
 
-@window
-def min_rank(frame, c: Column, ascending: bool = True) -> Column:
-    return F.when(c.isNotNull(), F.rank().over(frame.by(_by_value(c, ascending)))).cast("double")
+
+dense_rank = _ranked("dense", F.dense_rank)
+min_rank = _ranked("min", F.rank)
+percent_rank = _ranked("percent", F.percent_rank)
 
 
 @window
-def percent_rank(frame, c: Column, ascending: bool = True) -> Column:
-    return F.when(c.isNotNull(), F.percent_rank().over(frame.by(_by_value(c, ascending))))
+def _numbered(frame, c: Column, ascending: bool) -> Column:
+    return F.when(c.isNotNull(), F.row_number().over(frame.by(_by_value(c, ascending), *frame.rows))).cast("double")
 
 
-@window
-def row_number(frame, c: Column, ascending: bool = True) -> Column:
+def row_number(x: Any, ascending: bool = True) -> Expr:
     """Place by value; ties by row order."""
-    return F.when(c.isNotNull(), F.row_number().over(frame.by(_by_value(c, ascending), *frame.rows))).cast("double")
+
+    def alone(ctx: Context, name: str) -> Column:
+        place = temporary()
+        ctx.df = with_row_index(ctx.df, [_by_value(F.col(name), ascending), *ctx.order], place)
+        return F.when(F.col(name).isNotNull(), (F.col(place) + 1).cast("double"))
+
+    return _whole(_numbered(x, ascending), x, alone)
 
 
 #: Rows in a block of a running function over an ungrouped table.
