@@ -139,7 +139,7 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
 
 def part(frame: int, heavy: bool, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, grams: np.ndarray) -> tuple:
     own = counts > 0
-    return frame, heavy, ids[own].tobytes(), sizes[own].tobytes(), counts[own].tobytes(), grams.tobytes()
+    return frame, heavy, ids[own].tobytes(), sizes[own].astype(np.int32).tobytes(), counts[own].astype(np.int32).tobytes(), grams.tobytes()
 
 
 PART = "part int, heavy boolean, ids binary, sizes binary, counts binary, grams binary"
@@ -169,8 +169,8 @@ def fragments(docs: DataFrame, n: int, frequent: np.ndarray, number: int) -> Dat
 
 def joined(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, set size, n-gram) of all the entries of some rows."""
-    counts = np.frombuffer(b"".join(frame["counts"]), np.int64)
-    ids, sizes = (np.repeat(np.frombuffer(b"".join(frame[c]), np.int64), counts) for c in ("ids", "sizes"))
+    counts = np.frombuffer(b"".join(frame["counts"]), np.int32)
+    ids, sizes = (np.repeat(np.frombuffer(b"".join(frame[c]), t), counts) for c, t in (("ids", np.int64), ("sizes", np.int32)))
     return ids, sizes, np.frombuffer(b"".join(frame["grams"]), np.uint64)
 
 
@@ -199,7 +199,7 @@ def shared_grams(parts: DataFrame, number: int) -> DataFrame:
             own = np.flatnonzero(ids % number == b)
             if len(own):
                 at = np.flatnonzero(np.concatenate([[True], np.diff(ids[own]) != 0]))
-                rows.append((b, False, ids[own][at].tobytes(), sizes[own][at].tobytes(), np.diff(np.append(at, len(own))).tobytes(), grams[own].tobytes()))
+                rows.append((b, False, ids[own][at].tobytes(), sizes[own][at].tobytes(), np.diff(np.append(at, len(own))).astype(np.int32).tobytes(), grams[own].tobytes()))
         release()
         return pd.DataFrame(rows, columns=[x.split()[0] for x in PART.split(", ")]).astype({"part": "int32", "heavy": bool})
 
@@ -230,9 +230,9 @@ def survivors(parts: DataFrame, limit: Limit) -> DataFrame:
         ids, sizes, grams = ids[order], sizes[order], grams[order]
         at = np.flatnonzero(np.concatenate([[True], np.diff(ids) != 0])) if len(ids) else np.zeros(0, np.int64)
         counts = np.diff(np.append(at, len(ids)))
-        own = counts >= limit.least(sizes[at])
+        own = counts >= limit.least(sizes[at].astype(np.int64))
         sets = [grams[a : a + c].view(np.int64) for a, c in zip(at[own], counts[own])]
-        return pd.DataFrame({"id": ids[at[own]], "n": sizes[at[own]], "c": counts[own], "core": [hashlib.md5(x.tobytes()).hexdigest() for x in sets], "grams": sets})
+        return pd.DataFrame({"id": ids[at[own]], "n": sizes[at[own]].astype(np.int64), "c": counts[own], "core": [hashlib.md5(x.tobytes()).hexdigest() for x in sets], "grams": sets})
 
     return parts.groupBy("part").applyInPandas(run, "id bigint, n bigint, c bigint, core string, grams array<bigint>")
 
