@@ -38,8 +38,12 @@ class Function:
     name: str = "f"
     runtime: float = 0.0
 
+    def spread(self, n: int) -> bool:
+        """Whether the function takes its ``n`` values one by one, not as a list."""
+        return n != 1 and len(getvars(self.func)) == n
+
     def call(self, x: list[Any]) -> Any:
-        return self.func(*x) if len(getvars(self.func)) == len(x) and len(x) != 1 else self.func(x if len(x) != 1 else x)
+        return self.func(*x) if self.spread(len(x)) else self.func(x)
 
     def _outs(self, got: Any) -> list[Any]:
         if isinstance(got, dict):
@@ -57,7 +61,8 @@ class Function:
 
     def numbers(self, values: Values) -> Values:
         rows = np.broadcast_arrays(*(np.atleast_1d(np.asarray(values[v], float)) for v in self.var))
-        got = [self._outs(self.call([float(x[i]) for x in rows])) for i in range(len(rows[0]))]
+        call = self.func if self.spread(len(rows)) else lambda *x: self.func(list(x))
+        got = [self._outs(call(*x)) for x in zip(*(x.tolist() for x in rows))]
         return {o: np.array([g[k] for g in got], float) for k, o in enumerate(self.out)}
 
     def apply(self, df: DataFrame) -> DataFrame:
