@@ -18,7 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written there as Parquet and read back: computed once, with its lineage cut."""
+    """``df`` written there as Parquet and read back.
+
+    It cuts the lineage, so a lost executor costs no more than its running tasks, and a frame that is used twice is
+    computed once. The folder's owner clears it (the results are lazy, so this module can't).
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
