@@ -80,6 +80,37 @@ def test_secrets_odd(spark):
     assert find_secrets(empty_docs(spark)).count() == 0
 
 
+def test_secrets_forms(spark):
+    """The value after NAME= is a candidate of its own; lower-case alphabets; keys without a digit; long words stay."""
+    import random
+
+    rng = random.Random(7)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+    def draw(alphabet, n, bare=False):
+        while True:
+            key = "".join(rng.choice(alphabet) for _ in range(n))
+            if any(c in digits for c in key) != bare:
+                return key
+
+    forms = {
+        "AWS_ACCESS_VALUE={}": lambda: draw(low + low.upper() + digits + "+/", 40),
+        "A={}==": lambda: draw(low + low.upper() + digits + "+/", 38),
+        "x {} y": lambda: draw(low + "234567", 52),
+        "(at {})": lambda: draw(low + digits, 30),
+        "AUTH={}": lambda: draw(low + low.upper() + digits + "+/", 20, bare=True),
+    }
+    rows = [(form, key, form.format(key)) for form, make in forms.items() for key in (make() for _ in range(60))]
+    words = ["internationalizations", "donaudampfschifffahrtsgesellschaft", "x=/usr/local/lib/python", "antidisestablishmentarianism"]
+    df = spark.createDataFrame([*rows, *(("", w, w) for w in words)], "form string, key string, text string")
+    seen = Counter()
+    for r in find_secrets(df).collect():
+        spans = [r.text[x.s : x.e].rstrip("=") for x in r.secret_spans if x.k == 3]
+        assert spans in ([], [r.key])
+        seen[r.form] += len(spans)
+    assert not seen.pop("") and all(seen[form] >= 54 for form in forms), seen
+
+
 def brute_capacity(weights, shards):
     """Smallest largest part over all contiguous partitions."""
     best = [0] + [float("inf")] * len(weights)

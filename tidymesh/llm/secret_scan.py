@@ -19,14 +19,17 @@ PATTERNS = {
 ASSIGN_LEAST = 6
 KINDS = [*PATTERNS, "random"]
 
-#: Strings with a digit, tried only where a run of such characters starts (so the time is linear in its length).
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*+[0-9])[A-Za-z0-9+/=_-]{20,}"
+#: Tried only where a run of such characters starts (so the time is linear in its length); '=' pads at the end, or parts
+#: a name from its value, which is then a candidate of its own.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?+"
 #: Encoding: the pattern that infers it, and its alphabet in order.
 ENCODINGS = {
     "hex": (r"^(?=.*[a-f])[0-9a-f]+$", "0123456789abcdef"),
     "HEX": (r"^(?=.*[A-F])[0-9A-F]+$", "0123456789ABCDEF"),
     "base32": (r"^(?=.*[A-Z])[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     "base36": (r"^(?=.*[A-Z])[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"),
+    "base32 lower": (r"^(?=.*[a-z])[a-z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567"),
+    "base36 lower": (r"^(?=.*[a-z])[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789"),
     "base64": (r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 }
 CELLS = 4
@@ -55,11 +58,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _z(token: Column) -> Column:
-    """How far a string is from uniform and independent draws: the normal deviate of the three tests together.
+    """How far a string is from uniform and independent draws: the normal deviate of the four tests together.
 
     Chi-squared over ``CELLS`` equal cells of the inferred alphabet, the number of runs above and below its
-    middle, and the correlation of neighbours; the sum of the squared deviates is chi-squared with CELLS + 1
-    degrees of freedom, taken to a normal deviate by its cube root. Null where no encoding fits.
+    middle, the correlation of neighbours, and an excess of equal pairs (which tells long words, that fill the cells
+    of letters evenly, from keys without digits); the sum of the squared deviates has the mean and about the variance
+    of chi-squared with CELLS + 1.5 degrees of freedom, taken to a normal deviate by its cube root. Null where no
+    encoding fits.
     """
     alphabet, size = F.lit(None).cast("string"), F.lit(None).cast("int")
     for pattern, letters in reversed(ENCODINGS.values()):
@@ -72,13 +77,18 @@ def _z(token: Column) -> Column:
 
     def indexed(state: Column) -> Column:
         body = F.filter(F.split(F.call_function("rtrim", F.lit("="), state["t"]), ""), lambda c: c != "")
-        return F.struct(F.transform(body, lambda c: index(c, state)).alias("ix"), state["k"].alias("k"))
+        ix = F.transform(body, lambda c: index(c, state))
+        return let(ix, lambda ix: F.struct(ix.alias("ix"), state["k"].alias("k"), (F.aggregate(ix, F.lit(0.0), lambda a, x: a + x) / F.size(ix)).alias("mean")))
 
     def counter(cell: Column, k: Column) -> Callable[[Column, Column], Column]:
         return lambda n, x: n + (F.floor(x * CELLS / k) == cell).cast("double")
 
+    def pair(acc: Column, x: Column) -> Column:
+        run = F.when(x == acc["x"], acc["run"] + 1).otherwise(0.0)
+        return F.struct(x.alias("x"), run.alias("run"), (acc["out"] + run).alias("out"))
+
     def bound(state: Column) -> Column:
-        ix, k = state["ix"], state["k"].cast("double")
+        ix, k, mean = state["ix"], state["k"].cast("double"), state["mean"]  # bound, as a lambda would take the mean again for each character
         n = F.size(ix).cast("double")
         chi = F.lit(0.0)
         for c in range(CELLS):
@@ -87,7 +97,6 @@ def _z(token: Column) -> Column:
             width = F.ceil((c + 1) * k / CELLS) - F.ceil(c * k / CELLS)
             due = n * width / k
             chi = chi + (seen - due) * (seen - due) / due
-        mean = F.aggregate(ix, F.lit(0.0), lambda a, x: a + x) / n
         near = F.zip_with(F.slice(ix, 1, F.size(ix) - 1), F.slice(ix, 2, F.size(ix) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
         spread = F.aggregate(ix, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
         along = F.aggregate(near, F.lit(0.0), lambda a, p: a + (p["x"] - mean) * (p["y"] - mean))
@@ -98,8 +107,11 @@ def _z(token: Column) -> Column:
         due = 2 * above * below / n + 1
         var = (due - 1) * (due - 2) / (n - 1)
         run_z = F.when(var > 0, (runs - due) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(F.lit(10.0))
-        df = CELLS + 1
-        total = chi + run_z * run_z + serial * serial
+        equal = F.aggregate(F.sort_array(ix), F.struct(F.lit(-1).alias("x"), F.lit(0.0).alias("run"), F.lit(0.0).alias("out")), pair, lambda acc: acc["out"])
+        pairs = n * (n - 1) / 2
+        equal_z = F.greatest((equal - pairs / k) / F.sqrt(pairs / k * (1 - 1 / k)), F.lit(0.0))
+        df = CELLS + 1.5
+        total = chi + run_z * run_z + serial * serial + equal_z * equal_z
         return (F.pow(total / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
 
     state = let(F.struct(token.alias("t"), alphabet.alias("a"), size.alias("k")), lambda s: F.when(s["a"].isNotNull(), let(indexed(s), bound)))
@@ -162,8 +174,8 @@ def secret_spans(text: Column, limits: list[float]) -> Column:
 def find_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> DataFrame:
     """``docs`` with secret_spans (replaced if there): the base matches, and candidate strings that pass as random.
 
-    A candidate is a run of 20 or more characters of base64's alphabet with a digit, of an encoding that can be
-    inferred (not digits alone, which number things), outside every base match; it is a secret unless the test
+    A candidate is a run of 20 or more characters of base64's alphabet and its padding, of an encoding that can be
+    inferred (not digits alone, which number things), outside every base match; after NAME= the value is one by itself; it is a secret unless the test
     battery rejects randomness under ``randomness_limits``. Null and empty texts have no spans; repeated rows are
     scanned each; positions are in code points of the whole text.
     """
