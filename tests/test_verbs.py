@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidymesh import verbs as tm
-from tidymesh.transforms import pareto, spc
+from tidymesh.transforms import charts, pareto, spc
 from tidymesh.transforms import statistics as st
 from tidymesh.verbs import X
 
@@ -297,3 +297,11 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.s for r in spark.sql("SELECT s FROM summed").collect()) == [90.0, 290.0, 490.0]
+
+
+def test_scatter_matrix_keeps_all_rows(spark):
+    df = spark.range(3000).selectExpr("id % 3 AS a", "id % 2 AS b")
+    assert charts.plot_scattermat(df, ["a", "b"]).df.count() == 6000
+    assert charts.plot_sinew_inputs(df, ["a", "b"]).df.count() == 6000
+    few = charts.plot_scattermat(df, ["a", "b"], rows=100).df
+    assert few.count() == 200 and few.select("x", "y").where("x_name = 'a'").distinct().count() == 6

@@ -32,9 +32,11 @@ def plot_sobol_outputs(df: Table, idx: str = "ind") -> Table:
 
 
 @verb
-def plot_scattermat(df: Table, var: list[str], rows: int = 2000) -> Table:
-    """Pairs of columns for a scatter matrix, of at most ``rows`` rows (those of the least hash)."""
-    kept = df.df.select(*quoted(var)).orderBy(F.xxhash64(*quoted(var))).limit(rows)
+def plot_scattermat(df: Table, var: list[str], rows: int | None = None) -> Table:
+    """Pairs of columns for a scatter matrix, of all rows, or of a random sample of ``rows`` rows where that is given."""
+    kept = df.df.select(*quoted(var))
+    if rows is not None:
+        kept = kept.orderBy(F.rand(1)).limit(rows)
     pairs = [F.struct(F.lit(a).alias("x_name"), F.lit(b).alias("y_name"), F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y")) for a in var for b in var if a != b]
     return df.to(kept.select(F.explode(F.array(*pairs)).alias("p")).select("p.*"))
 
@@ -55,9 +57,9 @@ def plot_hists(df: Table, out: list[str], bins: int = 30) -> Table:
 
 
 @verb
-def plot_sinew_inputs(df: Table, var: list[str], sweep_ind: str = "sweep_ind") -> Table:
+def plot_sinew_inputs(df: Table, var: list[str], sweep_ind: str = "sweep_ind", rows: int | None = None) -> Table:
     """The design of sweeps as pairs of inputs."""
-    return plot_scattermat(df, var)
+    return plot_scattermat(df, var, rows=rows)
 
 
 @verb
