@@ -159,3 +159,14 @@ def test_predicted_dominance():
     p = ev.approx_pnd(np.array([[-1.0, -1.0], [2.0, 2.0]]), np.array([np.eye(2) * 1e-3] * 2), train, np.array([1, 1]))
     assert p[0] > 0.95 and p[1] < 0.05
 
+
+
+def test_queries_take_whole_tables(spark, sf_dir, monkeypatch):
+    from tidymesh.catalog import model_queries
+    from tidymesh.catalog.registry import QUERIES
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    assert QUERIES["pareto_probability"](spark, sf_dir).count() == parts
+    taken = []
+    monkeypatch.setattr(model_queries.st, "tran_bootstrap", lambda data, **kw: taken.append(data.df.count()) or tm.as_table(tm.df_make(m_lo=[0.0], m=[1.0], m_up=[2.0])))
+    assert QUERIES["bootstrap_interval"](spark, sf_dir).count() == 1 and taken == [parts]

@@ -276,8 +276,8 @@ def pareto_relative(t: Tables):
 
 @query()
 def pareto_probability(t: Tables):
-    train = t("part") >> tm.tf_filter(X.p_partkey < 60) >> tm.tf_mutate(a=X.p_size / 50.0, b=X.p_retailprice / 2000) >> tm.tf_select("a", "b")
-    test = t("part") >> tm.tf_filter(X.p_partkey >= 60, X.p_partkey < 80) >> tm.tf_mutate(u=X.p_size / 50.0, v=X.p_retailprice / 2000) >> tm.tf_select("u", "v")
+    train = t("part") >> tm.tf_mutate(a=X.p_size / 50.0, b=X.p_retailprice / 2000) >> tm.tf_select("a", "b")
+    test = t("part") >> tm.tf_mutate(u=X.p_size / 50.0, v=X.p_retailprice / 2000) >> tm.tf_select("u", "v")
     md = cp.comp_vec_function(Model(), lambda x: {"a_mean": x.u, "b_mean": x.v, "a_sd": 0.05 + 0 * x.u, "b_sd": 0.05 + 0 * x.v}, var=["u", "v"], out=["a_mean", "b_mean", "a_sd", "b_sd"])
     return ev.eval_pnd(md, train, test, signs={"a": 1, "b": 1}, n=2000)
 
@@ -376,7 +376,7 @@ def cross_validation(t: Tables):
 
 @query("SELECT true AS inside FROM range(1)")
 def bootstrap_interval(t: Tables):
-    data = t("part") >> tm.tf_filter(X.p_partkey <= 100) >> tm.tf_select("p_size")
+    data = t("part") >> tm.tf_select("p_size")
     out = st.tran_bootstrap(data, tran=lambda d: tm.tran_summarize(d, m=tm.mean(X.p_size)), n_boot=60, n_sub=8)
     return out >> tm.tf_mutate(inside=(X.m_lo < X.m) & (X.m < X.m_up)) >> tm.tf_select("inside")
 
