@@ -170,3 +170,10 @@ def test_queries_take_whole_tables(spark, sf_dir, monkeypatch):
     taken = []
     monkeypatch.setattr(model_queries.st, "tran_bootstrap", lambda data, **kw: taken.append(data.df.count()) or tm.as_table(tm.df_make(m_lo=[0.0], m=[1.0], m_up=[2.0])))
     assert QUERIES["bootstrap_interval"](spark, sf_dir).count() == 1 and taken == [parts]
+
+
+def test_kernel_law_of_repeated_values(spark):
+    """50 values of 600 rows each: the law has all of them, not the copies of one."""
+    m = marg_gkde(spark.range(30_000).selectExpr("CAST(id % 50 AS DOUBLE) AS v"), "v")
+    assert len(set(m.points)) == 50
+    assert all(abs(float(m.p(49 * u)) - u) < 0.05 for u in (0.25, 0.5, 0.75))

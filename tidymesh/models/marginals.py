@@ -169,7 +169,7 @@ class MarginalTruncated(Marginal):
 
 @dataclass(frozen=True)
 class MarginalGKDE(Marginal):
-    """Gaussian kernels at kept points (a bounded sample of the data); quantiles are read from a table of the
+    """Gaussian kernels at kept points (the data, or even quantiles of them); quantiles are read from a table of the
     distribution function."""
 
     points: tuple[float, ...]
@@ -285,10 +285,14 @@ def marg_fit(dist: str, data: Table, col: Any = None, sign: int = 0) -> Marginal
 
 
 def marg_gkde(data: Table, col: Any = None, sign: int = 0, points: int = 500, seed: int = 1) -> MarginalGKDE:
-    """Kernels of Scott's width on at most ``points`` rows, those of the least hash of the value and the seed."""
+    """Kernels of Scott's width on all rows, or beyond ``points`` on so many even quantiles of them (to 1/100,000 of the
+    rows in rank), each of equal weight. ``seed`` has no effect: nothing is drawn."""
     df = as_table(data).df
     x = F.col(f"`{named(col) if col is not None else df.columns[0]}`").cast("double").alias("x")
     known = df.select(x).where("x IS NOT NULL")
     n, sd = known.agg(F.count("x"), F.stddev_samp("x")).first()
-    kept = known.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(points).collect()
-    return MarginalGKDE(tuple(r.x for r in kept), float(sd) * n ** (-1 / 5), sign)
+    if n <= points:
+        kept = [r.x for r in known.orderBy("x").collect()]
+    else:
+        kept = known.agg(F.percentile_approx("x", [(i + 0.5) / points for i in range(points)], 100_000)).first()[0]
+    return MarginalGKDE(tuple(kept), float(sd) * n ** (-1 / 5), sign)
