@@ -3,8 +3,8 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
-from functools import lru_cache
 
+import numpy as np
 import public_tokenizers as tok
 import pytest
 import tiktoken
@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from tests.llm.cases import empty_docs, odd_docs, odd_texts
 from tidymesh.llm import queries as Q
 from tidymesh.llm.byte_bpe import decode_bpe, encode_bpe, load_ranks
-from tidymesh.llm.packing import best_fit, bin_completion, cut, pack_documents
+from tidymesh.llm.packing import Effort, Tokens, best_fit, bin_completion, cut, fillings, pack_documents
 from tidymesh.llm.warc import framed, read_warc, records, round_trip, unframed, write_warc
 
 MULTI = tok.path("byte_bpe_multi_50k.tiktoken")
@@ -55,30 +55,36 @@ def held(patterns, capacity):
 
 
 def fewest(items, capacity):
-    items = tuple(sorted(items, reverse=True))
-
-    @lru_cache(None)
-    def go(k, rooms):
-        if k == len(items):
-            return 0
-        best = 1 + go(k + 1, tuple(sorted((*rooms, capacity - items[k]))))
-        for room in set(rooms):
-            if room >= items[k]:
-                rest = list(rooms)
-                rest.remove(room)
-                best = min(best, go(k + 1, tuple(sorted((*rest, room - items[k])))))
-        return best
-
-    return go(0, ())
-
-
-@pytest.mark.parametrize("seed", range(40))
-def test_bin_completion_brute(seed):
-    rng = random.Random(seed)
-    capacity = rng.choice([10, 17, 30])
-    items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
-    got, n = held(bin_completion(Counter(items), capacity), capacity)
-    assert got == Counter(items) and n == fewest(items, capacity)
+    """The optimum of many instances (a row each) at once: for each subset the fewest bins, and of these the emptiest last one."""
+    n = items.shape[1]
+    key = np.full((1 << n, len(items)), 1 << 40)
+    key[0] = capacity  # no bin, and no room in it
+    each = capacity + 1
+    for subset in range(1, 1 << n):
+        for i in range(n):
+            if subset >> i & 1:
+                before, size = key[subset ^ (1 << i)], items[:, i]
+                after = np.where(before % each + size <= capacity, before + size, (before // each + 1) * each + size)
+                np.minimum(key[subset], after, out=key[subset])
+    return key[-1] // each
+
+
+@pytest.mark.parametrize("capacity, least, most, n", [(100, 10, 55, 11), (100, 1, 100, 11), (60, 5, 40, 10), (30, 1, 15, 11), (17, 1, 17, 8)])
+@pytest.mark.parametrize("steps", [None, 4_000_000])
+def test_bin_completion_brute(capacity, least, most, n, steps):
+    items = np.random.default_rng(capacity + n).integers(least, most + 1, (1000, n))
+    for row, best in zip(items.tolist(), fewest(items, capacity)):
+        got, bins = held(bin_completion(Counter(row), capacity, steps), capacity)
+        assert got == Counter(row) and bins == best
+
+
+def test_undominated():
+    sizes = np.bincount([14, 25, 28, 31, 34, 37, 42, 43, 44, 44], minlength=101)
+    assert [x for x in fillings(sizes, 51, 51, Effort(None))] == [(37, 14), (44,)]
+    _, bins = held(bin_completion(Counter([14, 25, 28, 31, 34, 37, 42, 43, 44, 44, 49]), 100), 100)
+    assert bins == 4
+    sizes = np.bincount([3, 3, 2, 1], minlength=11)
+    assert [x for x in fillings(sizes, 9, 9, Effort(None))] == [(3, 3, 2, 1)] and not [x for x in fillings(sizes, 12, 2, Effort(None))]
 
 
 def test_bin_completion_beats_best_fit():
@@ -116,6 +122,30 @@ def check_packing(rows, texts, capacity=1024):
     return len(by_sequence), -(-sum(r.length for r in rows) // capacity)
 
 
+def test_ids_fuzz():
+    """The quicker library's ids are those of the tokenizers library."""
+    coder, full = Tokens(tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN), Tokenizer.from_file(tok.path("byte_bpe_50k.json"))
+    rng = random.Random(11)
+    pools = [(32, 127), (32, 0x250), (0x370, 0x530), (0x4E00, 0x4F00), (0x1F300, 0x1F600), (9, 33), (0x2000, 0x2070)]
+    for _ in range(20_000):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            lo, hi = rng.choice(pools)
+            parts.append("".join(chr(rng.randrange(lo, hi)) for _ in range(rng.randint(1, 8))))
+        text = rng.choice(["", " ", "\n", "'s"]).join(parts)
+        assert coder.ids(text) == full.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_one_length(spark):
+    """A third of all pieces of one length, and repeated rows, still get places of their own."""
+    args = (tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN)
+    docs = spark.range(60_000).selectExpr("id % 50000 AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same text here' ELSE repeat('a b ', int(id % 40)) END AS text")
+    packed = pack_documents(docs, *args, capacity=32, content="crc32")
+    places = packed.selectExpr("sequence_id", "explode(sequence(offset, offset + length - 1)) AS at").groupBy("sequence_id", "at").count()
+    assert places.where("count > 1 OR at >= 32").count() == 0
+    assert packed.count() >= 60_000
+
+
 def test_packing(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     n, bound = check_packing(Q.op5_best_fit_packing(spark, sf_dir).collect(), texts)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tidymesh.plans.storage import settle, shared_dir  # noqa: F401  the operators take settle from here
 
 
-#: Rows of a few short columns that may be broadcast.
-FEW = 50_000
+#: Rows of a few short columns that may be broadcast: as they are, and after a count shows that they are hot.
+FEW, MOST = 50_000, 1_000_000
+#: Rows that one key may bring to a task.
+HOT = 50_000
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -26,17 +28,19 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: Column, most: int = 1000) -> DataFrame:
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: Column) -> DataFrame:
     """Left-join ``groups`` (settled; unique string ``key``, ``size`` rows in each) to ``rows`` without one task per hot key.
 
-    Up to FEW groups are broadcast as they are. Of more, those with at least ``n_rows / most`` rows are at most ``most`` in number, whatever the input, so they are
-    broadcast; all others meet in a shuffle join, where rows that are already answered are dealt by ``spread``.
+    Up to FEW groups are broadcast as they are. Of more, those of HOT rows (of fewer where there are under 1000 * HOT rows in all)
+    are broadcast: they are at most MOST, as beyond MOST * HOT rows only keys of the share 1 / MOST are hot. All others meet in a
+    shuffle join, where rows that are already answered are dealt by ``spread``.
     """
+    least = max(min(n_rows / 1000, HOT), n_rows / MOST)
     others = [c for c in groups.columns if c != key]
     if groups.count() <= FEW:
         return rows.join(F.broadcast(groups), key, "left").select(*rows.columns, *others)
-    hot = groups.where(F.col(size) * most >= n_rows).select(F.col(key), F.struct(*others).alias("__hot"))
-    cold = groups.where(F.col(size) * most < n_rows).select(F.col(key).alias("__key"), F.struct(*others).alias("__cold"))
+    hot = groups.where(F.col(size) >= least).select(F.col(key), F.struct(*others).alias("__hot"))
+    cold = groups.where(F.col(size) < least).select(F.col(key).alias("__key"), F.struct(*others).alias("__cold"))
     met = rows.join(F.broadcast(hot), key, "left")
     met = met.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("~"), F.xxhash64(spread).cast("string"))))
     met = met.join(cold, "__key", "left").withColumn("__found", F.coalesce("__hot", "__cold"))
@@ -65,16 +69,19 @@ def release() -> None:
         trim(0)
 
 
-def number_within(rows: DataFrame, group: str, tie: Column, name: str, buckets: int) -> DataFrame:
+def number_within(rows: DataFrame, group: str, tie: Column, name: str, buckets: Column | int, dealt: int = 0) -> DataFrame:
     """Add ``name``: the row's place in its ``group``, gapless from 0, with no task per group.
 
-    ``rows`` must be settled. Rows are dealt to ``buckets`` parts of each group by a hash of ``tie``; the
-    offsets of the parts (groups x buckets rows, both bounded by the caller) are broadcast.
+    ``rows`` must be settled. Rows are dealt to ``buckets`` parts of each group by a hash of ``tie``; the offsets of
+    the parts are broadcast, a row each, so the caller lets a part be of many rows. ``dealt``: how many tasks the parts go to, if
+    the session's number would make them too large.
     """
-    cut = rows.withColumn("__b", F.pmod(F.xxhash64(tie), F.lit(buckets)).cast("int"))
+    cut = rows.withColumn("__b", F.pmod(F.xxhash64(tie), buckets if isinstance(buckets, Column) else F.lit(buckets)).cast("int"))
     counts = cut.groupBy(group, "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(group), "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    if dealt > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        cut = cut.repartition(dealt, group, "__b")
     placed = cut.withColumn("__r", F.row_number().over(Window.partitionBy(group, "__b").orderBy(tie)))
     placed = placed.join(F.broadcast(offsets), [group, "__b"])
     return placed.select(*rows.columns, (F.col("__r") - 1 + F.col("__before")).cast("long").alias(name))

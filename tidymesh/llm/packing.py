@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from typing import Any
@@ -16,6 +19,10 @@ from tidymesh.llm.common import modest_batches, number_within, release, settle
 
 Filling = tuple[int, ...]
 Pattern = tuple[Filling, int]
+#: Fillings of up to so many items are sought by their number of items; steps that a node counts for.
+FEW_ITEMS, NODE = 4, 100
+#: Pieces that one window ranks, and bytes of pieces that one task is dealt, about.
+RANKED, DEALT = 20_000, 32_000_000
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -52,120 +59,247 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return list(bins.items())
 
 
-def fillings(left: np.ndarray, room: int, waste: int, most: int, steps: int = 4_000) -> list[Filling]:
-    """Undominated fillings of ``room`` that waste at most ``waste``, the least waste and the fewest items first.
+def widened(bits: int, size: int, times: int, mask: int) -> int:
+    """The sums in ``bits`` (a bit for each), with up to ``times`` items of ``size`` added."""
+    done = 0
+    while done < times:
+        step = min(done + 1, times - done)
+        bits |= bits << (size * step) & mask
+        done += step
+    return bits
 
-    ``left``: how many items there are of each size. A filling to which another item could be added, or of whose
-    items some could be changed for one as large as they are together, is dominated: items are taken from the
-    largest down, fillings with fewer items come first, and of equal sums only the first is kept.
-    """
-    if room <= 0:
-        return [()]
-    if left[room]:
-        return [(room,)]
-    low = np.arange(1, (room + 1) // 2)
-    pairs = low[(left[low] > 0) & (left[room - low] > 0)]
-    found_pairs = [(room - int(x), int(x)) for x in pairs[:most]]
-    if room % 2 == 0 and left[room // 2] > 1:
-        found_pairs.append((room // 2, room // 2))
-    if found_pairs:
-        return found_pairs[:most]
-    found: dict[int, Filling] = {}
-    sizes = [int(x) for x in np.flatnonzero(left[: room + 1])[::-1] if x]
-    if not sizes:
-        return [()]
-    smallest = sizes[-1]
-    for depth in range(1, 64):
-        deeper = False
-        stack: list[tuple[int, int, Filling]] = [(0, room, ())]
-        while stack and steps > 0:
-            steps -= 1
-            k, space, taken = stack.pop()
-            if len(taken) == depth - 1:
-                # the last item: the largest that fits
-                while k < len(sizes) and (sizes[k] > space or left[sizes[k]] <= taken.count(sizes[k])):
-                    k += 1
-                if k < len(sizes):
-                    rest = space - sizes[k]
-                    if rest <= waste:
-                        found.setdefault(rest, (*taken, sizes[k]))
-                    deeper |= rest >= smallest or k + 1 < len(sizes)
-                continue
-            nodes = []
-            for j in range(k, len(sizes)):
-                x = sizes[j]
-                if x * 1 > space or left[x] <= taken.count(x):
-                    continue
-                if space - x > x * (depth - len(taken) - 1) + waste:
-                    break  # even the largest that may follow can't fill what is left
-                nodes.append((j, space - x, (*taken, x)))
-            stack.extend(reversed(nodes))
-        if 0 in found or not deeper or steps <= 0:
-            break
-    if not found:
-        rest, taken = room, []
-        for x in sizes:
-            n = min(rest // x, int(left[x]))
-            taken += [x] * n
-            rest -= n * x
-        found[rest] = tuple(taken)
-    return [found[w] for w in sorted(found)][:most]
+
+class Effort:
+    """What a search may still spend; ``None`` is without end."""
+
+    def __init__(self, steps: int | None) -> None:
+        self.left = math.inf if steps is None else steps
+
+    def spend(self, steps: int = 1) -> bool:
+        self.left -= steps
+        return self.left >= 0
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, branches: int = 4) -> list[Pattern]:
+def fillings(left: np.ndarray, room: int, waste: int, effort: Effort, few: int = FEW_ITEMS) -> Iterator[Filling]:
+    """All undominated fillings of ``room`` that waste at most ``waste``, in the order of their waste, their number of items
+    (all of more than ``few`` together) and the largest items first, so that small items last longest.
+
+    ``left``: how many items there are of each size. A filling is dominated if an item left out could be added, could take
+    the place of a smaller one, or could take the place of several that are together no larger, all within the room: the
+    bin would then be as good or better without those smaller items, which may go where the larger one was.
+    A part of a filling that is dominated already is not carried on, and sums that the smaller sizes can't reach are
+    not tried.
+    """
+    sizes = [int(x) for x in np.flatnonzero(left[: room + 1])[::-1] if x]
+    have = {x: int(left[x]) for x in sizes}
+    mask = (1 << (room + 1)) - 1
+    upto, small, tail = len(sizes), 0, ()
+    sums = Sums(sizes, have, mask)
+    for w in range(min(waste, room) + 1):
+        # items no larger than the waste have to be in, all of them, or one could be added
+        while upto and sizes[upto - 1] <= w:
+            upto -= 1
+            small += sizes[upto] * have[sizes[upto]]
+            if small > room:
+                return
+            tail += (sizes[upto],) * have[sizes[upto]]
+            sums = Sums(sizes[:upto], have, mask)
+        rest = room - w - small
+        if rest < 0:
+            return
+        if not rest:
+            if not dominated(*added(0, 0, tail), sums.all_of[0], w):
+                yield tail
+            continue
+        if not sums.reached(None)[0] >> rest & 1:
+            continue
+        for items in (*range(1, few + 1), None):
+            for filling, one, more, out in _sought(sums, rest, items, few, w, effort):
+                if not dominated(*added(one, more, tail), out, w):
+                    yield filling + tail
+            if effort.left < 0:
+                return
+
+
+def _sought(sums: Sums, room: int, items: int | None, few: int, w: int, effort: Effort) -> Iterator[tuple[Filling, int, int, int]]:
+    """Fillings of just ``room`` with that number of items (None: more than ``few``), with the sums of one and of several of their
+    items, and the sizes of which items are left out."""
+    sizes, have, all_of = sums.sizes, sums.have, sums.all_of
+    tables = [sums.reached(k) for k in range(items + 1)] if items else [sums.reached(None)]
+    if items and not sums.reached(items)[0] >> room & 1:
+        return
+    # k: the next size; rest: what its like and smaller ones have to fill, with so many items; one, more: sums of one and of several
+    # items taken; out: larger sizes of which items are left out
+    stack: list[tuple[int, int, int, int, int, int, Filling]] = [(0, room, items or 0, 0, 0, 0, ())]
+    while stack:
+        if not effort.spend():
+            return
+        k, rest, number, one, more, out, taken = stack.pop()
+        if rest == 0:
+            if items or len(taken) > few:
+                yield taken, one, more, out | all_of[k]
+            continue
+        if items and number == 1:  # just one item will do
+            place = sums.place.get(rest, -1)
+            if place >= k:
+                own = out | all_of[k] & ~(all_of[place] & ~all_of[place + 1] if have[rest] == 1 else 0)
+                o, s = added(one, more, (rest,))
+                if not dominated(o, s, own, w):
+                    yield (*taken, rest), o, s, own
+            continue
+        if k == len(sizes):
+            continue
+        if sizes[k] > rest:
+            to = bisect.bisect_left(sums.rising, -rest, k)
+            stack.append((to, rest, number, one, more, out | all_of[k] & ~all_of[to], taken))
+            continue
+        x, nodes, o, s = sizes[k], [], one, more
+        for m in range(min(have[x], rest // x, number if items else room) + 1):
+            if m:
+                o, s = added(o, s, (x,))
+                if dominated(o, s, out, w):
+                    break
+            if (tables[number - m] if items else tables[0])[k + 1] >> (rest - m * x) & 1:
+                nodes.append((k + 1, rest - m * x, number - m, o, s, out | (1 << x if m < have[x] else 0), taken + (x,) * m))
+        stack.extend(nodes)
+
+
+class Sums:
+    """For sizes in falling order: the sums that those from a place on can reach, with any or a certain number of items."""
+
+    def __init__(self, sizes: list[int], have: dict[int, int], mask: int) -> None:
+        self.sizes, self.have, self.mask = sizes, have, mask
+        self.rising, self.place = [-x for x in sizes], {x: k for k, x in enumerate(sizes)}
+        self.all_of = [0] * (len(sizes) + 1)
+        for k in range(len(sizes) - 1, -1, -1):
+            self.all_of[k] = self.all_of[k + 1] | 1 << sizes[k]
+        self.known: dict[int | None, list[int]] = {0: [1] * (len(sizes) + 1)}
+
+    def reached(self, items: int | None) -> list[int]:
+        if items not in self.known:
+            out = [1 if items is None else 0] * (len(self.sizes) + 1)
+            fewer = [self.reached(k) for k in range(items)] if items else []
+            for k in range(len(self.sizes) - 1, -1, -1):
+                x, n = self.sizes[k], self.have[self.sizes[k]]
+                if items is None:
+                    out[k] = widened(out[k + 1], x, min(n, self.mask.bit_length() // x), self.mask)
+                else:
+                    out[k] = out[k + 1]
+                    for m in range(1, min(n, items) + 1):
+                        out[k] |= fewer[items - m][k + 1] << (m * x) & self.mask
+            self.known[items] = out
+        return self.known[items]
+
+
+def added(one: int, more: int, items: Filling) -> tuple[int, int]:
+    """The sums of one and of several items, with further items taken."""
+    for x in items:
+        more |= (more | one) << x
+        one |= 1 << x
+    return one, more
+
+
+def dominated(one: int, more: int, out: int, w: int) -> bool:
+    """Whether an item of a size in ``out`` is as large as several items or, by at most ``w``, larger than one or several."""
+    return bool(more & out or w and _spread(one | more, w) & out)
+
+
+def _spread(sums: int, w: int) -> int:
+    """Sums raised by 1 to ``w``."""
+    done, bits = 1, sums << 1
+    while done < w:
+        step = min(done, w - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def fewest_bins(left: np.ndarray, capacity: int) -> int:
+    """Martello and Toth's bound: items over half the room have a bin each, and those of a middle size have to fill what these leave or bins of their own."""
+    size = np.arange(capacity + 1)
+    half = capacity // 2
+    n, load = np.concatenate([[0], np.cumsum(left)]), np.concatenate([[0], np.cumsum(left * size)])
+    k = np.arange(half + 1)  # sizes under k don't count
+    large = n[-1] - n[half + 1]
+    mid = n[capacity - k + 1] - n[half + 1]  # over half, and at most capacity - k
+    spare = mid * capacity - (load[capacity - k + 1] - load[half + 1])
+    lesser = load[half + 1] - load[k]
+    return int(max((large + np.maximum(0, -(-(lesser - spare) // capacity))).max(), -(-load[-1] // capacity)))
+
+
+def bin_completion(counts: dict[int, int], capacity: int, steps: int | None = 4_000_000) -> list[Pattern]:
     """Patterns (sizes in a bin, number of such bins) that hold all items: branch and bound by bin completion.
 
-    At each node the largest size left is completed by undominated fillings; the pattern is used as often as its
-    items last. A branch ends when the waste so far leaves no better end than the incumbent, which at first is the
-    best-fit solution. The search ends at the bound ceil(sum / capacity), or after ``nodes`` nodes with the
-    incumbent. It holds a histogram and patterns, at most a few for each size, never items.
+    At each node the largest size left is completed by undominated fillings, and the pattern is used from as often as
+    its items last down to once. A branch ends when the waste so far and the bound for what is left allow no better end
+    than the incumbent, which at first is the best-fit solution, or when what is left was met before with no more waste.
+    The search ends when the incumbent meets the lower bound or all is tried, and is exact then. ``steps`` bounds it (a node
+    counts NODE steps, a step in the search for fillings one): half are spent with fillings of few items first, half with
+    those of the largest items first, and at their end the incumbent stands. None: no bound, always exact.
+    It holds a histogram and patterns, at most a few for each size, never items.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
         return []
     if min(counts) < 1 or max(counts) > capacity:
         raise ValueError("sizes must be from 1 to the capacity")
-    total = sum(s * n for s, n in counts.items())
-    bound = -(-total // capacity)
-    best = best_fit(counts, capacity)
-    fewest = sum(n for _, n in best)
     start = np.zeros(capacity + 1, np.int64)
     for s, n in counts.items():
         start[s] = n
-    # a frame: what is left, the pattern that led there with its number, bins so far, waste so far, choices not yet tried
+    best = best_fit(counts, capacity)
+    for few in (FEW_ITEMS, 0):
+        effort = Effort(None if steps is None else steps // 2)
+        best = _better(start, capacity, best, effort, few)
+        if effort.left > 0:  # all is tried, or no better end is possible
+            break
+    return best
+
+
+def _better(start: np.ndarray, capacity: int, best: list[Pattern], effort: Effort, few: int) -> list[Pattern]:
+    """The best solution that is found before ``effort`` ends, or the given one."""
+    fewest = sum(n for _, n in best)
+    bound, total = fewest_bins(start, capacity), int((start * np.arange(capacity + 1)).sum())
+    met: dict[bytes, int] = {}
+
+    def choices(left: np.ndarray, waste: int) -> Iterator[Pattern]:
+        largest = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[largest] -= 1
+        for filling in fillings(rest, capacity - largest, (fewest - 1) * capacity - total - waste, effort, few):
+            whole = (largest, *filling)
+            spare = capacity - sum(whole)
+            times = min(int(left[s]) // whole.count(s) for s in set(whole))
+            while times:
+                if spare * times <= (fewest - 1) * capacity - total - waste:  # the incumbent may be better by now
+                    yield whole, times
+                times -= 1
+
+    # a frame: what is left, the pattern that led there, bins so far, waste so far, choices not yet tried
     stack: list[list[Any]] = [[start, None, 0, 0, None]]
-    while stack and fewest > bound and nodes > 0:
-        left, _, bins, waste, choices = stack[-1]
-        if choices is None:
-            nodes -= 1
-            sizes = np.flatnonzero(left)
-            if not len(sizes):
+    while stack and fewest > bound and effort.left > 0:
+        left, _, bins, waste, more = stack[-1]
+        if more is None:
+            effort.spend(NODE)
+            if not left.any():
                 if bins < fewest:
                     fewest, best = bins, [x[1] for x in stack[1:]]
                 stack.pop()
                 continue
-            allowed = (fewest - 1) * capacity - total - waste  # more waste than this is no better end
-            if allowed < 0:
+            key = hashlib.md5(left.tobytes()).digest()
+            if bins + fewest_bins(left, capacity) >= fewest or met.get(key, waste + 1) <= waste:
                 stack.pop()
                 continue
-            largest = int(sizes[-1])
-            left[largest] -= 1
-            found = fillings(left, capacity - largest, capacity, branches)
-            left[largest] += 1
-            stack[-1][4] = choices = [(largest, *x) for x in reversed(found) if capacity - largest - sum(x) <= allowed]
-        if not choices:
+            met[key] = waste
+            more = stack[-1][4] = choices(left, waste)
+        chosen = next(more, None)
+        if chosen is None:
             stack.pop()
             continue
-        filling = choices.pop()
-        used = {s: filling.count(s) for s in set(filling)}
-        spare = capacity - sum(filling)
-        times = min(int(left[s]) // n for s, n in used.items())
-        if spare:
-            times = max(1, min(times, ((fewest - 1) * capacity - total - waste) // spare))
+        filling, times = chosen
         after = left.copy()
-        for s, n in used.items():
-            after[s] -= n * times
-        stack.append([after, (filling, times), bins + times, waste + spare * times, None])
+        for s in filling:
+            after[s] -= times
+        stack.append([after, chosen, bins + times, waste + (capacity - sum(filling)) * times, None])
     return best
 
 
@@ -261,24 +395,30 @@ def pack_documents(
     """One row per piece: id, piece, start, length, ids (``content="crc32"``: ids_crc32), sequence_id, offset.
 
     A document is the ids of its whole text and ``end_id``; only those of more than ``capacity`` ids are cut, into
-    full pieces after a first one that may be shorter. Pieces are settled, counted by length (at most ``capacity``
-    counts go to the driver), and bin completion lays out the histogram; a piece finds its sequence by its rank
-    among the pieces of its length, so no task or driver sees more than that layout.
+    full pieces after a first one that may be shorter. Pieces are settled. Full ones are a sequence each (with a negative
+    number). The others are counted by length (fewer than ``capacity`` counts go to the driver), and bin completion
+    lays out the histogram; a piece finds its sequence by its rank among the pieces of its length. Pieces of one length
+    are ranked in parts of about RANKED, however many there are, and the parts' offsets (a row each) are broadcast, so no
+    task or driver sees more than a part or that layout.
 
     Null and empty texts are a document of ``end_id`` alone; repeated rows and null ids are documents of their own;
     an empty table gives an empty result. Only the id is kept of the other columns, so their names can't clash.
     """
     modest_batches(docs.sparkSession)
-    pieces = settle(pieces_of(docs, tokenizer, ranks, pattern, capacity, end_id, id_col, text_col, content), "pieces")
-    counts = {int(r.length): int(r["count"]) for r in pieces.groupBy("length").count().collect()}
+    pieces = pieces_of(docs, tokenizer, ranks, pattern, capacity, end_id, id_col, text_col, content)
+    pieces = settle(pieces.withColumn("own", F.monotonically_increasing_id()), "pieces")
+    columns = [c for c in pieces.columns if c != "own"]
+    full, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    counts = {int(r.length): int(r["count"]) for r in rest.groupBy("length").count().collect()}
     runs = places(bin_completion(counts, capacity))
-    buckets = min(64, max(4, sum(counts.values()) // 200_000))
-    # ``start`` first: all pieces of one length but a document's first share few values, so the id decides
-    ranked = number_within(pieces, "length", F.struct("doc", "start"), "rank", buckets)
+    parts = docs.sparkSession.createDataFrame([(size, -(-n // RANKED)) for size, n in counts.items()], "length bigint, parts bigint")
+    wide = 4 * sum(size * n for size, n in counts.items()) if content == "ids" else 64 * sum(counts.values())
+    ranked = number_within(rest.join(F.broadcast(parts), "length"), "length", F.col("own"), "rank", F.col("parts"), dealt=-(-wide // DEALT))
 
     # a run for each size in each pattern: as few as the layout, so this side is bounded
     rows = [(size, int(f), int(f) + int(n), int(q), int(at)) for size, own in runs.items() for f, n, q, at in own]
     table = docs.sparkSession.createDataFrame(rows, "length bigint, __from bigint, __to bigint, __base bigint, offset bigint")
     met = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("__from")) & (F.col("rank") < F.col("__to")))
-    placed = met.select(*(ranked[c] for c in pieces.columns), (F.col("__base") + F.col("rank") - F.col("__from")).alias("sequence_id"), "offset")
-    return placed.withColumnRenamed("doc", id_col)
+    placed = met.select(*(ranked[c] for c in columns), (F.col("__base") + F.col("rank") - F.col("__from")).alias("sequence_id"), "offset")
+    alone = full.select(*columns, (-1 - F.col("own")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(alone).withColumnRenamed("doc", id_col)
