@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +10,7 @@ import pytest
 from tests.llm.cases import empty_docs, odd_docs, odd_texts
 from tidymesh.llm import queries as Q
 from tidymesh.llm.exact_dedup import exact_dedup
-from tidymesh.llm.secret_scan import KINDS, find_secrets, redact_secrets, spelled
+from tidymesh.llm.secret_scan import ENCODINGS, KINDS, find_secrets, redact_secrets, spelled
 from tidymesh.llm.sharding import Item, greedy_cuts, shard_documents, smallest_capacity, unsure
 
 
@@ -82,8 +84,6 @@ def test_secrets_odd(spark):
 
 def test_secrets_forms(spark):
     """The value after NAME= is a candidate of its own; lower-case alphabets; keys without a digit; long words stay."""
-    import random
-
     rng = random.Random(7)
     low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
@@ -111,6 +111,45 @@ def test_secrets_forms(spark):
     assert not seen.pop("") and all(seen[form] >= 54 for form in forms), seen
 
 
+def test_secrets_among_names(spark):
+    """Planted keys are told from the names that people make: at most the stated share of what is found are names, and most keys are found."""
+    rng = random.Random(5)
+    other = "quarterly revenue tracker mesh vector sender packet tide river mountain forest lamp kitchen garden yellow silver engine motor wheel candle".split()
+    names = []
+    for style in range(4):
+        for _ in range(500):
+            size, parts = rng.randrange(20, 60), []
+            while sum(map(len, parts)) < size:
+                word = rng.choice(other) + (str(rng.randrange(100)) if rng.random() < 0.15 else "")
+                parts.append(word if style == 0 or style == 3 and not parts else word.upper() if style == 1 else word.capitalize())
+            names.append(("name", "".join(parts)))
+    names += [("name", x) for x in ("HelloWorldThisIsMyVar1Name", "MyProductCatalogItem2024List", "my-product-catalog-item-list-2024", "internationalizations", "donaudampfschifffahrtsgesellschaft")]
+    keys = [(kind, "".join(rng.choice(letters) for _ in range(n))) for kind, (_, letters) in ENCODINGS.items() for n in (32, 40, 64) for _ in range(10)]
+    found, total = Counter(), Counter()
+    for r in find_secrets(spark.createDataFrame(names + keys, "kind string, text string")).collect():
+        found[r.kind] += any(x.k >= 2 for x in r.secret_spans)
+        total[r.kind] += 1
+    assert found.pop("name", 0) <= 0.05 * len(keys)
+    assert sum(found.values()) >= 0.9 * len(keys) and all(found[k] >= 0.7 * total[k] for k in ENCODINGS), found
+
+
+def test_secrets_spans_union(spark):
+    """Random spans inside base matches go, whatever the number and the order of both; positions are linear in the matches."""
+    rng = random.Random(9)
+    key = lambda: "".join(rng.choice(ENCODINGS["base64"][1]) for _ in range(40))
+    parts = [rng.choice(["token=", "x ", "NAME=", "secret: "]) + key() for _ in range(60)]
+    text = " é ".join(parts)
+    (row,) = find_secrets(spark.createDataFrame([(text,)], "text string")).collect()
+    base, spans = brute_base(text), [tuple(x) for x in row.secret_spans]
+    assert [x for x in spans if x[1] < 3] == base and spans == sorted(spans)
+    drawn = [(s, e) for s, k, e in spans if k == 3]
+    assert len(drawn) >= 20 and all(not any(b <= s and e <= f for b, _, f in base) and e - s >= 20 for s, e in drawn)
+    many = "token=abcdef1 " * 100_000
+    began = time.perf_counter()
+    (row,) = redact_secrets(spark.createDataFrame([(many, 7)], "text string, secret_spans int")).collect()
+    assert row.text == "[SECRET] " * 100_000 and row.secret_spans == 7 and time.perf_counter() - began < 60
+
+
 def brute_capacity(weights, shards):
     """Smallest largest part over all contiguous partitions."""
     best = [0] + [float("inf")] * len(weights)
@@ -127,8 +166,6 @@ def brute_capacity(weights, shards):
 
 @pytest.mark.parametrize("seed", range(6))
 def test_minimax_search(seed):
-    import random
-
     rng = random.Random(seed)
     weights = [rng.choice([1, 2, 3, 5, 40]) for _ in range(60)]
     items = [Item(str(i), w, 1, str(i)) for i, w in enumerate(weights)]

@@ -50,7 +50,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_secrets(read(spark, sf_dir, "documents"), keep=["doc_id"])
     # one array for all columns, as an expression used twice would scan the text twice
     base = F.filter("secret_spans", lambda x: x["k"] < len(PATTERNS))
 
@@ -60,6 +60,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("secret_spans")).alias("spans"))
 
 
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op6_secret_scan, which SQL can express."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "pages"), bodies=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
+    "base_secrets": base_secrets,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
     "op9_topk_search": op9_topk_search,
@@ -118,6 +124,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.t) AS text_sha256
         FROM documents d JOIN g ON coalesce(d.text, '') = g.t
     """,
+    "base_secrets": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        p AS (SELECT * FROM (VALUES
+            (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+            (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+')) AS x(k, kind, pattern)),
+        m AS (SELECT doc_id, k, kind, unnest(regexp_extract_all(t, pattern)) AS m, unnest(string_split_regex(t, pattern)[:-2]) AS gap,
+            generate_subscripts(regexp_extract_all(t, pattern), 1) AS i FROM d, p WHERE regexp_matches(t, pattern)),
+        s AS (SELECT doc_id, k, kind, m, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM m),
+        b AS (SELECT doc_id, k, kind, e - length(m) AS s, e FROM s WHERE CASE k
+            WHEN 0 THEN length(regexp_extract(m, '^(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 6
+            WHEN 1 THEN length(m) >= 20 ELSE length(m) >= 24 END)
+        SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+            sha256(coalesce(string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k), '')) AS base_sha256
+        FROM d LEFT JOIN b ON d.doc_id = b.doc_id GROUP BY d.doc_id
+    """,
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages),
         f AS (SELECT t, min(page_id) AS first FROM p GROUP BY 1)
