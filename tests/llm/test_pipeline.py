@@ -61,3 +61,37 @@ def test_odd(spark, sf_dir):
         docs = settle(stage(spark, docs, sf_dir), "stage")
     kept = {r.doc_id for r in docs.collect()}
     assert {3, 4, 5, 6} <= kept and 2 not in kept and len(kept & {0, 1, None}) == 1
+
+
+def test_each_stage_is_computed_once(spark, sf_dir, monkeypatch):
+    seen = {name: spark.sparkContext.accumulator(0) for name, _ in P.STAGES}
+
+    def counted(name, stage):
+        def run(spark, docs, sf_dir):
+            def count(batches):
+                for batch in batches:
+                    seen[name].add(batch.num_rows)
+                    yield batch
+
+            out = stage(spark, docs, sf_dir)
+            return out.mapInArrow(count, out.schema)
+
+        return name, run
+
+    monkeypatch.setattr(P, "STAGES", [counted(*x) for x in P.STAGES])
+    n = P.run(spark, sf_dir).count()
+    counts = [x.value for x in seen.values()]
+    assert counts[-1] == n and counts[2] == counts[3] <= counts[1] <= counts[0] <= 200
+
+
+def test_clashing_columns(spark, sf_dir):
+    names = ["kept", "keep_id", "group_size", "text_sha256", "score", "id", "size", "row", "secret_spans", "component_id"]
+    texts = ["a b c", "a b c", "d e f g h i", "token=abcdef123"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], empty_docs(spark).schema)
+    docs = docs.selectExpr("*", *(f"concat('own', doc_id) AS {c}" for c in names))
+    for name, stage in P.STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), "stage")
+        assert docs.columns == [*empty_docs(spark).columns, *names]
+        for r in docs.collect():
+            assert all(r[c] == f"own{r.doc_id}" for c in names)
+    assert {r.doc_id: r.text for r in docs.collect()} == {1: "a b c", 2: "d e f g h i", 3: "[SECRET]"}
