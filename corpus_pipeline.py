@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidymesh.llm.common import settle
 from tidymesh.llm.exact_dedup import exact_dedup
 from tidymesh.llm.jaccard_join import jaccard_components
 from tidymesh.llm.packing import pack_documents
@@ -17,30 +18,34 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score under 0.3, by a model of the labels."""
-    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model, score_col="__score").where("__score < 0.3").drop("__score")
+    """Documents with a score under 0.3, by a model of the labels of this stage's documents.
+
+    Null and empty texts have the score of a text without words. Repeated rows go or stay together."""
+    model = fit_toxicity(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = "score_" + "_".join(docs.columns)  # no column of the documents has this name
+    return score_toxicity(docs, model, score_col=score).where(f"`{score}` < 0.3").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
-    return exact_dedup(docs, keep="largest").where("kept").select(*docs.columns)
+    """Of equal texts (null: empty), the row with the largest doc_id; rows that repeat it stay together. All columns stay as they are."""
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    return exact_dedup(rows, keep="largest").where("kept").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest doc_id."""
+    """Of each component of near duplicates, the rows with the smallest doc_id; rows with a null doc_id stay, as nothing tells them apart."""
     gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark, and n_chars counted again where the text has changed."""
+    """All documents, their secrets replaced by a mark, and n_chars counted again where the text has changed; null texts stay null."""
     length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return redact_secrets(docs).withColumn("n_chars", length).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids, each with its place in a sequence of at most 1024."""
+    """Pieces of token ids, each with its place in a sequence of at most 1024; null and empty texts are a document of its end alone."""
     import public_tokenizers as tok
 
     return pack_documents(docs, tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN)
@@ -52,8 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents."""
+    """All stages applied to documents, each settled, so that the next one's passes read it and don't compute it again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
