@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidymesh.llm.common import attach_groups, numbered, renamed, settle, text_or_empty
+from tidymesh.llm.common import attach_groups, let, numbered, renamed, running, settle, text_or_empty
 
 #: Leading tokens on the way from the root (the number of tokens) to a leaf of the tree.
 LEADING = 2
+#: Stands for a variable field: no token has a space.
+FIELD = " "
+#: Comparisons of lines with dropped ones that a document's lines are looked up by; beyond, both are sorted.
+COMPARED = 4096
 
 
 def _tokens(line: Column) -> Column:
@@ -25,18 +29,46 @@ def _key(*parts: Column | str) -> Column:
     return F.hex(F.xxhash64(*parts))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 4, min_tokens: int = 3, constant: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without(lines: Column, gone: Column) -> Column:
+    """The lines whose keys aren't among ``gone``: few are looked up one by one; of many, the keys of both are sorted, and a mark goes on from a
+    dropped key to the lines after it that have the same, so the time is n log n."""
+
+    def key_of(x: Column) -> Column:
+        return _key(_leaf(_tokens(x)), x)
+
+    def entry(key: Column, place: Column, line: Column, drop: bool) -> Column:
+        return F.struct(key.alias("key"), place.alias("place"), line.alias("line"), F.lit(drop).alias("drop"))
+
+    def onward(a: Column, b: Column) -> Column:
+        drop = b["drop"] | (a["drop"] & F.coalesce(a["key"] == b["key"], F.lit(False)))
+        return F.struct(b["key"].alias("key"), b["place"].alias("place"), b["line"].alias("line"), drop.alias("drop"))
+
+    def kept(x: Column) -> Column:
+        of_lines = F.filter(x, lambda e: (e["place"] >= 0) & ~e["drop"])
+        ordered = F.array_sort(F.transform(of_lines, lambda e: F.struct(e["place"].alias("place"), e["line"].alias("line"))))
+        return F.transform(ordered, lambda e: e["line"])
+
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(-1).alias("place"), F.lit("").alias("line"), F.lit(False).alias("drop"))
+    both = F.concat(F.transform(gone, lambda k: entry(k, F.lit(-1), F.lit(""), True)), F.transform(lines, lambda x, i: entry(key_of(x), i, x, False)))
+    sorted_ = let(running(F.array_sort(both), onward, none), kept)
+    few = F.size(lines).cast("long") * F.size(gone) <= COMPARED
+    return F.when(few, F.filter(lines, lambda x: ~F.array_contains(gone, key_of(x)))).otherwise(sorted_)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 4, min_tokens: int = 3, constant: float = 0.6, id_col: str = "doc_id", text_col: str = "text", long_tokens: int = 50) -> DataFrame:
     """``docs`` with the text's recurring lines dropped, and n_lines, n_dropped (which replace columns so named).
 
     A line of ``min_tokens`` or more tokens (cut at spaces) goes down a tree of fixed depth: its number of tokens,
     then its first two tokens. In its leaf, a token is constant where ``min_docs`` or more (document, line) pairs
     have it at that place, and else a variable field; constant tokens and fields make the line's template. If at
     least the share ``constant`` of the tokens is constant, and ``min_docs`` documents have the template, its lines
-    are dropped from all of them but the one with the smallest id.
+    are dropped from all of them but the one with the smallest id. A line of ``long_tokens`` or more tokens is a template as it
+    stands too, for which two documents are enough: a passage of that length doesn't recur by chance.
 
     Equal lines of a leaf are taken together before tokens are told apart, all counts add up before they are
     shuffled, and what is looked up by hot lines, tokens and templates goes by attach_groups, so no task gathers
-    them. Leaves with too few lines fall away first, so most of the text is never cut into token rows.
+    them. Leaves with too few lines fall away first, so most of the text is never cut into token rows. Tokens are told apart per leaf, so a
+    value that recurs in one template of a leaf counts as constant in the others of that leaf too.
 
     Null texts count as empty and stay null; rows with a null id keep all their lines and aren't counted; rows that
     repeat an id are one document. Empty lines are never dropped. Lines are told apart by 64-bit hashes.
@@ -44,35 +76,40 @@ def dedup_lines(docs: DataFrame, min_docs: int = 4, min_tokens: int = 3, constan
     plain, names = numbered(docs)
     row_id, text = F.col(names[id_col]), text_or_empty(names[text_col])
     found = plain.where(row_id.isNotNull()).select(row_id.alias("id"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("line"))
-    lines = found.withColumn("tokens", _tokens(F.col("line"))).where(F.size("tokens") >= min_tokens).select("id", "line", _leaf(F.col("tokens")).alias("leaf"))
-    counted = lines.groupBy("leaf").agg(F.count("*").alias("size"))
-    leaves = settle(counted.where(F.col("size") >= min_docs), "leaves")
-    kept = attach_groups(lines, leaves, "leaf", "size", lines.count(), F.col("line")).where("size IS NOT NULL")
-    kept = settle(kept.select("id", "leaf", "line", _key("leaf", "line").alias("lid")), "lines")
+    lines = found.withColumn("tokens", _tokens(F.col("line"))).where(F.size("tokens") >= min_tokens)
+    lines = lines.select("id", "line", (F.size("tokens") >= long_tokens).alias("long"), _leaf(F.col("tokens")).alias("leaf"))
+    counted = lines.groupBy("leaf", "long").agg(F.count("*").alias("size"))
+    leaves = settle(counted.where(F.col("size") >= F.when(F.col("long"), 2).otherwise(min_docs)).select("leaf", "size"), "leaves")
+    n_lines = leaves.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]  # in these leaves, so hot ones are few
+    kept = attach_groups(lines, leaves, "leaf", "size", n_lines, F.col("line")).where("size IS NOT NULL")
+    kept = settle(kept.select("id", "leaf", "line", "long", "size", _key("leaf", "line").alias("lid")), "lines")
     n_kept = kept.count()
 
-    unique = settle(kept.groupBy("lid", "leaf", "line").agg(F.count("*").alias("c")), "unique")
-    cells = unique.select("lid", "c", "leaf", F.posexplode(_tokens(F.col("line"))).alias("i", "token")).withColumn("cell", _key("leaf", "i", "token"))
+    unique = settle(kept.groupBy("lid", "leaf", "line").agg(F.count("*").alias("c"), F.first("long").alias("long"), F.first("size").alias("size")), "unique")
+    cells = unique.where(F.col("size") >= min_docs).select("lid", "c", "leaf", F.posexplode(_tokens(F.col("line"))).alias("i", "token")).withColumn("cell", _key("leaf", "i", "token"))
     support = settle(cells.groupBy("cell").agg(F.sum("c").alias("support")).where(F.col("support") >= min_docs), "support")
     met = attach_groups(cells.select("lid", "c", "leaf", "i", "token", "cell"), support, "cell", "support", n_kept, F.col("lid"))
     # the tokens of one line, so as many as it has
-    parts = F.array_sort(F.collect_list(F.struct("i", F.when(F.col("support").isNotNull(), F.col("token")).otherwise(F.lit("<*>")).alias("t"))))
+    parts = F.array_sort(F.collect_list(F.struct("i", F.when(F.col("support").isNotNull(), F.col("token")).otherwise(F.lit(FIELD)).alias("t"))))
     fixed = F.count("support")
-    templates = met.groupBy("lid", "c").agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("template"), fixed.alias("fixed"), F.count("*").alias("n"))
-    templates = settle(templates.where(F.col("fixed") >= constant * F.col("n")).select("lid", F.md5("template").alias("template"), "c"), "templates")
-
-    of = attach_groups(kept.select("id", "lid"), templates, "lid", "c", n_kept, F.col("id")).where("template IS NOT NULL").select("id", "lid", "template")
-    of = settle(of, "templated")
-    docs_of = of.groupBy("template", "id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
-    recurring = settle(docs_of.where(F.col("docs") >= min_docs), "recurring")
+    templates = met.groupBy("lid", "c").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("template"), fixed.alias("fixed"), F.count("*").alias("n"))
+    templates = templates.where(F.col("fixed") >= constant * F.col("n")).select("lid", "c", F.md5("template").alias("template"), F.lit(min_docs).alias("least"))
+    literal = unique.where("long AND c >= 2").select("lid", "c", F.concat(F.lit("line "), "lid").alias("template"), F.lit(2).alias("least"))
+    # one or two for each line
+    templates = templates.unionByName(literal).groupBy("lid", "c").agg(F.collect_list(F.struct("template", "least")).alias("of"))
+    templates = settle(templates, "templates")
+
+    of = attach_groups(kept.select("id", "lid"), templates, "lid", "c", n_kept, F.col("id")).where("of IS NOT NULL").select("id", "lid", F.explode("of").alias("of"))
+    of = settle(of.select("id", "lid", "of.template", "of.least"), "templated")
+    docs_of = of.groupBy("template", "least", "id").agg(F.lit(1).alias("one")).groupBy("template", "least").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
+    recurring = settle(docs_of.where(F.col("docs") >= F.col("least")).drop("least"), "recurring")
     gone = attach_groups(of, recurring, "template", "docs", n_kept, F.col("id")).where(F.col("first").isNotNull() & (F.col("id") != F.col("first")))
     # the lines of one document
     gone = gone.groupBy("id").agg(F.collect_set("lid").alias("gone"))
 
     split = F.split(F.col(names[text_col]), "\n")
     whole = plain.join(gone, row_id == F.col("id"), "left")
-    leaf_of = lambda x: _key(_leaf(_tokens(x)), x)
-    left = F.filter(split, lambda x: ~F.array_contains("gone", leaf_of(x)))
+    left = let(split, lambda lines: without(lines, F.col("gone")))
     whole = whole.withColumn("left", F.when(F.col("gone").isNull(), split).otherwise(left))
     new = {
         text_col: F.when(F.col("gone").isNull(), F.col(names[text_col])).otherwise(F.array_join("left", "\n")),

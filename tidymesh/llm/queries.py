@@ -110,12 +110,13 @@ ORACLE_SQL: dict[str, str] = {
         cell AS (SELECT leaf, line, c, unnest(ts) AS token, generate_subscripts(ts, 1) AS i FROM u),
         sup AS (SELECT leaf, i, token, sum(c) AS s FROM cell GROUP BY 1, 2, 3),
         tm AS (
-            SELECT leaf, line, string_agg(CASE WHEN s >= 4 THEN cell.token ELSE '<*>' END, ' ' ORDER BY cell.i) AS template FROM cell JOIN sup USING (leaf, i, token)
+            SELECT leaf, line, string_agg(CASE WHEN s >= 4 THEN cell.token ELSE ' ' END, chr(10) ORDER BY cell.i) AS template FROM cell JOIN sup USING (leaf, i, token)
             GROUP BY 1, 2 HAVING sum((s >= 4)::INT) >= 0.6 * count(*)
         ),
         td AS (SELECT DISTINCT lf.doc_id, leaf, line, template FROM lf JOIN tm USING (leaf, line)),
         rec AS (SELECT template, min(doc_id) AS first FROM td GROUP BY 1 HAVING count(DISTINCT doc_id) >= 4),
-        gone AS (SELECT DISTINCT doc_id, line FROM td JOIN rec USING (template) WHERE doc_id <> first),
+        lit AS (SELECT line, min(doc_id) AS first FROM lf WHERE len(ts) >= 50 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+        gone AS (SELECT doc_id, line FROM td JOIN rec USING (template) WHERE doc_id <> first UNION SELECT doc_id, line FROM lf JOIN lit USING (line) WHERE doc_id <> first),
         kept AS (SELECT tk.doc_id, place, tk.line, gone.line IS NOT NULL AS dropped FROM tk LEFT JOIN gone ON tk.doc_id = gone.doc_id AND tk.line = gone.line)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS text_sha256 FROM kept GROUP BY 1
     """,

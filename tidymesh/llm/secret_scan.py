@@ -11,7 +11,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidymesh.llm.common import numbered, renamed, settle, text_or_empty
+from tidymesh.llm.common import let, numbered, renamed, running, settle, text_or_empty
 
 #: The base patterns, in the order in which ties are listed.
 PATTERNS = {
@@ -55,26 +55,6 @@ node not number object of on open option order other output package page panel p
 HEX_WORDS = "dead beef cafe babe face feed fade bad add decade facade ace bed dad fed ffff 0000 1234 2024 00ff 1111 aaaa 1999".split()
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with the value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def running(values: Column, both: Callable[[Column, Column], Column], first: Column) -> Column:
-    """The array of ``both`` over all values up to each place (``first`` changes nothing): in round k each place takes in
-    what the place 2**k before it has, so the time is n log n."""
-
-    def step(x: Column, k: Column) -> Column:
-        far = F.call_function("shiftleft", F.lit(1), k)
-        return F.zip_with(x, F.concat(F.array_repeat(first, far), F.slice(x, F.lit(1), F.size(x) - far)), both)
-
-    def scan(x: Column) -> Column:
-        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(x).cast("double"))).cast("int") - 1)
-        return F.when(F.size(x) > 1, F.aggregate(rounds, x, step)).otherwise(x)
-
-    return let(values, scan)
-
-
 def _located(text: Column, pattern: str) -> Column:
     """All matches with start and end in code points: what lies between them is split off, and lengths summed."""
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
