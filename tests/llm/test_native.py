@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import empty_docs, odd_docs, odd_texts
 from tidymesh.llm import queries as Q
@@ -41,6 +42,15 @@ def test_exact_dedup_odd(spark):
     assert sorted((r.doc_id, r.kept) for r in twice) == [(1, True), (1, True), (2, False)]
 
 
+def test_exact_dedup_collisions(spark):
+    """A digest of few values: texts that only share it stay apart."""
+    rows = [(i, ["a", "b", "c", None, "", "long " * 50, "d"][i % 7]) for i in range(50)]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=lambda t: (F.length(t) % 2).cast("string")).collect()
+    for r in got:
+        own = [i for i, t in rows if (t or "") == (r.text or "")]
+        assert (r.keep_id, r.group_size, r.kept) == (min(own), len(own), r.doc_id == min(own))
+
+
 def brute_base(text):
     out = []
     for k, (pattern, ok) in enumerate(
@@ -190,16 +200,51 @@ def test_sharding(spark, sf_dir):
         load[r.shard] += r.size
         assert of.setdefault(texts[r.doc_id], r.shard) == r.shard
     assert set(slots) <= set(range(24)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
-    weights = Counter()
-    for t in texts.values():
-        weights[hashlib.md5(t.encode()).hexdigest()] += len(t.encode()) + 8
-    total, left, alone = sum(weights.values()), 24, 0
-    for w in sorted(weights.values(), reverse=True):
-        if w * left > total:
-            total, left, alone = total - w, left - 1, alone + 1
-    rest = [w for _, w in sorted(weights.items())]
-    big = set(sorted(rest, reverse=True)[:alone])
-    assert max(load[s] for s in range(alone, 24)) == brute_capacity([w for w in rest if w not in big], left)
+    check_shards([(texts[r.doc_id], r.shard) for r in rows], 24)
+
+
+def check_shards(rows, shards):
+    """Shards are ranges of the hash order; heavy groups have one of their own, and of the others the largest is as small as can be."""
+    weights, of = Counter(), {}
+    for t, shard in rows:
+        key = hashlib.md5(t.encode()).hexdigest()
+        weights[key] += len(t.encode()) + 8
+        assert of.setdefault(key, shard) == shard
+    order = sorted(weights)
+    assert [of[k] for k in order] == sorted(of.values()) and set(of.values()) == set(range(max(of.values()) + 1)) and max(of.values()) < shards
+    total, alone = sum(weights.values()), []
+    for k in sorted(weights, key=lambda k: (-weights[k], k))[: (shards - 1) // 2]:
+        if weights[k] * (shards - len(alone)) > total:
+            alone.append(k)
+            total -= weights[k]
+    sides, load = [[]], Counter()
+    for k in order:
+        if k in alone:
+            sides.append([])
+            assert [x for x in order if of[x] == of[k]] == [k]
+        else:
+            sides[-1].append(weights[k])
+            load[of[k]] += weights[k]
+    if load:
+        # the fewest shards that each side needs at a capacity, by greedy
+        def needed(capacity):
+            n = 0
+            for side in sides:
+                at = capacity + 1
+                for w in side:
+                    n, at = (n + 1, w) if at + w > capacity else (n, at + w)
+            return n
+
+        left, most = shards - len(alone), max(load.values())
+        assert needed(most) <= left and (most == max(w for x in sides for w in x) or needed(most - 1) > left)
+
+
+@pytest.mark.parametrize("hot", [1, 2, 4])
+def test_sharding_hot_groups(spark, hot):
+    rows = [(i, f"text number {i} " * (i % 5 + 1)) for i in range(3000)] + [(10_000 * (h + 1) + i, f"hot {h} " * 40) for h in range(hot) for i in range(700)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=9).collect()
+    texts = dict(rows)
+    check_shards([(texts[r.doc_id], r.shard) for r in got], 9)
 
 
 def test_sharding_odd(spark):
