@@ -14,7 +14,7 @@ from tests.llm.cases import empty_docs, odd_docs, odd_texts
 from tidymesh.llm import queries as Q
 from tidymesh.llm.byte_bpe import decode_bpe, encode_bpe, load_ranks
 from tidymesh.llm.packing import Effort, Tokens, best_fit, bin_completion, cut, fillings, pack_documents
-from tidymesh.llm.warc import framed, read_warc, records, round_trip, unframed, write_warc
+from tidymesh.llm.warc import SEGMENT, framed, read_warc, records, round_trip, unframed, write_warc
 
 MULTI = tok.path("byte_bpe_multi_50k.tiktoken")
 
@@ -165,6 +165,7 @@ def test_packing_odd(spark):
 def test_warc(spark, sf_dir):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     rows = Q.op7_warc(spark, sf_dir).collect()
+    assert sum(len(x) > SEGMENT for x in pages.values()) > 10  # so ordinary pages are put together from segments
     assert sorted(r.page_id for r in rows) == sorted(pages)
     check_warc(rows, pages)
 
@@ -200,6 +201,8 @@ def test_warc_faults(spark, tmp_path):
             unframed(bad)
     df = spark.createDataFrame([(1, "u", "abc" * 1000)], "page_id long, url string, html string")
     write_warc(df, f"{tmp_path}/w", segment=500)
+    heads = [h for r in spark.read.format("binaryFile").load(f"{tmp_path}/w").collect() for h, _ in records(bytes(r.content))]
+    assert all({"warc-type", "warc-record-id", "warc-date", "warc-target-uri", "content-length"} <= set(h) for h in heads) and len({h["warc-record-id"] for h in heads}) == len(heads)
     data = b"".join(gzip.decompress(bytes(r.content)) for r in spark.read.format("binaryFile").load(f"{tmp_path}/w").collect())
     assert read_warc(spark, f"{tmp_path}/w").first().payload == b"abc" * 1000
     (tmp_path / "cut").mkdir()
@@ -207,3 +210,15 @@ def test_warc_faults(spark, tmp_path):
     (tmp_path / "cut" / "a.warc").write_bytes(b"WARC/1.1\r\n".join(kept[:2] + kept[3:]))
     with pytest.raises(Exception, match="segments"):
         read_warc(spark, f"{tmp_path}/cut").collect()
+    both = spark.createDataFrame([(i, "u", "abc" * 1000) for i in range(3)], "page_id long, url string, html string")
+    write_warc(both, f"{tmp_path}/v", segment=500)
+    data = b"".join(gzip.decompress(bytes(r.content)) for r in spark.read.format("binaryFile").load(f"{tmp_path}/v").collect())
+    heads = [h for h, _ in records(data)]
+    own = {h["warc-record-id"]: h["x-page-id"] for h in heads if h["warc-type"] == "response"}
+    assert [own[h["warc-refers-to"]] for h in heads if h["warc-type"] == "revisit"] == ["0", "0"]
+    kept = data.split(b"WARC/1.1\r\n")
+    for name, parts in (("gone", [kept[0]] + [x for x in kept[1:] if x.startswith(b"WARC-Type: revisit")]), ("other", [x.replace(b"WARC-Payload-Digest: sha256:", b"WARC-Payload-Digest: sha256:0") if x.startswith(b"WARC-Type: revisit") else x for x in kept])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(b"WARC/1.1\r\n".join(parts))
+        with pytest.raises(Exception, match="no record with this payload"):
+            read_warc(spark, f"{tmp_path}/{name}").collect()

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tidymesh.llm.common import attach_groups, fresh_path, settle, text_or_empty
 
 END = b"\r\n\r\n"
-CHUNK = 64 * 1024
-SEGMENT = 128 * 1024
-RECORDS_PER_FILE = 512
+#: Bytes of a chunk of the body and of a segment: an ordinary page has several chunks, and a longer one several segments.
+CHUNK, SEGMENT = 1024, 4096
+RECORDS_PER_FILE = 8192
 
 
 def framed(body: bytes, size: int = CHUNK) -> bytes:
@@ -74,25 +74,26 @@ def uuid_urn(name: str) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
-def segments(page: str | None, target: str | None, uid: str, kind: str, refers: str | None, body: bytes, digest: str, size: int) -> Iterator[bytes]:
-    """The records of one page: a revisit has no body; a long response goes on in continuation records."""
+def segments(page: str | None, target: str | None, uid: str, first: str | None, body: bytes, digest: str, size: int) -> Iterator[bytes]:
+    """The records of one page: a revisit (of the record of ``first``) has no body; a long response goes on in continuation records."""
     own = uuid_urn(uid)
-    fields = [("WARC-Target-URI", target and "".join(target.split())), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-Id", page), ("X-Payload-Length", len(body))]
-    if kind == "revisit":
-        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", refers)]
-        yield record([("WARC-Type", kind), ("WARC-Record-ID", own), *fields, *more], b"")
+    named = [("WARC-Target-URI", target and "".join(target.split())), ("WARC-Date", "1970-01-01T00:00:00Z")]
+    fields = [*named, ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-Id", page)]
+    if first is not None:
+        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", uuid_urn(first))]
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *fields, *more], b"")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + framed(body)
     http = ("Content-Type", "application/http; msgtype=response")
     if len(block) <= size:
-        yield record([("WARC-Type", kind), ("WARC-Record-ID", own), *fields, http], block)
+        yield record([("WARC-Type", "response"), ("WARC-Record-ID", own), *fields, http], block)
         return
     for k, at in enumerate(range(0, len(block), size)):
         last = [("WARC-Segment-Total-Length", len(block))] if at + size >= len(block) else []
         if k == 0:
-            yield record([("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Segment-Number", 1), *fields, http], block[:size])
+            yield record([("WARC-Type", "response"), ("WARC-Record-ID", own), ("WARC-Segment-Number", 1), *fields, http], block[:size])
         else:
-            more = [("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k + 1), *last]
+            more = [*named, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k + 1), *last]
             yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", uuid_urn(f"{uid}/{k + 1}")), *more], block[at : at + size])
 
 
@@ -105,48 +106,51 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     has ``per_file`` records of about that size at most. Extra columns are left out.
     """
     given = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), text_or_empty(body_col).cast("string").alias("body"))
-    rows = given.withColumn("digest", F.sha2("body", 256)).withColumn("n", F.octet_length("body"))
-    groups = rows.where((F.col("n") >= least) & F.col("page").isNotNull()).groupBy("digest").agg(F.count("*").alias("copies"), F.min("page").alias("first")).where("copies > 1")
-    met = attach_groups(rows.drop("n"), settle(groups, "copies"), "digest", "copies", rows.count(), F.col("page"))
-    revisit = F.col("page").isNotNull() & (F.col("page") != F.col("first"))
-    met = met.select("page", F.col("page").cast("string").alias("page_text"), "url", "body", "digest", F.when(revisit, F.col("first").cast("string")).alias("refers"), F.monotonically_increasing_id().alias("row"))
+    given = given.withColumn("digest", F.sha2("body", 256)).withColumn("n", F.octet_length("body"))
+    rows = settle(given.withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = rows.where((F.col("n") >= least) & F.col("page").isNotNull()).groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("page", "row")).alias("first")).where("copies > 1")
+    groups = settle(groups, "copies")
+    n_rows = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]  # in groups, so hot ones are few
+    met = attach_groups(rows.drop("n"), groups, "digest", "copies", n_rows, F.col("row"))
+    revisit = F.col("page").isNotNull() & (F.col("page") != F.col("first.page"))
+    uid = lambda page, row: F.concat_ws("/", F.col(page).cast("string"), F.col(row))
+    met = met.select(F.col("page").cast("string").alias("page"), "url", "body", "digest", F.when(revisit, uid("first.page", "first.row")).alias("first"), uid("page", "row").alias("uid"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for page, url, body, digest, refers, row in zip(*(frame[c] for c in ("page_text", "url", "body", "digest", "refers", "row"))):
-                page, url, refers = (None if pd.isna(x) else x for x in (page, url, refers))
-                kind = "revisit" if refers is not None else "response"
-                out += segments(page, url, f"{page}/{row}", kind, refers, body.encode("utf-8", "surrogatepass"), digest, segment)
+            for page, url, body, digest, first, own in zip(*(frame[c] for c in ("page", "url", "body", "digest", "first", "uid"))):
+                page, url, first = (None if pd.isna(x) else x for x in (page, url, first))
+                out += segments(page, url, own, first, body.encode("utf-8", "surrogatepass"), digest, segment)
             yield pd.DataFrame({"value": out})
 
     # a record is bytes; the writer puts them out as they are, with the separator after each
-    written = met.drop("page").mapInPandas(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    written = met.mapInPandas(run, "value binary").select(F.col("value").cast("string").alias("value"))
     written.write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-PAGE = "page string, record_type string, refers_to string, payload binary, payload_digest string, payload_bytes bigint, url string"
-SEGMENT_ROW = "origin string, number int, total bigint, type string, page string, url string, refers string, digest string, length bigint, block binary"
+PAGE = "record string, page string, record_type string, refers string, payload binary, payload_digest string, payload_bytes bigint, url string"
+SEGMENT_ROW = "origin string, number int, total bigint, type string, page string, url string, refers string, digest string, block binary"
+HEAD = ("type", "page", "url", "refers", "digest")
 
 
 def described(h: dict[str, str]) -> tuple:
-    """(type, page, url, refers, digest, length) of a record's head."""
-    length = int(h["x-payload-length"]) if "x-payload-length" in h else None
-    return h["warc-type"], h.get("x-page-id"), h.get("warc-target-uri"), h.get("x-refers-to-page"), h.get("warc-payload-digest", "").removeprefix("sha256:") or None, length
+    """HEAD of a record."""
+    return h["warc-type"], h.get("x-page-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha256:") or None
 
 
-def built(about: tuple, block: bytes, bodies: bool) -> tuple:
+def built(own: str, about: tuple, block: bytes, bodies: bool) -> tuple:
     """A row of PAGE from a whole block: the chunked framing is undone and the digest checked."""
-    kind, page, url, refers, digest, length = about
+    kind, page, url, refers, digest = about
     if kind == "revisit":
-        return page, kind, refers, None, digest, length, url
+        return own, page, kind, refers, None, digest, None, url
     head, _, payload = block.partition(END)
     if b"transfer-encoding: chunked" in head.lower():
         payload = unframed(payload)
-    own = hashlib.sha256(payload).hexdigest()
-    if digest and own != digest:
+    found = hashlib.sha256(payload).hexdigest()
+    if digest and found != digest:
         raise ValueError("the payload's digest is another")
-    return page, kind, refers, payload if bodies else None, own, len(payload), url
+    return own, page, kind, None, payload if bodies else None, found, len(payload), url
 
 
 def table(rows: list[tuple], kind: str) -> pa.RecordBatch:
@@ -157,13 +161,14 @@ def table(rows: list[tuple], kind: str) -> pa.RecordBatch:
 
 
 def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
-    """The pages in the archives of ``path``: page (text), record_type, refers_to (text), payload (null for
-    revisits, and for all without ``bodies``), payload_digest, payload_bytes, url.
+    """The pages in the archives of ``path``: page (text), record_type, refers_to (the page, as text, of the record that a revisit
+    refers to), payload (null for revisits, and for all without ``bodies``), payload_digest, payload_bytes, url.
 
     Records that are whole are taken where they stand. Segments are grouped by the id of their origin (the segments
     of one record, never more), put in order by their numbers and checked against the total length that the last
-    one states; then the chunked framing is undone and the digest checked. A missing, repeated or cut-off segment,
-    or a body of another digest, raises ValueError.
+    one states; then the chunked framing is undone and the digest checked. What was read is settled, and revisits look up the record they
+    refer to, much revisited ones by a bounded broadcast. A missing, repeated or cut-off segment, a body of another digest, or a revisit
+    whose record is missing or has another digest, raises an error. No archives give an empty result.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 
@@ -171,7 +176,7 @@ def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 found = records(data.as_py())
-                yield table([built(described(h), block, bodies) for h, block in found if h["warc-type"] in ("response", "revisit") and "warc-segment-number" not in h], PAGE)
+                yield table([built(h["warc-record-id"], described(h), block, bodies) for h, block in found if h["warc-type"] in ("response", "revisit") and "warc-segment-number" not in h], PAGE)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,9 +187,8 @@ def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
                     rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), int(h["warc-segment-number"]), total, *described(h), block))
                 yield table(rows, SEGMENT_ROW)
 
-    names = ("type", "page", "url", "refers", "digest", "length")
-    head = [F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in names]
-    parts = files.mapInArrow(pieces, SEGMENT_ROW).groupBy("origin").agg(*head, F.array_sort(F.collect_list(F.struct("number", "total", "block"))).alias("parts")).drop("origin")
+    head = [F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in HEAD]
+    parts = files.mapInArrow(pieces, SEGMENT_ROW).groupBy("origin").agg(*head, F.array_sort(F.collect_list(F.struct("number", "total", "block"))).alias("parts"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,10 +198,20 @@ def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
                 numbers, data = [p["number"] for p in r["parts"]], b"".join(p["block"] for p in r["parts"])
                 if numbers != list(range(1, len(numbers) + 1)) or r["parts"][-1]["total"] != len(data):
                     raise ValueError(f"segments {numbers} of {len(data)} bytes don't make the record")
-                rows.append(built(tuple(r[c] for c in names), data, bodies))
+                rows.append(built(r["origin"], tuple(r[c] for c in HEAD), data, bodies))
             yield table(rows, PAGE)
 
-    return files.mapInArrow(wholes, PAGE).unionByName(parts.mapInArrow(join, PAGE))
+    pages = settle(files.mapInArrow(wholes, PAGE).unionByName(parts.mapInArrow(join, PAGE)), "pages")
+    again, whole = pages.where("record_type = 'revisit'"), pages.where("record_type <> 'revisit'")
+    wanted = again.where("refers IS NOT NULL").groupBy("refers").agg(F.count("*").alias("times"))
+    found = whole.select(F.col("record").alias("refers"), F.col("page").alias("refers_to"), F.struct(F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes")).alias("of"))
+    found = settle(wanted.join(found, "refers"), "referred")
+    met = attach_groups(again, found, "refers", "times", found.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0], F.col("record"))
+    same = F.coalesce(F.col("of.digest") == F.col("payload_digest"), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("no record with this payload for the revisit "), "record")).cast("bigint")
+    shown = ["page", "record_type", "refers_to", "payload", "payload_digest", "payload_bytes", "url"]
+    met = met.withColumn("payload_bytes", F.when(same, F.col("of.bytes")).otherwise(wrong))
+    return whole.withColumn("refers_to", F.lit(None).cast("string")).select(*shown).unionByName(met.select(*shown))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", path: str | None = None, bodies: bool = True) -> DataFrame:
