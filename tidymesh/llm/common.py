@@ -29,16 +29,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: Column) -> DataFrame:
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: Column, few: int = FEW) -> DataFrame:
     """Left-join ``groups`` (settled; unique string ``key``, ``size`` rows in each) to ``rows`` without one task per hot key.
 
-    Up to FEW groups are broadcast as they are. Of more, those of HOT rows (of fewer where there are under 1000 * HOT rows in all)
+    Up to ``few`` groups are broadcast as they are. Of more, those of HOT rows (of fewer where there are under 1000 * HOT rows in all)
     are broadcast: they are at most MOST, as beyond MOST * HOT rows only keys of the share 1 / MOST are hot. All others meet in a
     shuffle join, where rows that are already answered are dealt by ``spread``.
     """
     least = max(min(n_rows / 1000, HOT), n_rows / MOST)
     others = [c for c in groups.columns if c != key]
-    if groups.count() <= FEW:
+    if groups.count() <= few:
         return rows.join(F.broadcast(groups), key, "left").select(*rows.columns, *others)
     hot = groups.where(F.col(size) >= least).select(F.col(key), F.struct(*others).alias("__hot"))
     cold = groups.where(F.col(size) < least).select(F.col(key).alias("__key"), F.struct(*others).alias("__cold"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from tidymesh.llm.common import attach_groups, let, numbered, renamed, running,
 
 #: Leading tokens on the way from the root (the number of tokens) to a leaf of the tree.
 LEADING = 2
+#: Groups that are broadcast as they are; few, so that small and large inputs go the same way.
+BROADCAST = 1000
 #: Stands for a variable field: no token has a space.
 FIELD = " "
 #: Comparisons of lines with dropped ones that a document's lines are looked up by; beyond, both are sorted.
@@ -29,6 +33,25 @@ def _key(*parts: Column | str) -> Column:
     return F.hex(F.xxhash64(*parts))
 
 
+def recurring_keys(rows: DataFrame, keys: DataFrame, of: dict[str, Column]) -> DataFrame:
+    """``rows`` plus, for each name in ``of``, whether that hash may be among ``keys`` (settled; key long).
+
+    The keys' lowest bits are put down in bitmaps, 64 bits for a key and at most 2**28 (32 MB), which are broadcast whatever the number of
+    keys: so rows with their texts stay where they are. Some that aren't there pass, which costs time and no more.
+    """
+    bits = min(28, max(15, math.ceil(math.log2(64 * max(1, keys.count())))))
+    at = lambda key: F.pmod(key, F.lit(1 << bits))
+    maps = keys.select(at(F.col("key")).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("__bits"))
+    out = rows
+    for name, key in of.items():
+        place = F.bitmap_bit_position(at(key))
+        byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
+        own = F.broadcast(maps.select(F.col("__bucket").alias(f"__{name}"), "__bits"))
+        out = out.join(own, (F.bitmap_bucket_number(at(key)) == F.col(f"__{name}")) & hit, "left").withColumn(name, F.col(f"__{name}").isNotNull()).drop("__bits", f"__{name}")
+    return out
+
+
 def without(lines: Column, gone: Column) -> Column:
     """The lines whose keys aren't among ``gone``: few are looked up one by one; of many, the keys of both are sorted, and a mark goes on from a
     dropped key to the lines after it that have the same, so the time is n log n."""
@@ -67,7 +90,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 4, min_tokens: int = 3, constan
 
     Equal lines of a leaf are taken together before tokens are told apart, all counts add up before they are
     shuffled, and what is looked up by hot lines, tokens and templates goes by attach_groups, so no task gathers
-    them. Leaves with too few lines fall away first, so most of the text is never cut into token rows. Tokens are told apart per leaf, so a
+    them. Leaves with too few lines fall away first, by broadcast bitmaps, so most of the text is never shuffled nor cut into token rows. Tokens are told apart per leaf, so a
     value that recurs in one template of a leaf counts as constant in the others of that leaf too.
 
     Null texts count as empty and stay null; rows with a null id keep all their lines and aren't counted; rows that
@@ -78,17 +101,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 4, min_tokens: int = 3, constan
     found = plain.where(row_id.isNotNull()).select(row_id.alias("id"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("line"))
     lines = found.withColumn("tokens", _tokens(F.col("line"))).where(F.size("tokens") >= min_tokens)
     lines = lines.select("id", "line", (F.size("tokens") >= long_tokens).alias("long"), _leaf(F.col("tokens")).alias("leaf"))
-    counted = lines.groupBy("leaf", "long").agg(F.count("*").alias("size"))
-    leaves = settle(counted.where(F.col("size") >= F.when(F.col("long"), 2).otherwise(min_docs)).select("leaf", "size"), "leaves")
-    n_lines = leaves.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]  # in these leaves, so hot ones are few
-    kept = attach_groups(lines, leaves, "leaf", "size", n_lines, F.col("line")).where("size IS NOT NULL")
-    kept = settle(kept.select("id", "leaf", "line", "long", "size", _key("leaf", "line").alias("lid")), "lines")
+    # keys of leaves are even, those of long lines odd
+    of_leaf, of_line = F.shiftleft(F.xxhash64("leaf"), 1), F.when(F.col("long"), F.shiftleft(F.xxhash64("leaf", "line"), 1) + 1)
+    keys = lines.select(F.explode(F.array_compact(F.array(of_leaf, of_line))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    often = settle(keys.where(F.col("n") >= F.when(F.col("key") % 2 == 0, min_docs).otherwise(2)).select("key"), "often")
+    kept = recurring_keys(lines, often, {"leaf_again": of_leaf, "line_again": of_line}).where("leaf_again OR line_again")
+    kept = settle(kept.select("id", "leaf", "line", "long", "leaf_again", _key("leaf", "line").alias("lid")), "lines")
     n_kept = kept.count()
 
-    unique = settle(kept.groupBy("lid", "leaf", "line").agg(F.count("*").alias("c"), F.first("long").alias("long"), F.first("size").alias("size")), "unique")
-    cells = unique.where(F.col("size") >= min_docs).select("lid", "c", "leaf", F.posexplode(_tokens(F.col("line"))).alias("i", "token")).withColumn("cell", _key("leaf", "i", "token"))
+    unique = settle(kept.groupBy("lid", "leaf", "line").agg(F.count("*").alias("c"), F.first("long").alias("long"), F.first("leaf_again").alias("leaf_again")), "unique")
+    cells = unique.where("leaf_again").select("lid", "c", "leaf", F.posexplode(_tokens(F.col("line"))).alias("i", "token")).withColumn("cell", _key("leaf", "i", "token"))
     support = settle(cells.groupBy("cell").agg(F.sum("c").alias("support")).where(F.col("support") >= min_docs), "support")
-    met = attach_groups(cells.select("lid", "c", "leaf", "i", "token", "cell"), support, "cell", "support", n_kept, F.col("lid"))
+    met = attach_groups(cells.select("lid", "c", "i", "token", "cell"), support, "cell", "support", n_kept, F.col("lid"), few=BROADCAST)
     # the tokens of one line, so as many as it has
     parts = F.array_sort(F.collect_list(F.struct("i", F.when(F.col("support").isNotNull(), F.col("token")).otherwise(F.lit(FIELD)).alias("t"))))
     fixed = F.count("support")
@@ -99,11 +123,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 4, min_tokens: int = 3, constan
     templates = templates.unionByName(literal).groupBy("lid", "c").agg(F.collect_list(F.struct("template", "least")).alias("of"))
     templates = settle(templates, "templates")
 
-    of = attach_groups(kept.select("id", "lid"), templates, "lid", "c", n_kept, F.col("id")).where("of IS NOT NULL").select("id", "lid", F.explode("of").alias("of"))
+    of = attach_groups(kept.select("id", "lid"), templates, "lid", "c", n_kept, F.col("id"), few=BROADCAST).where("of IS NOT NULL").select("id", "lid", F.explode("of").alias("of"))
     of = settle(of.select("id", "lid", "of.template", "of.least"), "templated")
     docs_of = of.groupBy("template", "least", "id").agg(F.lit(1).alias("one")).groupBy("template", "least").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
     recurring = settle(docs_of.where(F.col("docs") >= F.col("least")).drop("least"), "recurring")
-    gone = attach_groups(of, recurring, "template", "docs", n_kept, F.col("id")).where(F.col("first").isNotNull() & (F.col("id") != F.col("first")))
+    gone = attach_groups(of, recurring, "template", "docs", n_kept, F.col("id"), few=BROADCAST).where(F.col("first").isNotNull() & (F.col("id") != F.col("first")))
     # the lines of one document
     gone = gone.groupBy("id").agg(F.collect_set("lid").alias("gone"))
 
