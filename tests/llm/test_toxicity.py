@@ -84,3 +84,30 @@ def test_odd(spark):
     assert all(0 <= r.score <= 1 for r in rows) and {r.score for r in rows if r.doc_id < 3} == {rows[0].score}
     assert score_toxicity(empty_docs(spark), fit_toxicity(empty_docs(spark), none)).count() == 0
     assert score_toxicity(docs.withColumn("text", F.lit("a")), fit_toxicity(docs, labels)).count() == len(odd_texts())
+
+
+def test_long_words_and_texts(spark):
+    """An insult far inside a run without spaces teaches; so do long clean texts; an id's rows and contradictory labels stay bounded."""
+    rng = random.Random(3)
+    run = lambda bad: "".join(rng.choice(SYLLABLES) for _ in range(25)) + bad + "".join(rng.choice(SYLLABLES) for _ in range(10))
+    texts = [f"{text(rng)} {run('scumbag' if i % 4 == 0 else 'es')}" for i in range(800)]
+    model = fit(texts, [int(i % 4 == 0) for i in range(800)])
+    rows = score_toxicity(spark.createDataFrame([(i, f"{text(rng)} {run('scumbag' if i % 2 else 'un')}") for i in range(100)], "id long, text string"), model).collect()
+    assert sum(r.score > 0.3 for r in rows if r.id % 2) >= 45 and sum(r.score > 0.3 for r in rows if not r.id % 2) <= 5
+
+    docs = [(i, text(rng, "moronic" if i % 4 == 0 else None)) for i in range(400)] + [(1, text(rng))] * 300 + [(1000, " ".join(text(rng) for _ in range(300)))]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(400)] + [(1000, 1, 0), (3, 1, 1)]
+    model = fit_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), chars=2_000)
+    rows = score_toxicity(spark.createDataFrame([(i, text(rng, "moronic" if i % 2 else None)) for i in range(60)], "id long, text string"), model).collect()
+    assert sum(r.score > 0.3 for r in rows if r.id % 2) >= 27 and sum(r.score > 0.3 for r in rows if not r.id % 2) <= 3
+
+
+def test_scores_against_brute_force(spark):
+    """Each score is that of the machine's weights summed over all subsequences of each window, the greatest of a text taken to a probability."""
+    rng = random.Random(8)
+    texts = [text(rng, rng.choice(["worthless", "idiot"])) if i % 3 == 0 else text(rng) for i in range(300)]
+    model = fit(texts, [int(i % 3 == 0) for i in range(300)])
+    for r in score_toxicity(spark.createDataFrame([(t,) for t in texts[:60]] + [(None,), ("",)], "text string"), model).collect():
+        values = sorted((max(float(model.values([w])[0]), -2.0) for w in units(r.text or "")), reverse=True)
+        x = np.array([*(values + [-2.0] * 3)[:3], np.log1p(len(values))])
+        assert abs(r.score - 1 / (1 + np.exp(-(x @ model.link[:-1] + model.link[-1])))) < 1e-4

@@ -21,6 +21,8 @@ DECAY = 0.6
 BITS = 18
 WITNESSES = 2
 WIDTH, STEP = 32, 16
+#: Pieces that are learnt from in a long text.
+SAMPLES = 20
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 _TABLE = str.maketrans({**dict.fromkeys("""'"*-_.`~^#&%$@+=<>{}[]\\""", None), **dict.fromkeys(",;:!?/|()", " ")})
@@ -89,20 +91,30 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
-    """Weights and bias of the linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
-    penalty = np.full(x.shape[1], ridge)
+    """Weights and bias of the linear machine with squared hinge loss, by Newton steps on the rows inside the margin; sums are taken over
+    blocks of rows, so no copy of all of them is made."""
+    blocks = [slice(k, k + 1024) for k in range(0, len(x), 1024)]
+    size = x.shape[1] + 1
+    penalty = np.full(size, ridge)
     penalty[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(size)
+
+    def values(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([x[b].astype(np.float64) @ w[:-1] + w[-1] for b in blocks])
 
     def loss(w: np.ndarray) -> float:
-        return float((weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + (penalty * w * w).sum())
+        return float((weight * np.maximum(0, 1 - y * values(w)) ** 2).sum() + (penalty * w * w).sum())
 
     now = loss(w)
     for _ in range(rounds):
-        inside = y * (x @ w) < 1
-        xi = x[inside] * weight[inside, None]
-        step = np.linalg.solve(xi.T @ x[inside] + np.diag(penalty), xi.T @ y[inside]) - w
+        inside = y * values(w) < 1
+        left, right = np.diag(penalty), np.zeros(size)
+        for b in blocks:
+            own = np.concatenate([x[b][inside[b]], np.ones((int(inside[b].sum()), 1), x.dtype)], axis=1).astype(np.float64)
+            weighed = own * weight[b][inside[b], None]
+            left += weighed.T @ own
+            right += weighed.T @ y[b][inside[b]]
+        step = np.linalg.solve(left, right) - w
         scale = 1.0
         while scale > 1e-3 and loss(w + scale * step) > now:
             scale /= 2
@@ -163,10 +175,11 @@ def features(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], labels: list[int], landmarks: int = 384, words: int = 8_000, rounds: int = 3, seed: int = 1) -> Model:
+def fit(texts: list[str], labels: list[int], landmarks: int = 384, words: int = 16_000, rounds: int = 3, seed: int = 1) -> Model:
     """Train on labelled texts, of which one in four sets the link from values to probabilities.
 
-    A toxic text says not which of its words is toxic, so words stand for their text: each toxic text has the words
+    Words of over WIDTH characters are taken apart into overlapping windows, here as in scoring. A toxic text says not which of its words is
+    toxic, so words stand for their text: each toxic text has the words
     of the greatest values as its witnesses, first by the log odds of its subsequences and then by the machine, which
     is trained again with the new witnesses (``rounds`` times). Landmarks: witnesses, clean words like them, and
     clean words at random; the kernel with them, whitened, is what the machine sees.
@@ -176,16 +189,16 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 384, words: int =
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), 0.0, np.zeros(0), float(y.mean()) if len(y) else 0.0)
     docs = [sorted(units(t)) for t in texts]
+    parts = [sorted({p for w in d for p in windows(w)}) for d in docs]  # as in scoring, all windows of a long word
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         own = rng.permutation(np.flatnonzero(y == c))
         held[own[: max(1, len(own) // 4)] if len(own) > 1 else own] = True
     train = ~held if y[~held].min(initial=1) != y[~held].max(initial=0) else np.ones(len(y), bool)
     place: dict[str, int] = {}
-    at = [np.array([place.setdefault(w, len(place)) for w in d], np.int64) for d in docs]
-    vocabulary = list(place)
-    shown = [windows(w)[0] for w in vocabulary]
-    seen = np.zeros((2, len(vocabulary)))
+    at = [np.array([place.setdefault(w, len(place)) for w in d], np.int64) for d in parts]
+    shown = list(place)
+    seen = np.zeros((2, len(shown)))
     for i in np.flatnonzero(train):
         seen[y[i], at[i]] += 1
     totals = np.ones((2, 1 << BITS))
@@ -218,7 +231,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 384, words: int =
         target = np.where(np.arange(len(own)) < len(positive), 1.0, -1.0)
         many = np.concatenate([np.sqrt(votes), np.ones(len(own) - len(positive))])
         many[target > 0] *= (len(own) - len(positive)) / max(1.0, many[target > 0].sum()) / 4
-        z = kernel([shown[k] for k in own], names) @ whiten
+        z = kernel([shown[k] for k in own], names) @ whiten.astype(np.float32)
         w = svm(z, target, many, ridge=0.01 * len(own) / 100)
         beta = (whiten @ w[:-1]).astype(np.float32)
         ids, weights = subsequences(names)
@@ -227,7 +240,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 384, words: int =
     model = Model(table, float(w[-1]), np.zeros(0), landmarks=names)
     del z, shown
     kept = np.flatnonzero(held)
-    x = features(model.values([vocabulary[k] for i in kept for k in at[i]]), np.array([len(at[i]) for i in kept]))
+    x = features(model.values([w for i in kept for w in docs[i]]), np.array([len(docs[i]) for i in kept]))
     model.link = logistic(x, y[kept])
     return model
 
@@ -247,7 +260,8 @@ class Values(dict):
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", most: int = 150_000) -> DataFrame:
     """``docs`` plus the probability that each whole text is toxic (replaces a column of that name).
 
-    Null, empty and blank texts have the probability of a text without words. Each worker keeps the values of up
+    Null, empty and blank texts have the probability of a text without words; repeated rows are scored each; an empty table gives an empty
+    result. Each worker keeps the values of up
     to ``most`` words that it has met.
     """
     modest_batches(docs.sparkSession)
@@ -278,20 +292,27 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 3000, chars: int = 20_000) -> Model:
     """A model from labelled rows: at most ``rows`` of each label, those of the least hash of the id among the ones
-    that ``learn`` (an expression on the id) allows, and of these the texts of at most ``chars`` characters.
+    that ``learn`` (an expression on the id) allows. Of a clean text of over ``chars`` characters, SAMPLES pieces that are spread evenly over
+    it are learnt from, as many characters together; a toxic one of that length teaches nothing, as its pieces may be clean.
 
-    Rows with a null id, label or text teach nothing. Labels of one kind, or none, give a constant score.
+    Rows with a null id, label or text teach nothing, nor do ids with both labels. Of rows that repeat an id, the least text teaches. So the
+    driver gets at most 2 * ``rows`` texts of ``chars`` characters. Labels of one kind, or none, give a constant score.
     """
     allowed = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("__y")).where(F.col(id_col).isNotNull() & F.col("__y").isin(0, 1))
     if learn is not None:
         allowed = allowed.where(learn)
+    allowed = allowed.groupBy(id_col).agg(F.min("__y").alias("__y"), F.max("__y").alias("__most")).where("__y = __most").drop("__most")
     picked = None
     for y in (0, 1):
-        own = allowed.where(F.col("__y") == y).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+        own = allowed.where(F.col("__y") == y).orderBy(F.xxhash64(id_col), id_col).limit(rows)
         picked = own if picked is None else picked.unionByName(own)
+    text, each = F.col("__t"), chars // SAMPLES
+    start = lambda k: F.floor(k * (F.length(text) - each) / (SAMPLES - 1)).cast("int") + 1
+    sampled = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.substring(text, start(k), F.lit(each))), " ")
     # at most 2 * rows ids, so this side is bounded
-    found = docs.select(id_col, F.col(text_col).alias("__t")).where(F.length("__t") <= chars).join(F.broadcast(picked), id_col).select(id_col, "__t", "__y").toPandas()
-    found = found.sort_values([id_col, "__t"], kind="stable").groupby([id_col, "__y"], sort=False).head(4)
+    found = docs.select(id_col, F.col(text_col).alias("__t")).where("__t IS NOT NULL").join(F.broadcast(picked), id_col)
+    found = found.where((F.length("__t") <= chars) | (F.col("__y") == 0)).withColumn("__t", F.when(F.length("__t") <= chars, text).otherwise(sampled))
+    found = found.groupBy(id_col, "__y").agg(F.min("__t").alias("__t")).toPandas().sort_values(id_col, kind="stable")
     model = fit(found["__t"].tolist(), found["__y"].tolist())
     release()
     return model
