@@ -188,15 +188,18 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 384, words: int =
     y = np.asarray(labels, int)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), 0.0, np.zeros(0), float(y.mean()) if len(y) else 0.0)
-    docs = [sorted(units(t)) for t in texts]
-    parts = [sorted({p for w in d for p in windows(w)}) for d in docs]  # as in scoring, all windows of a long word
+    # each word and window is held once, texts as numbers of words
+    words_at: dict[str, int] = {}
+    place: dict[str, int] = {}
+    docs = [np.array([words_at.setdefault(w, len(words_at)) for w in sorted(units(t))], np.int64) for t in texts]
+    vocabulary = list(words_at)
+    parts = [np.array([place.setdefault(p, len(place)) for p in windows(w)], np.int64) for w in vocabulary]  # as in scoring, all windows of a long word
+    at = [np.unique(np.concatenate([np.zeros(0, np.int64), *(parts[w] for w in d)])) for d in docs]
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         own = rng.permutation(np.flatnonzero(y == c))
         held[own[: max(1, len(own) // 4)] if len(own) > 1 else own] = True
     train = ~held if y[~held].min(initial=1) != y[~held].max(initial=0) else np.ones(len(y), bool)
-    place: dict[str, int] = {}
-    at = [np.array([place.setdefault(w, len(place)) for w in d], np.int64) for d in parts]
     shown = list(place)
     seen = np.zeros((2, len(shown)))
     for i in np.flatnonzero(train):
@@ -240,7 +243,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 384, words: int =
     model = Model(table, float(w[-1]), np.zeros(0), landmarks=names)
     del z, shown
     kept = np.flatnonzero(held)
-    x = features(model.values([w for i in kept for w in docs[i]]), np.array([len(docs[i]) for i in kept]))
+    x = features(model.values([vocabulary[w] for i in kept for w in docs[i]]), np.array([len(docs[i]) for i in kept]))
     model.link = logistic(x, y[kept])
     return model
 
