@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tidymesh.llm.byte_bpe import decode_bpe, encode_bpe
 from tidymesh.llm.common import read
 from tidymesh.llm.exact_dedup import exact_dedup
+from tidymesh.llm.filter_audit import audit_filters
+from tidymesh.llm.hard_negatives import mine_negatives
 from tidymesh.llm.jaccard_join import jaccard_components
 from tidymesh.llm.line_dedup import dedup_lines
+from tidymesh.llm.main_text import extract_main, fit_costs
 from tidymesh.llm.packing import pack_documents
 from tidymesh.llm.secret_scan import PATTERNS, find_secrets, spelled
 from tidymesh.llm.sharding import shard_documents
@@ -86,6 +89,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(read(spark, sf_dir, "embeddings"), label)
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return extract_main(pages, fit_costs(pages)).select("page_id", "url", "text", "n_chars")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -98,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_topk_search": op9_topk_search,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_main_text": op12_main_text,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -159,4 +179,46 @@ ORACLE_SQL: dict[str, str] = {
         ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS own, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.own, q.vec_id AS anchor_id, c.own AS other, c.vec_id, c.label = q.label AS same,
+                CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.own <> c.own WHERE q.vec_id % 100 = 0
+        ), p AS (SELECT own, anchor_id, other, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id, other) <= 5),
+        n AS (
+            SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.own, p.other ORDER BY s.score DESC, s.vec_id, s.other) AS INTEGER) AS rank,
+                s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+            FROM p JOIN s ON s.own = p.own AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+        )
+        SELECT * FROM n WHERE rank <= 5
+    """,
+    "op13_filter_audit": """
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents
+        ), l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+        f AS (
+            SELECT part, CAST(len(ws) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 65 * len(ws) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS INT)
+                + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(d.doc_id > min(d.doc_id) OVER (PARTITION BY t) AS INT) AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+            FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+        ), c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY 1, 2),
+        x AS (SELECT chr(65 + CAST(i AS INT)) AS letter, CAST(1 << CAST(i AS INT) AS INT) AS bit FROM range(5) r(i)),
+        o AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM x a, x b, x c, x d, x e
+            WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+        ), s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS earlier FROM o, range(1, 6) r(k)),
+        a AS (
+            SELECT part, filter_order, step, bit, CAST(sum(CASE WHEN fails & (earlier | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+                CAST(sum(CASE WHEN fails & earlier = 0 AND fails & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+                CAST(sum(CASE WHEN fails & earlier <> 0 AND fails & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                CAST(sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                CAST(sum(CASE WHEN fails & earlier = 0 AND fails & bit <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+                CAST(sum(CASE WHEN fails & earlier = 0 AND fails & bit <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+            FROM c, s GROUP BY 1, 2, 3, 4
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM a
+    """,
 }
