@@ -134,9 +134,9 @@ def _upper_tail(x: Column) -> Column:
     low = _poly(x, [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752])
     rest = x
     for k in range(30, 0, -1):
-        rest = x + k / rest
-    density = F.exp(-x * x / 2)
-    return F.when(x < 4, density * top / low).otherwise(density / math.sqrt(2 * math.pi) / F.greatest(rest, F.lit(1.0)))
+        rest = x + float(k) / rest
+    density = F.exp(x * x * -0.5)
+    return F.when(x < 4.0, density * top / low).otherwise(density / math.sqrt(2 * math.pi) / F.greatest(rest, F.lit(1.0)))
 
 
 def _poly(x: Column, coefficients: list[float]) -> Column:
@@ -150,8 +150,8 @@ def _poly(x: Column, coefficients: list[float]) -> Column:
 def pnorm(x: Column) -> Column:
     """Standard normal distribution function, inside Catalyst."""
     x = x.cast("double")
-    sign = F.when(x > 0, -1.0).otherwise(1.0)
-    return F.when(x > 37, F.lit(1.0)).when(x < -37, F.lit(0.0)).otherwise(F.when(x > 0, 1.0).otherwise(0.0) + sign * _upper_tail(F.abs(x)))
+    sign = F.when(x > 0.0, -1.0).otherwise(1.0)
+    return F.when(x > 37.0, F.lit(1.0)).when(x < -37.0, F.lit(0.0)).otherwise(F.when(x > 0.0, 1.0).otherwise(0.0) + sign * _upper_tail(F.abs(x)))
 
 
 @scalar

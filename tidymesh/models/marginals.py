@@ -4,53 +4,19 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from statistics import NormalDist
 from typing import Any
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidymesh.functions import scalar as S
+from tidymesh.functions.special import Columns, Numbers  # noqa: F401
+from tidymesh.functions.special import of as _of
+from tidymesh.models.laws import MORE_LAWS
+from tidymesh.models.likelihood import first_guess, scoring
+from tidymesh.plans.quantiles import exact_quantiles
 from tidymesh.table import Table, as_table, named
 
-_NORMAL = NormalDist()
-
-
-class Numbers:
-    """The functions that formulas below use, on numbers and arrays."""
-
-    exp, log, sqrt, abs, tan, atan = np.exp, np.log, np.sqrt, np.abs, np.tan, np.arctan
-    pnorm = staticmethod(np.vectorize(_NORMAL.cdf))
-    qnorm = staticmethod(np.vectorize(lambda p: _NORMAL.inv_cdf(p) if 0 < p < 1 else math.copysign(math.inf, p - 0.5)))
-
-    @staticmethod
-    def where(c: Any, a: Any, b: Any) -> Any:
-        return np.where(c, a, b)
-
-    @staticmethod
-    def power(a: Any, b: Any) -> Any:
-        return np.power(a, b)
-
-
-class Columns:
-    """The same on Spark columns."""
-
-    exp, log, sqrt, abs, tan, atan = F.exp, F.ln, F.sqrt, F.abs, F.tan, F.atan
-    pnorm, qnorm = staticmethod(S.pnorm), staticmethod(S.qnorm)
-
-    @staticmethod
-    def where(c: Column, a: Any, b: Any) -> Column:
-        return F.when(c, a).otherwise(b)
-
-    @staticmethod
-    def power(a: Any, b: Any) -> Column:
-        return F.pow(a, b)
-
-
-def _of(x: Any) -> Any:
-    return Columns if isinstance(x, Column) else Numbers
-
 
 @dataclass(frozen=True)
 class Law:
@@ -86,6 +52,8 @@ LAWS: dict[str, Law] = {
     "rayleigh": Law((), lambda m, x: m.where(x >= 0, x * m.exp(-x * x / 2), 0.0), lambda m, x: m.where(x >= 0, 1 - m.exp(-x * x / 2), 0.0), lambda m, u: m.sqrt(-2 * m.log(1 - u))),
     "powerlaw": Law(("a",), lambda m, x, a: _inside(m, x, 0, 1, a * m.power(x, a - 1)), lambda m, x, a: m.where(x < 0, 0.0, m.where(x > 1, 1.0, m.power(x, a))), lambda m, u, a: m.power(u, 1 / a)),
 }
+# laws that hold themselves to their support
+LAWS |= {name: Law(x.shapes, lambda m, v, *s, x=x: x.d(v, *s), lambda m, v, *s, x=x: x.p(v, *s), lambda m, v, *s, x=x: x.q(v, *s)) for name, x in MORE_LAWS.items()}
 
 
 class Marginal:
@@ -106,6 +74,10 @@ class Marginal:
         return repr(self)
 
 
+def _known(x: Any, value: Any) -> Any:
+    return F.when(x.isNotNull(), value) if isinstance(x, Column) else value
+
+
 @dataclass(frozen=True)
 class MarginalNamed(Marginal):
     """A named law with its parameters: loc, scale and its shapes."""
@@ -127,15 +99,15 @@ class MarginalNamed(Marginal):
 
     def d(self, x: Any) -> Any:
         law, loc, scale, shapes = self._parts
-        return law.d(_of(x), (x - loc) / scale, *shapes) / scale
+        return _known(x, law.d(_of(x), (x - loc) / scale, *shapes) / scale)
 
     def p(self, x: Any) -> Any:
         law, loc, scale, shapes = self._parts
-        return law.p(_of(x), (x - loc) / scale, *shapes)
+        return _known(x, law.p(_of(x), (x - loc) / scale, *shapes))
 
     def q(self, u: Any) -> Any:
         law, loc, scale, shapes = self._parts
-        return law.q(_of(u), u, *shapes) * scale + loc
+        return _known(u, law.q(_of(u), u, *shapes) * scale + loc)
 
 
 @dataclass(frozen=True)
@@ -252,6 +224,11 @@ def marg_trunc(marg: Marginal, lo: float | None = None, up: float | None = None,
     return MarginalTruncated(marg, -math.inf if lo is None else lo, math.inf if up is None else up, sign or marg.sign)
 
 
+#: Laws whose fit one pass of aggregates gives, and the ends of the laws above for the others.
+CLOSED_FITS = ("norm", "uniform", "expon", "lognorm", "rayleigh", "pareto", "powerlaw")
+FITTED_ENDS = {"lognorm": (0.0, math.inf), "expon": (0.0, math.inf), "weibull_min": (0.0, math.inf), "pareto": (0.0, math.inf), "rayleigh": (0.0, math.inf), "triang": (0.0, 1.0), "powerlaw": (0.0, 1.0), "uniform": (0.0, 1.0)}
+
+
 def fit_columns(dist: str, x: Column) -> dict[str, Column]:
     """Aggregates that are the law's parameters of greatest likelihood."""
     if dist == "norm":
@@ -262,8 +239,6 @@ def fit_columns(dist: str, x: Column) -> dict[str, Column]:
         return {"loc": F.min(x), "scale": F.avg(x) - F.min(x)}
     if dist == "lognorm":
         return {"s": F.stddev_pop(F.ln(x)), "scale": F.exp(F.avg(F.ln(x))), "loc": F.lit(0.0)}
-    if dist == "laplace":
-        return {"loc": F.percentile(x, F.lit(0.5)), "scale": F.avg(F.abs(x))}
     if dist == "rayleigh":
         return {"loc": F.lit(0.0), "scale": F.sqrt(F.avg(x * x) / 2)}
     if dist == "pareto":
@@ -273,15 +248,49 @@ def fit_columns(dist: str, x: Column) -> dict[str, Column]:
     raise ValueError(f"no rule of greatest likelihood for {dist!r}")
 
 
-def marg_fit(dist: str, data: Table, col: Any = None, sign: int = 0) -> MarginalNamed:
-    """The law of greatest likelihood for a column, from one pass of aggregates."""
+def marg_fit(dist: str, data: Table, col: Any = None, sign: int = 0, **given: float) -> MarginalNamed:
+    """The law of greatest likelihood for a column.
+
+    Where aggregates give it, from one pass; else by scoring (models/likelihood.py). ``floc``, ``fscale`` and ``f<shape>`` fix a parameter;
+    ``loc``, ``scale`` and shapes are first guesses. The location is 0 for laws with an end, and free for those of all numbers, unless
+    floc fixes it or a guess of loc frees it. Laws of an interval (such as beta) keep location 0 and scale 1 where the data are inside.
+    """
+    if dist not in LAWS:
+        raise ValueError(f"no law {dist!r}; there are {sorted(LAWS)}")
+    shapes = LAWS[dist].shapes
+    fixed = {k[1:]: float(v) for k, v in given.items() if k[:1] == "f" and k[1:] in ("loc", "scale", *shapes)}
+    guesses = {k: float(v) for k, v in given.items() if k not in {"f" + n for n in fixed}}
+    if unknown := set(guesses) - {"loc", "scale", *shapes}:
+        raise ValueError(f"{dist} has no parameters {sorted(unknown)}")
     df = as_table(data).df
     x = F.col(f"`{named(col) if col is not None else df.columns[0]}`")
-    if dist == "laplace":
-        at = df.agg(F.percentile(x, F.lit(0.5))).first()[0]
+    if not given and dist == "laplace":
+        at = exact_quantiles(df, [], [(x, [0.5])]).first()[0]
         return MarginalNamed(dist, {"loc": at, "scale": df.agg(F.avg(F.abs(x - at))).first()[0]}, sign)
-    row = df.agg(*(c.alias(k) for k, c in fit_columns(dist, x).items())).first()
-    return MarginalNamed(dist, row.asDict(), sign)
+    if not given and dist in CLOSED_FITS:
+        row = df.agg(*(c.alias(k) for k, c in fit_columns(dist, x).items())).first()
+        return MarginalNamed(dist, row.asDict(), sign)
+    mean, sd, least, most = (None if v is None else float(v) for v in df.agg(F.avg(x), F.stddev_pop(x), F.min(x), F.max(x)).first())
+    if mean is None:
+        raise ValueError("no values to fit a law to")
+    lo, hi = MORE_LAWS[dist].support(*(1.0 for _ in shapes)) if dist in MORE_LAWS else FITTED_ENDS.get(dist, (-math.inf, math.inf))
+    start = {"loc": 0.0} | first_guess(dist, shapes, mean, sd or 0.0) | guesses
+    if math.isfinite(lo) and math.isfinite(hi) and "loc" not in guesses:
+        inside = lo < least and most < hi
+        room = 0.0 if inside else (most - least) * 0.001 or 1.0
+        wide = {"loc": 0.0, "scale": 1.0} if inside else {"loc": least - room - lo * (most - least + 2 * room) / (hi - lo), "scale": (most - least + 2 * room) / (hi - lo)}
+        start |= wide
+        fixed = wide | fixed
+    elif math.isfinite(lo) or math.isfinite(hi):
+        fixed = ({} if "loc" in guesses else {"loc": 0.0}) | fixed
+    elif "loc" not in guesses:
+        start["loc"] = mean
+    start = {k: v for k, v in start.items() if k not in fixed}
+
+    def density(param: dict[str, float], x: Column) -> Column:
+        return MarginalNamed(dist, param).d(x)
+
+    return MarginalNamed(dist, scoring(dist, df, x, density, start, fixed), sign)
 
 
 def marg_gkde(data: Table, col: Any = None, sign: int = 0, points: int = 500, seed: int = 1) -> MarginalGKDE:
