@@ -390,8 +390,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacit
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", content: str = "ids"
-) -> DataFrame:
+    docs: DataFrame, tokenizer: str, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", content: str = "ids", steps: int | None = 4_000_000,
+) -> DataFrame:
     """One row per piece: id, piece, start, length, ids (``content="crc32"``: ids_crc32), sequence_id, offset.
 
     A document is the ids of its whole text and ``end_id``; only those of more than ``capacity`` ids are cut, into
@@ -399,7 +399,7 @@ def pack_documents(
     number). The others are counted by length (fewer than ``capacity`` counts go to the driver), and bin completion
     lays out the histogram; a piece finds its sequence by its rank among the pieces of its length. Pieces of one length
     are ranked in parts of about RANKED, however many there are, and the parts' offsets (a row each) are broadcast, so no
-    task or driver sees more than a part or that layout.
+    task or driver sees more than a part or that layout. ``steps`` bounds the search for a better layout than best fit's; None goes on to the optimum.
 
     Null and empty texts are a document of ``end_id`` alone; repeated rows and null ids are documents of their own;
     an empty table gives an empty result. Only the id is kept of the other columns, so their names can't clash.
@@ -410,7 +410,7 @@ def pack_documents(
     columns = [c for c in pieces.columns if c != "own"]
     full, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
     counts = {int(r.length): int(r["count"]) for r in rest.groupBy("length").count().collect()}
-    runs = places(bin_completion(counts, capacity))
+    runs = places(bin_completion(counts, capacity, steps))
     parts = docs.sparkSession.createDataFrame([(size, -(-n // RANKED)) for size, n in counts.items()], "length bigint, parts bigint")
     wide = 4 * sum(size * n for size, n in counts.items()) if content == "ids" else 64 * sum(counts.values())
     ranked = number_within(rest.join(F.broadcast(parts), "length"), "length", F.col("own"), "rank", F.col("parts"), dealt=-(-wide // DEALT))
