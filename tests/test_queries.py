@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidymesh.catalog import model_queries, table_queries  # noqa: F401
+from tidymesh.catalog import library_queries, model_queries, table_queries  # noqa: F401
 from tidymesh.catalog.registry import ORACLES, QUERIES
 
 

@@ -5,6 +5,7 @@ from tidymesh.models.compose import *  # noqa: F403
 from tidymesh.models.core import *  # noqa: F403
 from tidymesh.models.evaluate import *  # noqa: F403
 from tidymesh.models.fit import *  # noqa: F403
+from tidymesh.models.library import *  # noqa: F403
 from tidymesh.models.marginals import *  # noqa: F403
 from tidymesh.streaming.apply import *  # noqa: F403
 from tidymesh.transforms.charts import *  # noqa: F403

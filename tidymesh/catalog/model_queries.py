@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+
 from tidymesh import verbs as tm
 from tidymesh.catalog.registry import Tables, query
 from tidymesh.models import compose as cp
@@ -115,19 +117,33 @@ def model_gradient(t: Tables):
     return out >> tm.tf_mutate(a=tm.round(X.a, 6), dya=r(X.Dy_Da), dyb=r(X.Dy_Db), dza=r(X.Dz_Da), dzb=r(X.Dz_Db)) >> tm.tf_select("a", "dya", "dyb", "dza", "dzb")
 
 
-@query()
+@query(f"""WITH d AS (SELECT -1 + 2 * {_draw('i', 0, 'a')} AS a, -0.5 * ln(1 - {_draw('i', 0, 'b')}) AS b FROM range(10000) r(i)), c AS (SELECT var_samp(a) AS aa, covar_samp(a, b) AS ab, var_samp(b) AS bb FROM d),
+    p AS (SELECT p_partkey, p_size / 10.0 AS a, aa, ab, bb FROM part, c), t AS (SELECT *, 4 * a * a * aa + 4 * a * ab + bb AS y, aa - 2 * ab + bb AS z FROM p)
+    SELECT round(a, 6) AS a, 'y' AS out, unnest(['a,a', 'a,b', 'b,b']) AS var_in, round(y, 3) AS var, round(unnest([4 * a * a * aa, 4 * a * ab, bb]) / y, 2) AS var_frac FROM t
+    UNION ALL SELECT round(a, 6), 'z', unnest(['a,a', 'a,b', 'b,b']), round(z, 3), round(unnest([aa, -2 * ab, bb]) / z, 2) FROM t""")
 def model_linear_uncertainty(t: Tables):
-    return ev.eval_linup(beam(), df_base=ev.eval_nominal(beam(), df_det="nom", skip=True), decomp=True)
+    """At each part, with the covariances of draws that the SQL makes again."""
+    base = t("part") >> tm.tf_mutate(a=X.p_size / 10.0, b=X.p_size * 1.0) >> tm.tf_select("a", "b")
+    out = ev.eval_linup(square(), df_base=base, decomp=True)
+    return out >> tm.tf_mutate(a=tm.round(X.a, 6), var=tm.round(X["var"], 3)) >> tm.tf_select("a", "out", "var_in", "var", "var_frac")
 
 
-@query()
+@query(f"""WITH s AS (SELECT s.i, v.v, v.p, k.k, s.i * 2 + v.p AS ind FROM range(30) s(i), (VALUES ('a', 0), ('b', 1)) v(v, p), range(10) k(k)),
+    u AS (SELECT v, ind, CASE WHEN v = 'a' THEN k / 9.0 ELSE {_draw('i', 1, 'a')} END AS ua, CASE WHEN v = 'b' THEN k / 9.0 ELSE {_draw('i', 1, 'b')} END AS ub FROM s),
+    x AS (SELECT v, ind, -1 + 2 * least(greatest(ua, 0.001), 0.999) AS a, -0.5 * ln(1 - least(greatest(ub, 0.001), 0.999)) AS b FROM u)
+    SELECT v AS sweep_var, ind AS sweep_ind, round(a, 9) AS a, round(b, 9) AS b, round(a * a + b, 9) AS y, round(a - b, 9) AS z FROM x""")
 def model_sweeps(t: Tables):
-    return ev.eval_sinews(beam(), n_density=10, n_sweeps=3, df_det="swp", seed=1)
+    out = ev.eval_sinews(square(), n_density=10, n_sweeps=30, seed=1)
+    return out >> tm.tf_mutate(**{c: tm.round(X[c], 9) for c in ("a", "b", "y", "z")}) >> tm.tf_select("sweep_var", "sweep_ind", "a", "b", "y", "z")
 
 
-@query()
+@query(f"""WITH s AS (SELECT i, b FROM range(2000) r(i), (VALUES ('_'), ('a'), ('b')) v(b)),
+    u AS (SELECT i, b, CASE WHEN b IN ('_', 'a') THEN {_draw('i', 2, 'a')} ELSE {_draw('i', 2, "a''")} END AS ua, CASE WHEN b IN ('_', 'b') THEN {_draw('i', 2, 'b')} ELSE {_draw('i', 2, "b''")} END AS ub FROM s),
+    x AS (SELECT i, b AS v, -1 + 2 * ua AS a, -0.5 * ln(1 - ub) AS b FROM u)
+    SELECT v AS hybrid_var, i AS hybrid_ind, round(a, 9) AS a, round(b, 9) AS b, round(a * a + b, 9) AS y, round(a - b, 9) AS z FROM x""")
 def model_hybrid(t: Tables):
-    return ev.eval_hybrid(square(), n=200, seed=2)
+    out = ev.eval_hybrid(square(), n=2000, seed=2)
+    return out >> tm.tf_mutate(**{c: tm.round(X[c], 9) for c in ("a", "b", "y", "z")}) >> tm.tf_select("hybrid_var", "hybrid_ind", "a", "b", "y", "z")
 
 
 @query("SELECT 'a' AS var, true AS ok UNION ALL SELECT 'b', true")
@@ -213,7 +229,7 @@ def fit_forest_spread(t: Tables):
 @query("SELECT count(*) AS n, true AS good FROM part")
 def fit_gaussian_process(t: Tables):
     data = t("part") >> tm.tf_mutate(a=X.p_size / 10.0, y=tm.sin(X.p_size / 10.0)) >> tm.tf_select("a", "y")
-    md = ft.fit_gp(data >> tm.tf_distinct(), var=["a"], out=["y"], rows=60, n_restart=1)
+    md = ft.fit_gp(data, var=["a"], out=["y"], inducing=40, n_restart=1)
     return data >> st.tf_md(md) >> tm.tf_summarize(n=tm.n(), good=tm.rmse(X.y_mean, X.y) < 0.05)
 
 
@@ -339,16 +355,26 @@ def active_subspace(t: Tables):
     return grads >> st.tf_asub() >> tm.tf_mutate(lam=tm.abs(tm.round(X.lam, 6))) >> tm.tf_select("out", "lam")
 
 
-@query("SELECT round(pi() / 2, 8) AS angle UNION ALL SELECT 0::DOUBLE")
+@query("SELECT round(acos(sum(l_quantity * l_extendedprice) / sqrt(sum(l_quantity * l_quantity) * sum(l_extendedprice * l_extendedprice))), 6) AS angle FROM lineitem")
 def subspace_angles(t: Tables):
-    a, b, c = (tm.df_make(v=v) for v in ([1.0, 1.0], [1.0, -1.0], [2.0, 2.0]))
-    return st.tran_angles(a, b) >> tm.tf_bind_rows(st.tran_angles(a, c)) >> tm.tf_mutate(angle=tm.round(X.angle, 6)) >> tm.tf_mutate(angle=tm.if_else(X.angle > 1, round(math.pi / 2, 8), X.angle))
+    """Of two columns of the whole table."""
+    a, b = (t("lineitem", "l_orderkey", "l_linenumber") >> tm.tf_select(c) for c in ("l_quantity", "l_extendedprice"))
+    return st.tran_angles(a, b) >> tm.tf_mutate(angle=tm.round(X.angle, 6))
 
 
-@query("SELECT * FROM (VALUES (-0.5::DOUBLE, -0.5::DOUBLE), (-0.5, 0.5), (0.5, -0.5), (0.5, 0.5)) v(f_x0, f_x1)")
+_COHORTS = ["", "PARTITION BY a", "PARTITION BY b", "PARTITION BY c", "PARTITION BY a, b", "PARTITION BY a, c", "PARTITION BY b, c", "PARTITION BY a, b, c"]
+
+
+@query(f"""WITH v AS (SELECT p_partkey, least(floor((p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()) * 5), 4) AS a,
+        least(floor((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) * 5), 4) AS b, p_partkey % 5 AS c, p_size * p_retailprice / 1000 + p_partkey % 5 AS y FROM part),
+    m AS (SELECT p_partkey, {", ".join(f"avg(y) OVER ({c}) AS m{i}" for i, c in enumerate(_COHORTS))} FROM v)
+    SELECT p_partkey, round((m1 - m0) / 3 + (m4 - m2) / 6 + (m5 - m3) / 6 + (m7 - m6) / 3, 6) AS y_p_size, round((m2 - m0) / 3 + (m4 - m1) / 6 + (m6 - m3) / 6 + (m7 - m5) / 3, 6) AS y_p_retailprice,
+        round((m3 - m0) / 3 + (m5 - m1) / 6 + (m6 - m2) / 6 + (m7 - m4) / 3, 6) AS y_k FROM m""")
 def shapley_values(t: Tables):
-    df = tm.df_make(x0=[0, 0, 1, 1], x1=[0, 1, 0, 1], f=[0.0, 1.0, 1.0, 2.0])
-    return tm.as_table(df) >> st.tf_shapley_cohort(var=["x0", "x1"], out=["f"]) >> tm.tf_select("f_x0", "f_x1")
+    """Of all parts; the SQL takes the mean of each row's cohort for each set of inputs."""
+    data = t("part") >> tm.tf_mutate(k=X.p_partkey % 5) >> tm.tf_mutate(y=X.p_size * X.p_retailprice / 1000 + X.k)
+    out = data >> st.tf_shapley_cohort(var=["p_size", "p_retailprice", "k"], out=["y"], bins=5)
+    return out >> tm.tf_mutate(y_p_size=tm.round(X.y_p_size, 6), y_p_retailprice=tm.round(X.y_p_retailprice, 6), y_k=tm.round(X.y_k, 6)) >> tm.tf_select("p_partkey", "y_p_size", "y_p_retailprice", "y_k")
 
 
 @query("SELECT p_partkey, round(exp(-x * x / 2 / 0.8) / sqrt(0.8) / exp(-x * x / 2), 8) AS weight FROM (SELECT p_partkey, p_size / 25.0 - 1 AS x FROM part)")
@@ -374,11 +400,14 @@ def cross_validation(t: Tables):
     return out >> tm.tf_mutate(mse_p_retailprice=tm.round(X.mse_p_retailprice, 2))
 
 
-@query("SELECT true AS inside FROM range(1)")
+@query("SELECT round(avg(p_size), 8) AS m, true AS inside, true AS as_wide FROM part")
 def bootstrap_interval(t: Tables):
+    """The mean of all parts, and whether the interval is around it and about as wide as the normal law has it."""
     data = t("part") >> tm.tf_select("p_size")
     out = st.tran_bootstrap(data, tran=lambda d: tm.tran_summarize(d, m=tm.mean(X.p_size)), n_boot=60, n_sub=8)
-    return out >> tm.tf_mutate(inside=(X.m_lo < X.m) & (X.m < X.m_up)) >> tm.tf_select("inside")
+    half = data >> tm.tf_summarize(h=1.645 * tm.sd(X.p_size) / tm.sqrt(tm.n()))
+    both = tm.as_table(out.df.crossJoin(F.broadcast(half.df)))  # a row each
+    return both >> tm.tf_mutate(inside=(X.m_lo < X.m) & (X.m < X.m_up), as_wide=tm.abs((X.m_up - X.m_lo) / (2 * X.h) - 1) < 0.6) >> tm.tf_mutate(m=tm.round(X.m, 8)) >> tm.tf_select("m", "inside", "as_wide")
 
 
 @query("SELECT 10::BIGINT AS n FROM range(1)")
@@ -386,15 +415,18 @@ def support_points(t: Tables):
     return st.tran_sp(t("supplier") >> tm.tf_select("s_acctbal", "s_nationkey"), n=10, n_maxiter=8) >> tm.tf_summarize(n=tm.n())
 
 
-@query("SELECT 1::BIGINT AS n FROM range(1)")
+@query("SELECT round(1 / sqrt(1 + 4 * (max(bb) - min(bb)) ** 2 / (max(aa) - min(aa)) ** 2), 4) AS a, round(2 * (max(bb) - min(bb)) / (max(aa) - min(aa)) / sqrt(1 + 4 * (max(bb) - min(bb)) ** 2 / (max(aa) - min(aa)) ** 2), 4) AS b FROM (SELECT p_size / 10.0 AS aa, (p_partkey % 17) / 5.0 AS bb FROM part)")
 def ridge_transform(t: Tables):
+    """The direction that the output was made along, in inputs brought to -1 to 1."""
     data = t("part") >> tm.tf_mutate(a=X.p_size / 10.0, b=(X.p_partkey % 17) / 5.0) >> tm.tf_mutate(y=tm.pow(X.a + 2 * X.b, 2))
-    return st.tran_polyridge(data, var=["a", "b"], out="y", n_dim=1, n_degree=2) >> tm.tf_summarize(n=tm.n())
+    return st.tran_polyridge(data, var=["a", "b"], out="y", n_dim=1, n_degree=2) >> tm.tf_mutate(a=tm.round(X.a, 4), b=tm.round(X.b, 4))
 
 
-@query()
+@query("SELECT s_suppkey, true AS placed FROM supplier")
 def embedding(t: Tables):
-    return st.tran_tsne(t("supplier") >> tm.tf_select("s_acctbal", "s_nationkey"), rows=60, n_iter=50)
+    """Every supplier gets a place."""
+    out = st.tran_tsne(t("supplier"), var=["s_acctbal", "s_nationkey"], rows=60, n_iter=50, append=True)
+    return out >> tm.tf_mutate(placed=tm.not_nan(X.xi0) & tm.not_nan(X.xi1)) >> tm.tf_select("s_suppkey", "placed")
 
 
 @query("SELECT 'H2O' AS formula, 2::INTEGER AS n_elements FROM range(1)")
@@ -437,9 +469,20 @@ def control_chart(t: Tables):
     return t("events") >> spc.tf_xbs("user_id", "value") >> tm.tf_mutate(_value=tm.round(X["_value"], 6), _center=tm.round(X["_center"], 6)) >> tm.tf_select("user_id", "_var", "_value", "_center")
 
 
-@query()
+@query("""WITH s AS (SELECT user_id, avg(value) AS x, stddev_samp(value) AS s, count(value)::DOUBLE AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1),
+    c AS (SELECT *, sqrt(2 / (mn - 1)) * exp(lgamma(mn / 2) - lgamma((mn - 1) / 2)) AS c4 FROM (SELECT avg(x) AS mx, avg(s) AS ms, avg(n) AS mn FROM s)),
+    l AS (SELECT user_id, 'X' AS _var, x AS _value, mx AS _center, mx - 3 * ms / (c4 * sqrt(mn)) AS _lo, mx + 3 * ms / (c4 * sqrt(mn)) AS _up FROM s, c
+        UNION ALL SELECT user_id, 'S', s, ms, ms * greatest(1 - 3 / c4 * sqrt(1 - c4 * c4), 0), ms * (1 + 3 / c4 * sqrt(1 - c4 * c4)) FROM s, c),
+    d AS (SELECT *, sign(_value - _center) AS side, sign(_value - lag(_value) OVER (PARTITION BY _var ORDER BY user_id)) AS rise FROM l),
+    r AS (SELECT *, coalesce((side <> lag(side) OVER o)::INT, 1) AS a, coalesce((rise <> lag(rise) OVER o)::INT, 1) AS b FROM d WINDOW o AS (PARTITION BY _var ORDER BY user_id)),
+    q AS (SELECT *, sum(a) OVER o AS ra, sum(b) OVER o AS rb FROM r WINDOW o AS (PARTITION BY _var ORDER BY user_id)),
+    z AS (SELECT *, count(*) OVER (PARTITION BY _var, ra) AS na, count(*) OVER (PARTITION BY _var, rb) AS nb FROM q)
+    SELECT user_id, _var, round(_lo, 6) AS _lo, round(_up, 6) AS _up, _value < _lo OR _value > _up AS _outlier, coalesce(na >= 9 AND side <> 0, false) AS _run, coalesce(nb >= 5 AND rise <> 0, false) AS _trend,
+        CASE WHEN _value > _up THEN 'Above Limit' WHEN _value < _lo THEN 'Below Limit' WHEN coalesce(na >= 9 AND side <> 0, false) THEN '9 Consecutive Same Side' WHEN coalesce(nb >= 5 AND rise <> 0, false) THEN '6 Consecutive Trend' ELSE 'None' END AS _glyph FROM z""")
 def control_chart_flags(t: Tables):
-    return t("events") >> spc.tf_xbs("user_id", "value")
+    """Limits, runs and trends of every group."""
+    out = t("events") >> spc.tf_xbs("user_id", "value") >> tm.tf_mutate(_lo=tm.round(X["_lo"], 6), _up=tm.round(X["_up"], 6))
+    return out >> tm.tf_select("user_id", "_var", "_lo", "_up", "_outlier", "_run", "_trend", "_glyph")
 
 
 @query("""WITH e AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS up FROM lineitem) SELECT 'l_quantity' AS out, least(floor((l_quantity - lo) / ((up - lo) / 10)), 9)::INTEGER AS bin, count(*) AS n FROM lineitem, e GROUP BY 1, 2""")

@@ -231,9 +231,10 @@ def top_n_smallest_grouped(t: Tables):
     return t("part") >> tm.tf_group_by("p_brand") >> tm.tf_top_n(2, ascending=False, col=X.p_retailprice)
 
 
-@query("SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 12")
+@query("SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier")
 def arrange(t: Tables):
-    return t("supplier") >> tm.tf_arrange(tm.desc(X.s_acctbal), X.s_suppkey) >> tm.tf_head(12) >> tm.tf_select("s_suppkey", "s_acctbal")
+    """All rows with the place that the order gives them."""
+    return t("supplier") >> tm.tf_arrange(tm.desc(X.s_acctbal), X.s_suppkey) >> tm.tf_mutate(one=1) >> tm.tf_mutate(place=tm.cumsum(X.one)) >> tm.tf_select("s_suppkey", "s_acctbal", "place")
 
 
 # joins
@@ -254,9 +255,10 @@ def left_join(t: Tables):
     return t("documents") >> tm.tf_select("doc_id", "lang") >> tm.tf_left_join(t("labels"))
 
 
-@query("SELECT l.doc_id, d.lang, l.quality FROM (SELECT * FROM documents WHERE doc_id % 3 = 0) d RIGHT JOIN labels l ON d.doc_id = l.doc_id")
+@query("SELECT d.doc_id, d.lang, l.quality, l.toxic FROM labels l RIGHT JOIN documents d ON d.doc_id = l.doc_id")
 def right_join(t: Tables):
-    return t("documents") >> tm.tf_filter(X.doc_id % 3 == 0) >> tm.tf_select("doc_id", "lang") >> tm.tf_right_join(t("labels"), by="doc_id") >> tm.tf_select("doc_id", "lang", "quality")
+    """All documents, those without labels too."""
+    return t("labels") >> tm.tf_right_join(t("documents"), by="doc_id") >> tm.tf_select("doc_id", "lang", "quality", "toxic")
 
 
 @query("SELECT a.n_name AS n_name_x, b.n_name AS n_name_y, a.n_regionkey, a.n_nationkey AS n_nationkey_x, b.n_nationkey AS n_nationkey_y FROM nation a FULL JOIN nation b ON a.n_regionkey = b.n_regionkey")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import operator
+from contextvars import ContextVar
 from collections.abc import Callable
 from typing import Any
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 ROW, AGGREGATE, WINDOW = 0, 1, 2
 _ids = itertools.count()
+#: The row weight that the aggregates being built have to carry, if any.
+WEIGHT: ContextVar[Column | None] = ContextVar("weight", default=None)
 
 
 def temporary() -> str:
@@ -169,11 +172,11 @@ class Root:
 X = DF = Root()
 
 
-def aggregate(fun: Callable[..., Column]) -> Callable[..., Expr]:
-    """An aggregate function of columns as one of expressions."""
+def aggregate(fun: Callable[..., Column], weighted: bool = False) -> Callable[..., Expr]:
+    """An aggregate function of columns as one of expressions. ``weighted``: it minds WEIGHT; others can't be taken of rows with weights."""
 
     def call(*args: Any, **kw: Any) -> Expr:
-        return Expr(lambda ctx: ctx.aggregated(lambda inner: fun(*(inner(x) for x in args), **{k: inner(x) for k, x in kw.items()})), AGGREGATE)
+        return Expr(lambda ctx: ctx.aggregated(lambda inner: fun(*(inner(x) for x in args), **{k: inner(x) for k, x in kw.items()}), weighted), AGGREGATE)
 
     call.__doc__, call.__name__ = fun.__doc__, fun.__name__
     return call
@@ -208,13 +211,26 @@ class Frame:
         return self.by(*self.rows).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+class Unweighted(ValueError):
+    """A function that has no form for rows with weights."""
+
+
+#: An order statistic: its place from 0, as a share of the known values less one or as a function of their number.
+Place = float | Callable[[Column], Column]
+
+
 class Context:
-    """Turns expressions into columns of ``df``, which it widens by temporary columns as they are needed."""
+    """Turns expressions into columns of ``df``, which it widens by temporary columns as they are needed.
+
+    In a summary, aggregates and order statistics are put aside under names of their own; ``summarized`` takes the
+    aggregates in one pass, joins what the order statistics gave and lays the expressions over both.
+    """
 
-    def __init__(self, df: DataFrame, groups: list[str], order: list[Column], summary: bool = False) -> None:
-        self.df, self.groups, self.order, self.summary = df, groups, order, summary
+    def __init__(self, df: DataFrame, groups: list[str], order: list[Column], summary: bool = False, weight: Column | None = None) -> None:
+        self.df, self.groups, self.order, self.summary, self.weight = df, groups, order, summary, weight
         self.names = df.columns
         self.pending: list[tuple[str, Column]] = []
+        self.statistics: list[tuple[str, Column, Place]] = []
 
     def of(self, name: str) -> Column:
         if name not in self.df.columns:
@@ -243,7 +259,7 @@ class Context:
     def row(self) -> Context:
         if not self.summary:
             return self
-        other = Context(self.df, self.groups, self.order)
+        other = Context(self.df, self.groups, self.order, weight=self.weight)
         parent = self
 
         class Shared(Context):
@@ -259,29 +275,77 @@ class Context:
         other.__dict__.pop("df", None)
         return other
 
-    def aggregated(self, make: Callable[[Callable], Column]) -> Column:
-        made = make(self.hoisted)
-        if self.summary:
-            return made
+    def aggregated(self, make: Callable[[Callable], Column], weighted: bool = False) -> Column:
+        if self.weight is not None and not weighted:
+            raise Unweighted("this aggregate can't be taken of rows with weights")
+        before = WEIGHT.set(self.weight)
+        try:
+            made = make(self.hoisted)
+        finally:
+            WEIGHT.reset(before)
         name = temporary()
         self.pending.append((name, made))
         return F.col(name)
 
+    def statistic(self, x: Any, place: Place) -> Column:
+        """An order statistic of the group's known values."""
+        name = temporary()
+        self.statistics.append((name, self.hoisted(x), place))
+        return F.col(name)
+
+    def _statistics(self) -> tuple[DataFrame, list[str], list[Column]]:
+        """(a row for each group, its keys, the statistics under their names); equal values are asked once."""
+        from tidymesh.plans.quantiles import exact_quantiles
+
+        asks: dict[str, tuple[Column, list[Place]]] = {}
+        at = []
+        for name, value, place in self.statistics:
+            places = asks.setdefault(str(value), (value, []))[1]
+            places.append(place)
+            at.append((name, list(asks).index(str(value)), len(places) - 1))
+        found = exact_quantiles(self.df, self.groups, list(asks.values()), self.weight)
+        keys = [temporary() for _ in self.groups]
+        self.statistics = []
+        return found.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), *(F.col(f"q{i}_{j}").alias(name) for name, i, j in at)), keys, [F.col(n) for n, _, _ in at]
+
     def flush(self) -> DataFrame:
-        """The table with the aggregates asked for so far, all taken in one pass."""
+        """The table with the aggregates and order statistics asked for so far, the aggregates taken in one pass."""
+        joins = []
         if self.pending:
             made = [c.alias(name) for name, c in self.pending]
+            keys = [temporary() for _ in self.groups]
             if self.groups:
-                keys = [F.col(f"`{g}`") for g in self.groups]
-                found = self.df.groupBy(*(k.alias(temporary()) for k in keys)).agg(*made)
-                on = [k == F.col(c) for k, c in zip(keys, found.columns)]
-                self.df = self.df.join(found, on, "left").drop(*found.columns[: len(keys)])
+                joins.append((self.df.groupBy(*(F.col(f"`{g}`").alias(k) for g, k in zip(self.groups, keys))).agg(*made), keys))
             else:
-                self.df = self.df.crossJoin(F.broadcast(self.df.agg(*made)))  # one row
+                joins.append((self.df.agg(*made), keys))
             self.pending = []
+        if self.statistics:
+            found, keys, _ = self._statistics()
+            joins.append((found, keys))
+        for found, keys in joins:
+            if keys:
+                self.df = self.df.join(found, [F.col(f"`{g}`") == F.col(k) for g, k in zip(self.groups, keys)], "left").drop(*keys)
+            else:
+                self.df = self.df.crossJoin(F.broadcast(found))  # one row
         return self.df
 
+    def summarized(self, columns: dict[str, Column]) -> DataFrame:
+        """A row for each group whose keys are known (one row without groups): keys and ``columns``."""
+        base = self.df
+        for g in self.groups:
+            base = base.where(F.col(f"`{g}`").isNotNull())
+        made = [c.alias(name) for name, c in self.pending] or [F.count(F.lit(1)).alias(temporary())]
+        keys = [F.col(f"`{g}`") for g in self.groups]
+        out = base.groupBy(*keys).agg(*made) if keys else base.agg(*made)
+        if self.statistics:
+            found, names, _ = self._statistics()
+            out = out.join(found, [k == F.col(n) for k, n in zip(keys, names)], "left") if keys else out.crossJoin(F.broadcast(found))  # one row
+        self.pending = []
+        return out.select(*keys, *(c.alias(name) for name, c in columns.items()))
+
     def windowed(self, make: Callable[[Frame, Callable], Column]) -> Column:
+        if self.weight is not None:
+            raise Unweighted("windows can't be taken of rows with weights")
         if self.summary:
             row = self.row()
             name = temporary()

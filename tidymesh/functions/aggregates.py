@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidymesh.expr import WINDOW, Context, Expr, aggregate, as_column, scalar, temporary, window
+from tidymesh.expr import AGGREGATE, WEIGHT, WINDOW, Context, Expr, Unweighted, aggregate, as_column, scalar, temporary, window
+from tidymesh.plans.quantiles import placed_values
 from tidymesh.plans.rowindex import with_row_index
 
 
@@ -17,65 +18,116 @@ def _z(alpha: float) -> float:
     return -NormalDist().inv_cdf(alpha)
 
 
-@aggregate
+def weighted(fun: Any) -> Any:
+    """An aggregate that carries the row weight, if there is one."""
+    return aggregate(fun, weighted=True)
+
+
+def _count(c: Column | None = None) -> Column:
+    w = WEIGHT.get()
+    if w is None:
+        return F.count(F.lit(1) if c is None else c)
+    return F.coalesce(F.sum(w if c is None else F.when(c.isNotNull(), w)), F.lit(0)).cast("long")
+
+
+def _sum(c: Column) -> Column:
+    w = WEIGHT.get()
+    return F.sum(c) if w is None else F.sum(c * w)
+
+
+def _avg(c: Column) -> Column:
+    return F.avg(c) if WEIGHT.get() is None else F.try_divide(_sum(c.cast("double")), _count(c))
+
+
+def _drawn(c: Column) -> Column:
+    """Values of rows that count at all."""
+    w = WEIGHT.get()
+    return c if w is None else F.when(w > 0, c)
+
+
+def _central(c: Column, k: int) -> Column:
+    """The mean of the k-th powers of deviations, from sums of powers."""
+    m = [F.lit(1.0), *(_avg(F.pow(c.cast("double"), F.lit(float(j)))) for j in range(1, k + 1))]
+    total = F.lit(0.0)
+    for j in range(k + 1):
+        total = total + math.comb(k, j) * m[j] * F.pow(-m[1], F.lit(float(k - j)))
+    return total
+
+
+def _var_pop(c: Column) -> Column:
+    return F.var_pop(c) if WEIGHT.get() is None else F.greatest(_central(c, 2), F.lit(0.0))
+
+
+def _var_samp(c: Column) -> Column:
+    if WEIGHT.get() is None:
+        return F.var_samp(c)
+    return F.when(_count(c) > 1, _var_pop(c) * _count(c) / (_count(c) - 1))
+
+
+def _sd_samp(c: Column) -> Column:
+    return F.stddev_samp(c) if WEIGHT.get() is None else F.sqrt(_var_samp(c))
+
+
+def _quantile(x: Any, p: float) -> Expr:
+    return Expr(lambda ctx: ctx.statistic(x, p), AGGREGATE)
+
+
+@weighted
 def mean(c: Column) -> Column:
-    return F.avg(c)
+    return _avg(c)
 
 
-@aggregate
+@weighted
 def sum(c: Column) -> Column:
     """0 where nothing is known."""
-    return F.coalesce(F.sum(c), F.lit(0))
+    return F.coalesce(_sum(c), F.lit(0))
 
 
-@aggregate
+@weighted
 def min(c: Column) -> Column:
-    return F.min(c)
+    return F.min(_drawn(c))
 
 
-@aggregate
+@weighted
 def max(c: Column) -> Column:
-    return F.max(c)
+    return F.max(_drawn(c))
 
 
-@aggregate
-def median(c: Column) -> Column:
-    return F.percentile(c, F.lit(0.5))
+def median(x: Any) -> Expr:
+    return _quantile(x, 0.5)
 
 
-@aggregate
-def quant(c: Column, p: float) -> Column:
-    """Exact quantile, by linear interpolation."""
-    return F.percentile(c, F.lit(p))
+def quant(x: Any, p: float) -> Expr:
+    """Exact quantile, by linear interpolation; found over counts of values, so no task holds a group (plans/quantiles.py)."""
+    return _quantile(x, p)
 
 
-@aggregate
-def IQR(c: Column) -> Column:
-    return F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
+def IQR(x: Any) -> Expr:
+    return scalar(lambda up, lo: up - lo)(_quantile(x, 0.75), _quantile(x, 0.25))
 
 
-@aggregate
+@weighted
 def var(c: Column) -> Column:
-    return F.var_samp(c)
+    return _var_samp(c)
 
 
-@aggregate
+@weighted
 def sd(c: Column) -> Column:
-    return F.stddev_samp(c)
+    return _sd_samp(c)
 
 
-@aggregate
+@weighted
 def skew(c: Column, bias: bool = True) -> Column:
-    n = F.count(c).cast("double")
-    g = F.skewness(c)
+    n = _count(c).cast("double")
+    g = F.skewness(c) if WEIGHT.get() is None else F.try_divide(_central(c, 3), F.pow(_var_pop(c), F.lit(1.5)))
     return g if bias else F.when(n > 2, g * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-@aggregate
+@weighted
 def kurt(c: Column, bias: bool = True, excess: bool = False) -> Column:
     """3 for a normal law, unless ``excess``."""
-    n = F.count(c).cast("double")
-    k = F.kurtosis(c)
+    n = _count(c).cast("double")
+    k = F.kurtosis(c) if WEIGHT.get() is None else F.try_divide(_central(c, 4), _var_pop(c) * _var_pop(c)) - 3
     if not bias:
         k = F.when(n > 3, ((n + 1) * k + 6) * (n - 1) / ((n - 2) * (n - 3)))
     return k if excess else k + 3
@@ -121,85 +173,116 @@ def place(keys: Any = None) -> Expr:
 def _at(c: Column, place: Column, i: int) -> Column:
     if i >= 0:
         return F.max(F.when(place == i + 1, c))
-    if i == -1:
-        return F.max_by(c, place)
-    return F.try_element_at(F.array_sort(F.collect_list(F.struct(place.alias("p"), c.alias("c")))), F.lit(i))["c"]
+    return F.max_by(c, place)
+
+
+@aggregate
+def _at_end(c: Column, place: Column, rows: Column, i: int) -> Column:
+    return F.max(F.when(place == rows + (i + 1), c))
+
+
+def _rows() -> Expr:
+    """Rows of the group."""
+    return n()
 
 
 def nth(x: Any, n: int, order_by: Any = None) -> Expr:
     """The value at place ``n`` from 0, or from the end below 0; missing outside."""
+    if n < -1:
+        return _at_end(x, place(order_by), _rows(), n)
     return _at(x, place(order_by), n)
 
 
-@aggregate
+@weighted
 def n(c: Column | None = None) -> Column:
     """Rows, missing values included."""
-    return F.count(F.lit(1))
+    return _count()
 
 
-@aggregate
+@weighted
 def n_distinct(c: Column) -> Column:
     """Distinct values; missing counts as one."""
-    return F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0))
+    return F.count_distinct(_drawn(c)) + F.coalesce(F.max(_drawn(c.isNull().cast("int"))), F.lit(0))
 
 
-@aggregate
+@weighted
 def mean_lo(c: Column, alpha: float = 0.005) -> Column:
     """Lower confidence bound of the mean by the normal law."""
-    return F.avg(c) - _z(alpha) * F.stddev_samp(c) / F.sqrt(F.count(F.lit(1)))
+    return _avg(c) - _z(alpha) * _sd_samp(c) / F.sqrt(_count())
 
 
-@aggregate
+@weighted
 def mean_up(c: Column, alpha: float = 0.005) -> Column:
-    return F.avg(c) + _z(alpha) * F.stddev_samp(c) / F.sqrt(F.count(F.lit(1)))
+    return _avg(c) + _z(alpha) * _sd_samp(c) / F.sqrt(_count())
 
 
 def _wilson(c: Column, alpha: float) -> tuple[Column, Column]:
     z = _z(alpha / 2)
-    n = F.count(F.lit(1)).cast("double")
-    k = F.sum(c.cast("double"))
+    n = _count().cast("double")
+    k = _sum(c.cast("double"))
     middle = (k + z * z / 2) / (n + z * z)
     half = z / (n + z * z) * F.sqrt(F.try_divide(k * (n - k), n) + z * z / 4)
     return middle - half, middle + half
 
 
-@aggregate
+@weighted
 def binomial_ci(c: Column, alpha: float = 0.05, side: str = "both") -> Column:
     """Wilson's interval of a probability: ``both`` bounds as (lo, up), or one."""
     lo, up = _wilson(c, alpha)
     return {"both": F.struct(lo.alias("lo"), up.alias("up")), "lo": lo, "up": up}[side]
 
 
-@aggregate
+@weighted
 def pr(c: Column) -> Column:
     """Share of rows that are true."""
-    return F.avg(c.cast("double"))
+    return _avg(c.cast("double"))
 
 
-@aggregate
+@weighted
 def pr_lo(c: Column, alpha: float = 0.005) -> Column:
     return _wilson(c, alpha)[0]
 
 
-@aggregate
+@weighted
 def pr_up(c: Column, alpha: float = 0.005) -> Column:
     return _wilson(c, alpha)[1]
 
 
-@window
-def _average_rank(frame, c: Column, known: Column) -> Column:
-    spec = frame.by(c, partition=(known,))
-    return F.when(known, F.rank().over(spec) + (F.count(F.lit(1)).over(frame.by(partition=(known, c))) - 1) / 2)
+def _average_rank(x: Any, known: Any) -> Expr:
+    """The rank of a value among those of the group's rows that are known, ties at their mean; values are placed once each and joined back."""
 
+    def build(ctx: Context) -> Column:
+        if ctx.weight is not None:
+            raise Unweighted("ranks can't be taken of rows with weights")
+        row = ctx.row()
+        value = scalar(lambda c, k: F.when(k, c.cast("double")))(x, known)
+        name, rank = temporary(), temporary()
+        column = row.hoisted(value)
+        row.df = row.flush().withColumn(name, column)
+        keys = [temporary() for _ in ctx.groups]
+        long = row.df.where(F.col(name).isNotNull()).select(*(F.col(f"`{g}`").alias(k) for g, k in zip(ctx.groups, keys)), F.col(name).alias("v"), F.lit(1).alias("w"))
+        for k in keys:
+            long = long.where(F.col(k).isNotNull())
+        placed = placed_values(long, keys, "v", "w").select(*keys, F.col("v").alias(f"{rank}v"), ((F.col("from") + F.col("upto") + 1) / 2).alias(rank))
+        on = [F.col(f"`{g}`") == F.col(k) for g, k in zip(ctx.groups, keys)] + [F.col(name) == F.col(f"{rank}v")]
+        row.df = row.df.join(placed, on, "left").drop(*keys, f"{rank}v")
+        return F.col(rank)
 
-@aggregate
+    return Expr(build, WINDOW)
+
+
+@weighted
 def _pearson(a: Column, b: Column) -> Column:
-    return F.corr(a, b)
+    if WEIGHT.get() is None:
+        return F.corr(a, b)
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(_avg(a * b) - _avg(a) * _avg(b), F.sqrt(_var_pop(a) * _var_pop(b)))
 
 
-@aggregate
+@weighted
 def _pairs(a: Column, b: Column) -> Column:
-    return F.count(F.when(a.isNotNull() & b.isNotNull(), 1))
+    return _count(F.when(a.isNotNull() & b.isNotNull(), 1))
 
 
 def t_cdf(t: Column, df: Column, steps: int = 200) -> Column:
@@ -255,47 +338,46 @@ def corr(a: Any, b: Any, method: str = "pearson", res: str = "corr", nan_drop: b
     return scalar(tested)(r, _pairs(a, b))
 
 
-@aggregate
+@weighted
 def _missing(a: Column, b: Column) -> Column:
-    return F.count(F.when(a.isNull() | b.isNull(), 1))
+    return _count(F.when(a.isNull() | b.isNull(), 1))
 
 
-@aggregate
+@weighted
 def mad(p: Column, m: Column) -> Column:
-    return F.avg(F.abs(p - m))
+    return _avg(F.abs(p - m))
 
 
-@aggregate
-def mead(p: Column, m: Column) -> Column:
-    return F.percentile(F.abs(p - m), F.lit(0.5))
+def mead(p: Any, m: Any) -> Expr:
+    return _quantile(scalar(lambda p, m: F.abs(p - m))(p, m), 0.5)
 
 
-@aggregate
+@weighted
 def mse(p: Column, m: Column) -> Column:
-    return F.avg((p - m) * (p - m))
+    return _avg((p - m) * (p - m))
 
 
-@aggregate
+@weighted
 def rmse(p: Column, m: Column) -> Column:
-    return F.sqrt(F.avg((p - m) * (p - m)))
+    return F.sqrt(_avg((p - m) * (p - m)))
 
 
-@aggregate
+@weighted
 def rel_mse(p: Column, m: Column) -> Column:
     r = F.try_divide(p - m, m)
-    return F.avg(r * r)
+    return _avg(r * r)
 
 
 def _rsq(p: Column, m: Column) -> Column:
-    return 1 - F.try_divide(F.sum((m - p) * (m - p)), F.var_pop(m) * F.count(m))
+    return 1 - F.try_divide(_sum((m - p) * (m - p)), _var_pop(m) * _count(m))
 
 
-@aggregate
+@weighted
 def rsq(p: Column, m: Column) -> Column:
     return _rsq(p, m)
 
 
-@aggregate
+@weighted
 def ndme(p: Column, m: Column) -> Column:
     """Non-dimensional model error: the square root of what R squared leaves."""
     return F.sqrt(F.greatest(1 - _rsq(p, m), F.lit(0.0)))
@@ -330,11 +412,6 @@ def pint_up_index(n: int, m: int, j: int, alpha: float) -> int:
     return index
 
 
-@window
-def _value_place(frame, c: Column) -> Column:
-    return F.row_number().over(frame.by(c.asc_nulls_last()))
-
-
 def _index_column(n: Column, m: int, j: int, prob: float, up: bool) -> Column:
     """The index for a column of sample sizes: the same sum as _order_statistic, by an array of n + 1 terms; for one new
     value, in closed form."""
@@ -364,26 +441,16 @@ def _index_column(n: Column, m: int, j: int, prob: float, up: bool) -> Column:
     return at + 1 if up else at
 
 
-@aggregate
-def _at_index(c: Column, place: Column, index: Column) -> Column:
-    return F.max(F.when(place == index, c))
-
-
-@aggregate
-def _index(c: Column, m: int, j: int, prob: float, up: bool) -> Column:
-    return _index_column(F.count(F.lit(1)), m, j, prob, up)
-
-
 def pint_lo(x: Any, m: int = 1, j: int = 1, alpha: float = 0.005) -> Expr:
-    """Lower prediction bound without a law: an order statistic of the group; missing where the group is too small."""
-    return _at_index(x, _value_place(x), _index(x, m, j, alpha, False))
+    """Lower prediction bound without a law: an order statistic of the group's known values; missing where they are too few."""
+    return Expr(lambda ctx: ctx.statistic(x, lambda n: _index_column(n, m, j, alpha, False) - 1), AGGREGATE)
 
 
 def pint_up(x: Any, m: int = 1, j: int = 1, alpha: float = 0.005) -> Expr:
-    return _at_index(x, _value_place(x), _index(x, m, j, 1 - alpha, True))
+    return Expr(lambda ctx: ctx.statistic(x, lambda n: _index_column(n, m, j, 1 - alpha, True) - 1), AGGREGATE)
 
 
-@aggregate
+@weighted
 def neff_is(w: Column) -> Column:
     """Effective number of rows under importance weights."""
-    return F.try_divide(F.count(F.lit(1)) * F.avg(w) * F.avg(w), F.avg(w * w))
+    return F.try_divide(_count() * _avg(w) * _avg(w), _avg(w * w))

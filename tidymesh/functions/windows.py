@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tidymesh.expr import AGGREGATE, WINDOW, Context, Expr, scalar, temporary, window
+from tidymesh.expr import AGGREGATE, WINDOW, Context, Expr, X, scalar, temporary, window
 from tidymesh.functions.aggregates import median
 from tidymesh.plans.rowindex import with_row_index
 
@@ -245,15 +245,16 @@ def fct_reorder(f: Any, x: Any, fun: Callable = median) -> Expr:
 
     def build(ctx: Context) -> Column:
         key, value = ctx.hoisted(f), ctx.hoisted(x)
-        place, level, by = temporary(), temporary(), temporary()
+        place, level, by, held = temporary(), temporary(), temporary(), temporary()
         keys = [temporary() for _ in ctx.groups]
-        held = ctx.df.where(key.isNotNull()).groupBy(*(F.col(f"`{g}`").alias(k) for g, k in zip(ctx.groups, keys)), key.alias(level))
-        inner = Context(ctx.df, [], [], True)
-        found = held.agg(fun(Expr(lambda _: value))._build(inner).alias(by))
+        ctx.df = ctx.flush()
+        rows = ctx.df.where(key.isNotNull()).select(*(F.col(f"`{g}`").alias(k) for g, k in zip(ctx.groups, keys)), key.alias(level), value.alias(held))
+        inner = Context(rows, [*keys, level], [], True)
+        found = inner.summarized({by: inner.column(fun(X[held]))})
         spec = Window.partitionBy(*keys).orderBy(F.col(by).asc_nulls_last(), level)
         found = found.select(*keys, level, F.dense_rank().over(spec).alias(place))
-        on = [F.col(f"`{g}`").eqNullSafe(F.col(k)) for g, k in zip(ctx.groups, keys)] + [key == F.col(level)]
-        ctx.df = ctx.flush().join(found, on, "left").drop(*keys, level)
+        on = [F.col(f"`{g}`") == F.col(k) for g, k in zip(ctx.groups, keys)] + [key == F.col(level)]
+        ctx.df = ctx.df.join(found, on, "left").drop(*keys, level)
         return F.col(place)
 
     return Expr(build, AGGREGATE)

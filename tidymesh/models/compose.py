@@ -84,7 +84,7 @@ def comp_md_sample(model: Model, md: Model, param: dict[str, list[str]] | None =
                 from tidymesh.models.marginals import LAWS, Columns
 
                 law = LAWS[marg.d_name]
-                value = {p: F.col(f"`{v}_{p}`") if p in param[v] else F.lit(float(marg.d_param.get(p, {"scale": 1.0}.get(p, 0.0)))) for p in ("loc", "scale", *law.shapes)}
+                value = {p: F.col(f"`{v}_{p}`") if p in param[v] else float(marg.d_param.get(p, {"scale": 1.0}.get(p, 0.0))) for p in ("loc", "scale", *law.shapes)}
                 drawn[v] = law.q(Columns, u, *(value[s] for s in law.shapes)) * value["scale"] + value["loc"]
             else:
                 drawn[v] = marg.q(u)

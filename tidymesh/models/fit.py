@@ -5,15 +5,18 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidymesh.models.core import Density, Domain, FunctionVectorized, Model
 from tidymesh.models.evaluate import eval_nls
+from tidymesh.plans.storage import settle
 from tidymesh.table import add_pipe, as_table
 
 
@@ -204,57 +207,100 @@ def fit_lolo(df: Any, md: Model | None = None, var: Any = None, out: Any = None,
     return _fit_forest(df, md, var, out, domain, density, seed, True, numTrees=n_estimators, maxDepth=max_depth)
 
 
-def fit_gp(df: Any, md: Model | None = None, var: Any = None, out: Any = None, domain: Any = None, density: Any = None, seed: int = 0, rows: int = 1000, n_restart: int = 3) -> Model:
-    """Gaussian process with a squared-exponential kernel and noise: out_mean and out_sd, on at most ``rows`` rows
-    (those of the least hash); the lengths, one for each input, are those of greatest likelihood."""
+def _kernel(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return np.exp(-0.5 * (((a[:, None] - b[None]) / length) ** 2).sum(axis=2))
+
+
+def _spread_rows(x: np.ndarray, n: int) -> np.ndarray:
+    """Indices of ``n`` rows, each the farthest from those before it."""
+    at, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(at) < min(n, len(x)) and far.max() > 1e-12:
+        at.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[at[-1]]) ** 2).sum(axis=1))
+    return np.array(at)
+
+
+def summed(data: DataFrame, fun: Callable[[pd.DataFrame], np.ndarray], width: int) -> np.ndarray:
+    """The sum over all rows of a table of numbers (any rows x ``width``) that ``fun`` has for a batch: tasks add up their batches, then rows of the table meet."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for f in frames:
+            if len(f):
+                part = fun(f)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": list(total)})
+
+    rows = data.mapInPandas(run, "i bigint, v array<double>").groupBy("i").agg(*(F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(width))).orderBy("i").collect()
+    return np.array([r[1:] for r in rows], float)
+
+
+def fit_gp(
+    df: Any, md: Model | None = None, var: Any = None, out: Any = None, domain: Any = None, density: Any = None, seed: int = 0, inducing: int = 100, rows: int = 1000, n_restart: int = 3
+) -> Model:
+    """Gaussian process with a squared-exponential kernel and noise: out_mean and out_sd, from all rows.
+
+    Every row counts in the normal equations of at most ``inducing`` points (a row or column each), which tasks add up in one pass; the points are spread
+    over a sample of ``rows`` rows (those of the least hash of their place), and the lengths, one for each input, and the noise are those of greatest
+    likelihood on at most 300 rows of that sample. Where the points are all distinct rows, it is the exact process.
+    """
     from tidymesh.models.evaluate import nelder_mead
 
     data = as_table(df).df
     if md is not None:
         var, out, domain, density = md.var, md.out, md.domain, md.density
     names, outs = _names(data, var, out)
-    kept = data.select(*(_c(c).cast("double").alias(c) for c in [*names, *outs])).dropna()
-    frame = kept.orderBy(F.xxhash64(*map(_c, names), F.lit(seed))).limit(rows).toPandas()
-    x = frame[names].to_numpy(float)
-    mid, width = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-12)
-    x = (x - mid) / width
+    kept = settle(data.select(*(_c(c).cast("double").alias(c) for c in [*names, *outs])).dropna().withColumn("__row", F.monotonically_increasing_id()), "process")
+    stats = kept.agg(*(f(_c(c)) for c in [*names, *outs] for f in (F.avg, F.stddev_pop))).first()
+    if stats[0] is None:
+        raise ValueError("no rows to fit a process to")
+    centre, spread = np.array(stats[::2], float), np.maximum(np.array(stats[1::2], float), 1e-12)
+    mid, width = centre[: len(names)], spread[: len(names)]
+    frame = kept.orderBy(F.xxhash64("__row", F.lit(seed)), "__row").limit(rows).toPandas()
+    x = (frame[names].to_numpy(float) - mid) / width
+    sub, z = x[:300], x[_spread_rows(x, inducing)]
+    size = len(z)
     parts = {}
-
-    def gram(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return np.exp(-0.5 * (((a[:, None] - b[None]) / length) ** 2).sum(axis=2))
-
-    sub = x[: min(len(x), 200)]
-    for o in outs:
-        y = frame[o].to_numpy(float)
-        m, s = y.mean(), max(y.std(), 1e-12)
-        t = (y - m) / s
+    for k, o in enumerate(outs):
+        m, s = centre[len(names) + k], spread[len(names) + k]
+        t = (frame[o].to_numpy(float)[:300] - m) / s
 
         def loss(p: np.ndarray) -> float:
-            k = gram(sub, sub, np.exp(p[:-1])) + (math.exp(p[-1]) + 1e-8) * np.eye(len(sub))
+            g = _kernel(sub, sub, np.exp(p[:-1])) + (math.exp(p[-1]) + 1e-6) * np.eye(len(sub))
             try:
-                low = np.linalg.cholesky(k)
+                low = np.linalg.cholesky(g)
             except np.linalg.LinAlgError:
                 return 1e12
-            z = np.linalg.solve(low, t[: len(sub)])  # noqa: B023
-            return float(0.5 * z @ z + np.log(np.diag(low)).sum())
+            r = np.linalg.solve(low, t)  # noqa: B023
+            return float(0.5 * r @ r + np.log(np.diag(low)).sum())
 
         rng, best = np.random.default_rng(seed), None
         for r in range(n_restart):
             start = np.append(np.zeros(len(names)) if r == 0 else rng.normal(size=len(names)), -4.0)
-            got = nelder_mead(loss, start, np.full(len(start), -8.0), np.full(len(start), 5.0), steps=150)
+            got = nelder_mead(loss, start, np.full(len(start), -10.0), np.full(len(start), 5.0), steps=150)
             best = got if best is None or got[1] < best[1] else best
-        length, noise = np.exp(best[0][:-1]), math.exp(best[0][-1]) + 1e-8
-        inv = np.linalg.inv(gram(x, x, length) + noise * np.eye(len(x)))
-        parts[o] = (m, s, length, noise, inv, inv @ t)
+        length, noise = np.exp(best[0][:-1]), math.exp(best[0][-1]) + 1e-5
+
+        def equations(f: pd.DataFrame, length: np.ndarray = length, o: str = o, m: float = m, s: float = s) -> np.ndarray:
+            g = _kernel((f[names].to_numpy(float) - mid) / width, z, length)
+            return np.column_stack([g.T @ g, g.T @ ((f[o].to_numpy(float) - m) / s)])
+
+        sums = summed(kept.drop("__row"), equations, size + 1)
+        # in the points' own directions, those without weight left out, so that points close to each other do no harm
+        lam, vec = np.linalg.eigh(_kernel(z, z, length))
+        vec = vec[:, lam > lam.max() * 1e-10] / np.sqrt(lam[lam > lam.max() * 1e-10])
+        whole = np.linalg.inv(np.eye(vec.shape[1]) + vec.T @ sums[:, :-1] @ vec / noise)
+        parts[o] = (m, s, length, vec @ whole @ (vec.T @ sums[:, -1]) / noise, vec @ (np.eye(vec.shape[1]) - whole) @ vec.T)
 
     def predict(v: Any) -> dict[str, Any]:
         a = (np.column_stack([np.asarray(v[c], float) for c in names]) - mid) / width
         got: dict[str, Any] = {f"{o}{e}": [] for o in outs for e in ("_mean", "_sd")}
         for i in range(0, max(1, len(a)), 2048):
-            for o, (m, s, length, _noise, inv, alpha) in parts.items():
-                k = gram(a[i : i + 2048], x, length)
+            for o, (m, s, length, alpha, sure) in parts.items():
+                k = _kernel(a[i : i + 2048], z, length)
                 got[f"{o}_mean"].append(k @ alpha * s + m)
-                got[f"{o}_sd"].append(np.sqrt(np.maximum(1 - np.einsum("ij,jk,ik->i", k, inv, k), 0)) * s)
+                got[f"{o}_sd"].append(np.sqrt(np.maximum(1 - np.einsum("ij,jk,ik->i", k, sure, k), 0)) * s)
         return {k: np.concatenate(p) for k, p in got.items()}
 
     made = tuple(f"{o}{e}" for o in outs for e in ("_mean", "_sd"))
@@ -298,73 +344,146 @@ def _powers(n_dim: int, degree: int) -> list[tuple[int, ...]]:
     return [p for p in itertools.product(range(degree + 1), repeat=n_dim) if sum(p) <= degree]
 
 
-def ridge_directions(x: np.ndarray, y: np.ndarray, n_dim: int, degree: int, n_iter: int = 50, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(directions, coefficients, middle, width): polynomial of ``n_dim`` projections, by variable projection with
-    Gauss-Newton steps from several starts."""
-    mid, width = (x.max(axis=0) + x.min(axis=0)) / 2, np.maximum((x.max(axis=0) - x.min(axis=0)) / 2, 1e-12)
-    z = (x - mid) / width
-    powers = _powers(n_dim, degree)
-
-    def basis(u: np.ndarray) -> np.ndarray:
-        t = z @ u
-        return np.column_stack([np.prod([t[:, k] ** p[k] for k in range(n_dim)], axis=0) for p in powers])
-
-    def solve(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        b = basis(u)
-        c = np.linalg.lstsq(b, y, rcond=None)[0]
-        return c, y - b @ c
-
-    rng, best = np.random.default_rng(seed), None
-    linear = np.linalg.lstsq(np.column_stack([z, np.ones(len(z))]), y, rcond=None)[0][:-1]
-    for s in range(5):
-        u = rng.normal(size=(z.shape[1], n_dim))
-        if s == 0:
-            u[:, 0] = linear
-        u = np.linalg.qr(u)[0]
-        c, r = solve(u)
-        for _ in range(n_iter):
-            t = z @ u
-            grad = [sum((c[j] * p[k] * t[:, k] ** max(0, p[k] - 1) * np.prod([t[:, q] ** p[q] for q in range(n_dim) if q != k], axis=0) for j, p in enumerate(powers) if p[k]), np.zeros(len(z))) for k in range(n_dim)]
-            b = basis(u)
-            q = np.linalg.qr(b)[0]
-            jac = np.column_stack([grad[k][:, None] * z for k in range(n_dim)])
-            jac = jac - q @ (q.T @ jac)
-            step = np.linalg.lstsq(jac, r, rcond=1e-10)[0].reshape(n_dim, -1).T
-            t_, moved = 1.0, False
-            while t_ > 1e-4:
-                to = np.linalg.qr(u + t_ * step)[0]
-                c2, r2 = solve(to)
-                if r2 @ r2 < r @ r * (1 - 1e-12):
-                    u, c, r, moved = to, c2, r2, True
+def _legendre(t: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, slopes) of Legendre's polynomials up to ``degree``: arrays of t's shape by degree."""
+    p, q = [np.ones_like(t), t], [np.zeros_like(t), np.ones_like(t)]
+    for k in range(1, degree):
+        p.append(((2 * k + 1) * t * p[k] - k * p[k - 1]) / (k + 1))
+        q.append(q[k - 1] + (2 * k + 1) * p[k])
+    return np.stack(p[: degree + 1]), np.stack(q[: degree + 1])
+
+
+class Ridge:
+    """Polynomial of few projections of a table's inputs, over an orthogonal basis, fitted to all rows.
+
+    Inputs are brought to -1 to 1; projections are divided by the root of their number, so they stay there too. Everything that
+    the fit needs of the rows are sums of products of basis functions, their slopes and the output: a pass for each set of directions tried.
+    """
+
+    def __init__(self, data: DataFrame, names: list[str], out: str, n_dim: int, degree: int) -> None:
+        self.data = settle(data.select(*(_c(c).cast("double").alias(c) for c in [*names, out])).dropna(), "ridge")
+        stats = self.data.agg(*(f(_c(c)) for c in names for f in (F.min, F.max)), F.avg(_c(out)), F.count(F.lit(1))).first()
+        if not stats[-1]:
+            raise ValueError("no rows to fit a ridge to")
+        lo, up = np.array(stats[: 2 * len(names) : 2], float), np.array(stats[1 : 2 * len(names) : 2], float)
+        self.names, self.out, self.n_dim, self.degree, self.n = names, out, n_dim, degree, stats[-1]
+        self.mid, self.width, self.level = (lo + up) / 2, np.maximum((up - lo) / 2, 1e-12), float(stats[-2])
+        self.powers, self.root = _powers(n_dim, degree), math.sqrt(len(names))
+
+    def __getstate__(self) -> dict[str, Any]:
+        """What goes out with the tasks: all but the table."""
+        return {k: v for k, v in self.__dict__.items() if k != "data"}
+
+    def basis(self, z: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows x functions, projections x rows x functions): values, and slopes by each projection."""
+        p, q = _legendre(z @ u / self.root, self.degree)
+        at = [[p[e[k], :, k] for k in range(self.n_dim)] for e in self.powers]
+        values = np.column_stack([np.prod(a, axis=0) for a in at])
+        slopes = [np.column_stack([np.prod([q[e[j], :, j] if j == k else a[j] for j in range(self.n_dim)], axis=0) for a, e in zip(at, self.powers)]) for k in range(self.n_dim)]
+        return values, np.stack(slopes) / self.root
+
+    def _batch(self, f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return (f[self.names].to_numpy(float) - self.mid) / self.width, f[self.out].to_numpy(float) - self.level
+
+    def solve(self, tries: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+        """(coefficients, sum of squared errors) for each set of directions, in one pass."""
+        k = len(self.powers)
+
+        def sums(f: pd.DataFrame) -> np.ndarray:
+            z, y = self._batch(f)
+            out = []
+            for u in tries:
+                b = np.column_stack([self.basis(z, u)[0], y])
+                out.append(b.T @ b)
+            return np.concatenate(out)
+
+        got = summed(self.data, sums, k + 1)
+        out = []
+        for i in range(len(tries)):
+            g = got[i * (k + 1) : (i + 1) * (k + 1)]
+            c = np.linalg.lstsq(g[:k, :k], g[:k, k], rcond=1e-12)[0]
+            out.append((c, max(float(g[k, k] - 2 * c @ g[:k, k] + c @ g[:k, :k] @ c), 0.0)))
+        return out
+
+    def step(self, u: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Gauss and Newton's step of the directions, the coefficients following along (variable projection)."""
+        k, d = len(self.powers), len(self.names)
+
+        def sums(f: pd.DataFrame) -> np.ndarray:
+            z, y = self._batch(f)
+            b, slopes = self.basis(z, u)
+            jac = np.column_stack([(s @ c)[:, None] * z for s in slopes])
+            r = y - b @ c
+            whole = np.column_stack([b, jac, r])
+            return whole.T @ whole
+
+        g = summed(self.data, sums, k + d * self.n_dim + 1)
+        bb, bj, jj = g[:k, :k], g[:k, k:-1], g[k:-1, k:-1]
+        own = np.linalg.lstsq(bb, np.column_stack([bj, g[:k, -1]]), rcond=1e-12)[0]
+        left, right = jj - bj.T @ own[:, :-1], g[k:-1, -1] - bj.T @ own[:, -1]
+        return np.linalg.lstsq(left, right, rcond=1e-10)[0].reshape(self.n_dim, d).T
+
+    def fit(self, n_iter: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """(directions, coefficients): the best of a start along the linear slope and four drawn ones, bettered until no step lowers the error."""
+        d = len(self.names)
+
+        def slope(f: pd.DataFrame) -> np.ndarray:
+            z, y = self._batch(f)
+            b = np.column_stack([z, np.ones(len(z)), y])
+            return b.T @ b
+
+        g = summed(self.data, slope, d + 2)
+        linear = np.linalg.lstsq(g[: d + 1, : d + 1], g[: d + 1, -1], rcond=1e-12)[0][:d]
+        rng, starts = np.random.default_rng(seed), []
+        for s in range(5):
+            u = rng.normal(size=(d, self.n_dim))
+            if s == 0 and np.linalg.norm(linear) > 0:
+                u[:, 0] = linear
+            starts.append(np.linalg.qr(u)[0])
+        found = self.solve(starts)
+        order = sorted(range(5), key=lambda i: found[i][1])[:2]
+        best = None
+        for i in order:
+            u, (c, error) = starts[i], found[i]
+            for _ in range(n_iter):
+                move = self.step(u, c)
+                tries = [np.linalg.qr(u + t * move)[0] for t in (1.0, 0.5, 0.2, 0.05, 0.01, 0.001)]
+                got = self.solve(tries)
+                j = min(range(len(tries)), key=lambda j: got[j][1])
+                if not got[j][1] < error * (1 - 1e-9):
+                    break
+                u, (c, error) = tries[j], got[j]
+                if error <= 1e-18 * self.n:
                     break
-                t_ /= 2
-            if not moved:
-                break
-        if best is None or r @ r < best[0]:
-            best = (r @ r, u, c)
-    _, u, c = best
-    signs = np.sign(u[np.abs(u).argmax(axis=0), np.arange(n_dim)])
-    if n_dim == 1 and signs[0] < 0:
-        u, c = -u, c * np.array([(-1) ** p[0] for p in powers])
-    return u, c, mid, width
-
-
-def fit_polyridge(df: Any, var: Any = None, out: str = "y", n_dim: int = 1, n_degree: int = 2, domain: Any = None, density: Any = None, seed: int = 0, rows: int = 20_000) -> Model:
-    """Polynomial of few projections: out_mean, inside Catalyst; fitted on at most ``rows`` rows."""
+            if best is None or error < best[0]:
+                best = (error, u, c)
+        _, u, c = best
+        signs = np.sign(u[np.abs(u).argmax(axis=0), np.arange(self.n_dim)])
+        signs[signs == 0] = 1
+        return u * signs, c * np.array([np.prod([signs[k] ** e[k] for k in range(self.n_dim)]) for e in self.powers])
+
+
+def fit_polyridge(df: Any, var: Any = None, out: str = "y", n_dim: int = 1, n_degree: int = 2, domain: Any = None, density: Any = None, seed: int = 0, n_iter: int = 50) -> Model:
+    """Polynomial of few projections: out_mean, inside Catalyst; fitted to all rows by passes of sums."""
     data = as_table(df).df
     names, outs = _names(data, var, out)
-    kept = data.select(*map(_c, [*names, outs[0]])).dropna().orderBy(F.xxhash64(*map(_c, names), F.lit(seed))).limit(rows)
-    m = np.array(kept.collect(), float)
-    u, c, mid, width = ridge_directions(m[:, :-1], m[:, -1], n_dim, n_degree, seed=seed)
+    ridge = Ridge(data, names, outs[0], n_dim, n_degree)
+    u, c = ridge.fit(n_iter, seed)
 
     def predict(x: Any) -> dict[str, Any]:
-        t = [sum(((x[v] - float(mid[i])) * float(u[i, k] / width[i]) for i, v in enumerate(names)), 0.0) for k in range(n_dim)]
-        total: Any = 0.0
-        for p, b in zip(_powers(n_dim, n_degree), c):
+        t = [sum(((x[v] - float(ridge.mid[i])) * float(u[i, k] / ridge.width[i] / ridge.root) for i, v in enumerate(names)), 0.0) for k in range(n_dim)]
+        values = []
+        for k in range(n_dim):
+            p: list[Any] = [1.0, t[k]]
+            for j in range(1, n_degree):
+                p.append(((2 * j + 1) * t[k] * p[j] - j * p[j - 1]) / (j + 1))
+            values.append(p)
+        total: Any = ridge.level
+        for e, b in zip(ridge.powers, c):
             term: Any = float(b)
             for k in range(n_dim):
-                for _ in range(p[k]):
-                    term = t[k] * term
+                if e[k]:
+                    term = values[k][e[k]] * term
             total = term + total
         return {f"{outs[0]}_mean": total}
 

@@ -57,8 +57,8 @@ def _held(dist: str, name: str, value: float) -> float:
 def scoring(dist: str, df: DataFrame, x: Column, density: Callable[[dict[str, float], Column], Column], start: dict[str, float], fixed: dict[str, float], tolerance: float = 1e-9) -> dict[str, float]:
     """The parameters of greatest likelihood from ``start``, those of ``fixed`` kept.
 
-    A round sums the log density, its slopes by each parameter (as differences) and their products over all rows. The products
-    stand in for the information; the step they give is taken if the likelihood rises, else the best of smaller ones, which the same
+    A round sums the log density over all rows, its slopes by each parameter (as differences), its curvature, and the products of slopes, which stand in for the
+    curvature where that isn't a maximum's. The step they give is taken if the likelihood rises, else the best of smaller ones, which the same
     pass has tried. Scales and positive shapes go by their logarithms. Rows of no density weigh as 1e-300, which turns a step back.
     Null values are left out; values are settled once, so that rounds read a single column.
     """
@@ -70,12 +70,26 @@ def scoring(dist: str, df: DataFrame, x: Column, density: Callable[[dict[str, fl
         return F.ln(F.greatest(density(param, F.col("x")), F.lit(1e-300)))
 
     def sums(theta: np.ndarray, others: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray, list[float]]:
+        """The mean log density, its slopes, what stands for the information, and the mean at other places."""
         k = len(names)
         steps = np.eye(k) * DIFFERENCE * np.maximum(1.0, np.abs(theta))
-        wide = known.select(log_density(theta).alias("l"), *(((log_density(theta + h) - log_density(theta - h)) / float(2 * h[i])).alias(f"s{i}") for i, h in enumerate(steps)), *(log_density(o).alias(f"o{j}") for j, o in enumerate(others)))
-        made = [F.avg("l"), *(F.avg(f"s{i}") for i in range(k)), *(F.avg(F.col(f"s{i}") * F.col(f"s{j}")) for i in range(k) for j in range(k)), *(F.avg(f"o{j}") for j in range(len(others)))]
-        row = [float("nan") if v is None else float(v) for v in wide.agg(*(m.alias(f"v{i}") for i, m in enumerate(made))).first()]
-        return row[0], np.array(row[1 : 1 + k]), np.array(row[1 + k : 1 + k + k * k]).reshape(k, k), row[1 + k + k * k :]
+        wide = {"l": log_density(theta)} | {f"u{i}": log_density(theta + h) for i, h in enumerate(steps)} | {f"d{i}": log_density(theta - h) for i, h in enumerate(steps)}
+        pairs = [(i, j) for i in range(k) for j in range(i)]
+        wide |= {f"{s}{i}_{j}": log_density(theta + sign * (steps[i] + steps[j])) for i, j in pairs for s, sign in (("p", 1), ("m", -1))}
+        wide |= {f"o{j}": log_density(o) for j, o in enumerate(others)}
+        score = [(F.col(f"u{i}") - F.col(f"d{i}")) / float(2 * steps[i, i]) for i in range(k)]
+        made = [F.avg(c).alias(c) for c in wide] + [F.avg(score[i] * score[j]).alias(f"v{i}_{j}") for i in range(k) for j in range(i + 1)]
+        row = {c: float("nan") if v is None else float(v) for c, v in known.select(*(x.alias(c) for c, x in wide.items())).agg(*made).first().asDict().items()}
+        slope = np.array([(row[f"u{i}"] - row[f"d{i}"]) / (2 * steps[i, i]) for i in range(k)])
+        seen, products = np.zeros((k, k)), np.zeros((k, k))
+        for i in range(k):
+            seen[i, i] = -(row[f"u{i}"] + row[f"d{i}"] - 2 * row["l"]) / steps[i, i] ** 2
+            for j in range(i):
+                seen[i, j] = seen[j, i] = -(row[f"p{i}_{j}"] + row[f"m{i}_{j}"] + 2 * row["l"] - row[f"u{i}"] - row[f"d{i}"] - row[f"u{j}"] - row[f"d{j}"]) / (2 * steps[i, i] * steps[j, j])
+            for j in range(i + 1):
+                products[i, j] = products[j, i] = row[f"v{i}_{j}"]
+        rising = np.isfinite(seen).all() and np.linalg.eigvalsh(seen).min() > 1e-6 * np.abs(seen).max()
+        return row["l"], slope, seen if rising else products, [row[f"o{j}"] for j in range(len(others))]
 
     theta = np.array([_free(dist, n, v) for n, v in start.items()])
     if not names:

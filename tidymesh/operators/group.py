@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidymesh.expr import Expr, Root
 from tidymesh.operators.select import quoted, resolve_selection
+from tidymesh.plans.quantiles import exact_quantiles
 from tidymesh.table import Table, add_pipe, flatten, named, verb
 
 
@@ -36,21 +37,18 @@ def _known(df: DataFrame, keys: list[str]) -> DataFrame:
 
 @verb
 def tran_summarize(df: Table, **columns: Any) -> Table:
-    """One row for each group, sorted by key (rows with a missing key have no group), or one for the table."""
+    """One row for each group (rows with a missing key have no group), or one for the table. The keys are stated as its order; rows are
+    sorted by them only where that is asked for, as sorting takes a shuffle."""
     ctx = df.context(summary=True)
-    made = []
+    made = {}
     for name, x in columns.items():
-        if isinstance(x, Expr):
-            column = ctx.column(x)
-            made.append((column if x._depth else F.first(column)).alias(name))
+        if not isinstance(x, Expr):
+            made[name] = F.lit(x)
+        elif x._depth:
+            made[name] = ctx.column(x)
         else:
-            made.append(F.lit(x).alias(name))
-    keys = list(df.groups)
-    if not keys:
-        return Table(ctx.df.agg(*made), meta=df.meta)
-    out = _known(ctx.df, keys).groupBy(*quoted(keys)).agg(*made)
-    order = [k.asc() for k in quoted(keys)]
-    return Table(out.orderBy(*order), order=tuple(order), meta=df.meta)
+            made[name] = ctx.aggregated(lambda inner, x=x: F.first(inner(x)))
+    return Table(ctx.summarized(made), order=tuple(k.asc() for k in quoted(df.groups)), meta=df.meta)
 
 
 @verb
@@ -65,21 +63,21 @@ def tran_count(df: Table, *args: Any) -> Table:
     """Rows of each combination of keys, as ``n``."""
     keys = [named(a) for a in flatten(args)] or list(df.groups)
     out = _known(df.df, keys).groupBy(*quoted(keys)).agg(F.count(F.lit(1)).alias("n"))
-    order = [k.asc() for k in quoted(keys)]
-    return Table(out.orderBy(*order), order=tuple(order))
+    return Table(out, order=tuple(k.asc() for k in quoted(keys)))
 
 
 @verb
 def tran_describe(df: Table) -> Table:
-    """count, mean, std, min, quartiles and max of the numeric columns, a row for each statistic, in one pass."""
+    """count, mean, std, min, quartiles and max of the numeric columns, a row for each statistic: a pass of aggregates and one of counts of values."""
     names = [f.name for f in df.df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    stats = {
-        "count": lambda c: F.count(c), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "25%": lambda c: F.percentile(c, F.lit(0.25)),
-        "50%": lambda c: F.percentile(c, F.lit(0.5)), "75%": lambda c: F.percentile(c, F.lit(0.75)), "max": F.max,
-    }
-    wide = df.df.agg(*(F.struct(*(f(F.col(f"`{c}`")).cast("double").alias(c) for c in names)).alias(s) for s, f in stats.items()))
-    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(f"`{s}`").alias("v")) for s in stats)))
-    return Table(wide.select(rows.alias("r")).select("r.statistic", *(F.col("r.v")[c].alias(c) for c in names)))
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "25%": 0.25, "50%": 0.5, "75%": 0.75, "max": F.max}
+    shares = [p for p in stats.values() if isinstance(p, float)]
+    wide = df.df.agg(*(f(F.col(f"`{c}`")).cast("double").alias(f"{s}{i}") for s, f in stats.items() if callable(f) for i, c in enumerate(names)))
+    found = exact_quantiles(df.df, [], [(F.col(f"`{c}`"), shares) for c in names])
+    wide = wide.crossJoin(F.broadcast(found))  # a row each
+    at = {s: (lambda i, s=s: f"{s}{i}") if callable(f) else (lambda i, f=f: f"q{i}_{shares.index(f)}") for s, f in stats.items()}
+    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), *(F.col(f"`{at[s](i)}`").alias(c) for i, c in enumerate(names))) for s in stats)))
+    return Table(wide.select(rows.alias("r")).select("r.statistic", *(F.col("r")[c].alias(c) for c in names)))
 
 
 @verb

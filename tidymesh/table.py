@@ -15,12 +15,14 @@ from tidymesh.expr import Context, Expr
 
 @dataclass(frozen=True)
 class Table:
-    """``order``: the sort keys that give the rows their places, for verbs that depend on them."""
+    """``order``: the sort keys that give the rows their places, for verbs that depend on them. ``weight``: a column with the number of copies
+    that a row stands for, which summaries mind; other verbs keep it with the rows."""
 
     df: DataFrame
     groups: tuple[str, ...] = ()
     order: tuple[Column, ...] = ()
     meta: dict[str, Any] = field(default_factory=dict)
+    weight: str | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -31,14 +33,14 @@ class Table:
         return replace(self, df=df, **changes)
 
     def context(self, summary: bool = False) -> Context:
-        return Context(self.df, list(self.groups), list(self.order), summary)
+        return Context(self.df, list(self.groups), list(self.order), summary, None if self.weight is None else F.col(self.weight))
 
     @property
     def rows(self) -> list[Column]:
         return list(self.order) or [F.monotonically_increasing_id()]
 
     def collect(self) -> list:
-        return self.df.collect()
+        return (self.df.orderBy(*self.order) if self.order else self.df).collect()
 
     def toPandas(self):
         return (self.df.orderBy(*self.order) if self.order else self.df).toPandas()

@@ -74,45 +74,80 @@ def tran_kfolds(df: Table, k: int | None = None, ft: Callable | None = None, out
     return Table(whole)
 
 
+def _poisson(u: Column, mean: Column | float) -> Column:
+    """The Poisson number whose distribution function first passes ``u``; its steps go on until they no longer change the sum."""
+    mean = F.lit(mean) if isinstance(mean, float) else mean.cast("double")
+    start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("c"))
+    # beyond the mean and 12 of its roots (and 24) nothing is left that a double could tell from 1
+    most = F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("int")
+
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * mean / k
+        return F.when(u > s["c"], F.struct(k.alias("k"), p.alias("p"), (s["c"] + p).alias("c"))).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
+
+
+def _poisson_one(u: Column) -> Column:
+    """The same for a mean of 1, as a sum of steps; the 17th is the last that a double tells from 1."""
+    total, p, times = 0.0, math.exp(-1), F.lit(0)
+    for k in range(17):
+        total += p
+        times = times + (u > total).cast("int")
+        p /= k + 1
+    return times
+
+
+def _even(index: list[Column], seed: int) -> Column:
+    """A number in (0, 1) from a hash of whole numbers: 53 bits."""
+    return (F.shiftrightunsigned(F.xxhash64(*index, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+
+
 @verb
 def tran_bootstrap(df: Table, tran: Callable[[Table], Table], n_boot: int = 500, n_sub: int = 25, con: float = 0.9, col_sel: list[str] | None = None, seed: int = 0) -> Table:
     """Bootstrap-t intervals of a one-row summary's columns: name_lo and name_up.
 
-    Resampling is by weights: each row comes as often as a Poisson number, drawn from a hash of (row, replicate); the
-    summary is taken by replicate with groups, all replicates in one pass. ``tran``: a verb that summarises a table
-    with groups. Sub-replicates give each replicate's standard error.
+    Resampling is by weights: in each replicate a row counts a Poisson number of times, drawn from a hash of (row, replicate), and in a sub-replicate as often as
+    so many draws of its own say, so that a lost task draws the same again. The summary carries the weights into its aggregates, so no row is
+    copied or shuffled: replicates and sub-replicates are groups of one pass whose sums combine before the shuffle. Sub-replicates give
+    each replicate's standard error. ``tran``: a verb that summarises a table with groups. Where its functions have no form for
+    weights (places, windows), rows are repeated instead.
     """
+    from tidymesh.expr import Unweighted
     from tidymesh.operators.group import tran_group_by
+    from tidymesh.plans.quantiles import exact_quantiles
 
     base = settle(df.df.withColumn("__row", F.monotonically_increasing_id()), "bootstrap")
     alpha = (1 - con) / 2
+    plain = [c for c in base.columns if c != "__row"]
 
-    def resampled(table: DataFrame, key: str, n: int, tag: str) -> DataFrame:
-        each = table.withColumn(key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        u = uniform(F.concat_ws("/", *(_c(c).cast("string") for c in each.columns if c in ("__row", "__boot", "__sub"))), seed, tag)
-        cum, times, p = 0.0, F.lit(0), math.exp(-1)
-        for i in range(8):
-            cum += p
-            times = times + (u > cum).cast("int")
-            p /= i + 1
-        return each.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__copy")
-
-    def summary(table: DataFrame, *groups: str) -> DataFrame:
-        return tran(tran_group_by(Table(table), *groups) if groups else Table(table)).df
-
-    once = summary(base.drop("__row"))
+    once = tran(Table(base.drop("__row"))).df
     names = [c for c in (col_sel or _numeric(once))]
-    boots = resampled(base, "__boot", n_boot, "boot")
-    theta = summary(boots, "__boot")
-    subs = resampled(boots, "__sub", n_sub, "sub")
-    inner = summary(subs, "__boot", "__sub").groupBy("__boot").agg(*(F.stddev_samp(_c(c)).alias(f"__se{i}") for i, c in enumerate(names)))
-    met = theta.join(inner, "__boot").crossJoin(F.broadcast(once.select(*(_c(c).alias(f"__hat{i}") for i, c in enumerate(names)))))
-    aggs = []
+    # __sub -1 is the replicate itself; draws of a sub-replicate are as many as the row has in its replicate
+    each = base.withColumn("__boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("__n", _poisson_one(_even([F.col("__row"), F.col("__boot")], seed))).where("__n > 0")
+    each = each.withColumn("__sub", F.explode(F.sequence(F.lit(-1), F.lit(n_sub - 1))))
+    u = _even([F.col("__row"), F.col("__boot"), F.col("__sub")], seed + 1)
+    times = F.when(F.col("__sub") < 0, F.col("__n")).when(F.col("__n") == 1, _poisson_one(u)).otherwise(_poisson(u, F.col("__n")))
+    drawn = each.withColumn("__times", times).where("__times > 0").select(*quoted(plain), "__boot", "__sub", "__times")
+    groups = ("__boot", "__sub")
+    try:
+        told = tran(Table(drawn, groups=groups, weight="__times")).df
+    except Unweighted:
+        copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__copy", "__times")
+        told = tran(tran_group_by(Table(copies), *groups)).df
+    told = settle(told.select(*groups, *(_c(c).cast("double").alias(c) for c in names)), "replicates")
+    theta = told.where("__sub < 0")
+    inner = told.where("__sub >= 0").groupBy("__boot").agg(*(F.stddev_samp(_c(c)).alias(f"__se{i}") for i, c in enumerate(names)))
+    hats = once.select(*(_c(c).cast("double").alias(f"__hat{i}") for i, c in enumerate(names)))
+    met = theta.join(inner, "__boot").crossJoin(F.broadcast(hats))  # one row
+    t = [F.try_divide(_c(c) - F.col(f"__hat{i}"), F.col(f"__se{i}")) for i, c in enumerate(names)]
+    cut = exact_quantiles(met, [], [(x, [1 - alpha, alpha]) for x in t])
+    spread = met.agg(*(F.first(f"__hat{i}").alias(f"__hat{i}") for i in range(len(names))), *(F.stddev_samp(_c(c)).alias(f"__sd{i}") for i, c in enumerate(names)))
+    made = []
     for i, c in enumerate(names):
-        t = F.try_divide(_c(c) - F.col(f"__hat{i}"), F.col(f"__se{i}"))
-        hat, se = F.first(f"__hat{i}"), F.stddev_samp(_c(c))
-        aggs += [(hat - F.percentile(t, F.lit(1 - alpha)) * se).alias(f"{c}_lo"), (hat - F.percentile(t, F.lit(alpha)) * se).alias(f"{c}_up"), hat.alias(c)]
-    return Table(met.agg(*aggs))
+        hat, se = F.col(f"__hat{i}"), F.col(f"__sd{i}")
+        made += [(hat - F.col(f"q{i}_0") * se).alias(f"{c}_lo"), (hat - F.col(f"q{i}_1") * se).alias(f"{c}_up"), hat.alias(c)]
+    return Table(spread.crossJoin(F.broadcast(cut)).select(*made))  # a row each
 
 
 def _gram(df: DataFrame, names: list[str], centred: bool) -> tuple[np.ndarray, np.ndarray, int]:
@@ -229,32 +264,43 @@ def powerset(items: Any) -> list[tuple]:
 def tran_shapley_cohort(df: Table, var: list[str], out: list[str], bins: int = 20, inds: list[int] | None = None) -> Table:
     """Cohort Shapley values of each row's outputs by input: columns out_var.
 
-    A row's cohort for a set of inputs is the rows in the same bins of them, so the cohort means are one aggregate
-    for each set (2 ** inputs), joined back by bins; no row meets another.
+    A row's cohort for a set of inputs is the rows in the same bins of them. Rows are added up by cell (a bin of every input); one CUBE over the
+    cells has the means of the cohorts of all 2 ** inputs sets, each cell looks up its own, and a value is their sum by the sets' weights;
+    then rows get those of their cell. No row meets another, and no set needs a pass of its own. Missing inputs are a bin of
+    their own; missing outputs are left out of the means.
     """
     data = with_row_index(df.df, list(df.order), "__i")
     lo_up = data.agg(*(f(_c(v)).alias(f"{n}{i}") for i, v in enumerate(var) for n, f in (("lo", F.min), ("up", F.max)))).first()
+    d = len(var)
+    keys = [f"__b{i}" for i in range(d)]
     for i, v in enumerate(var):
-        lo, up = float(lo_up[2 * i]), float(lo_up[2 * i + 1])
-        data = data.withColumn(f"__b{i}", F.least(F.floor((_c(v) - lo) / (up - lo if up > lo else 1.0) * bins), F.lit(bins - 1)).cast("int"))
+        lo, up = (0.0 if x is None else float(x) for x in lo_up[2 * i : 2 * i + 2])
+        place = F.least(F.floor((_c(v) - lo) / (up - lo if up > lo else 1.0) * bins), F.lit(bins - 1)).cast("int")
+        data = data.withColumn(keys[i], F.coalesce(place, F.lit(-2)))
     data = settle(data, "cohorts")
-    met = data if inds is None else data.join(F.broadcast(data.sparkSession.createDataFrame([(int(i),) for i in inds], "__i bigint")), "__i")
-    sets = powerset(range(len(var)))
-    for s in sets:
-        keys = [f"__b{i}" for i in s]
-        label = "_".join(map(str, s))
-        means = [F.avg(_c(o)).alias(f"__m{label}:{k}") for k, o in enumerate(out)]
-        met = met.join(data.groupBy(*keys).agg(*means), keys) if keys else met.crossJoin(F.broadcast(data.agg(*means)))
-    d, made = len(var), []
-    for k, o in enumerate(out):
-        for i, v in enumerate(var):
-            total = F.lit(0.0)
-            for s in sets:
-                if i not in s:
-                    w = math.factorial(len(s)) * math.factorial(d - len(s) - 1) / math.factorial(d)
-                    total = total + w * (_c(f"__m{'_'.join(map(str, sorted([*s, i])))}:{k}") - _c(f"__m{'_'.join(map(str, s))}:{k}"))
-            made.append(total.alias(f"{o}_{v}"))
-    return Table(met.select(*quoted(df.columns), *made))
+    sums = [f(_c(o)).alias(f"__{n}{k}") for k, o in enumerate(out) for n, f in (("s", F.sum), ("n", F.count))]
+    cells = settle(data.groupBy(*keys).agg(*sums), "cells")
+    added = [F.sum(f"__{n}{k}").alias(f"__{n}{k}") for k in range(len(out)) for n in "sn"]
+    cube = cells.cube(*keys).agg(*added, *(F.grouping(k).alias(f"__g{i}") for i, k in enumerate(keys)))
+    mask = sum((F.when(F.col(f"__g{i}") == 0, 1 << i).otherwise(0) for i in range(d)), F.lit(0))
+    # -1: an input outside the set
+    means = cube.select(mask.alias("__set"), *(F.coalesce(F.col(k), F.lit(-1)).alias(f"__k{i}") for i, k in enumerate(keys)), *(F.try_divide(F.col(f"__s{k}").cast("double"), F.col(f"__n{k}")).alias(f"__m{k}") for k in range(len(out))))
+    asked = cells.select(*keys, F.explode(F.sequence(F.lit(0), F.lit((1 << d) - 1))).alias("__of"))
+    asked = asked.withColumns({f"__a{i}": F.when(F.col("__of").bitwiseAND(1 << i) != 0, F.col(k)).otherwise(-1) for i, k in enumerate(keys)})
+    met = asked.join(means, [F.col("__of") == F.col("__set"), *(F.col(f"__a{i}") == F.col(f"__k{i}") for i in range(d))])
+    others = [math.factorial(n) * math.factorial(d - n - 1) / math.factorial(d) for n in range(d)]
+    share = F.array(*(F.lit(x) for x in others))
+    size = F.bit_count(F.col("__of"))
+
+    def value(i: int, k: int) -> Column:
+        """A set with the input counts for it by the weight of the set without it; a set without it, against it by its own."""
+        w = F.when(F.col("__of").bitwiseAND(1 << i) != 0, F.get(share, size - 1)).otherwise(-F.get(share, size))
+        return F.sum(w * F.col(f"__m{k}")).alias(f"__v{k}_{i}")
+
+    values = met.groupBy(*(F.col(k).alias(f"{k}c") for k in keys)).agg(*(value(i, k) for k in range(len(out)) for i in range(d)))
+    rows = data if inds is None else data.join(F.broadcast(data.sparkSession.createDataFrame([(int(i),) for i in inds], "__i bigint")), "__i")
+    told = rows.join(values, [F.col(k) == F.col(f"{k}c") for k in keys])
+    return Table(told.select(*quoted(df.columns), *(F.col(f"__v{k}_{i}").alias(f"{o}_{v}") for k, o in enumerate(out) for i, v in enumerate(var))))
 
 
 @verb
@@ -270,10 +316,23 @@ def tran_reweight(df: Table, md_base: Model, md_new: Model, var_weight: str = "w
 
 @verb
 def tran_angles(df: Table, df2: Any) -> Table:
-    """Principal angles between the column spaces of two small tables with the same rows."""
-    a, b = (np.array(as_table(t).df.collect(), float) for t in (df, df2))
-    qa, qb = np.linalg.qr(a)[0], np.linalg.qr(b)[0]
-    s = np.clip(np.linalg.svd(qa.T @ qb, compute_uv=False), -1, 1)
+    """Principal angles between the column spaces of two tables with the same rows in the same order.
+
+    Rows meet by their place, and one pass adds up the products of all columns; angles follow from those sums (so angles under some 1e-7 are told as about that).
+    """
+    other = as_table(df2)
+    left = with_row_index(df.df, list(df.order), "__i").toDF(*(f"a{i}" for i in range(len(df.columns))), "__i")
+    right = with_row_index(other.df, list(other.order), "__i").toDF(*(f"b{i}" for i in range(len(other.columns))), "__j")
+    n, m = len(df.columns), len(other.columns)
+    _, gram, _ = _gram(left.join(right, F.col("__i") == F.col("__j")).select(*left.columns[:-1], *right.columns[:-1]), [f"a{i}" for i in range(n)] + [f"b{i}" for i in range(m)], False)
+
+    def root(g: np.ndarray) -> np.ndarray:
+        """g ** -1/2 on its range."""
+        lam, vec = np.linalg.eigh(g)
+        keep = lam > lam.max() * 1e-12
+        return vec[:, keep] / np.sqrt(lam[keep])
+
+    s = np.clip(np.linalg.svd(root(gram[:n, :n]).T @ gram[:n, n:] @ root(gram[n:, n:]), compute_uv=False), -1, 1)
     return Table(df.df.sparkSession.createDataFrame([(float(x),) for x in sorted(np.arccos(s))], "angle double"))
 
 
@@ -319,32 +378,60 @@ def tran_sp(df: Table, n: int, var: list[str] | None = None, n_maxiter: int = 20
 
 
 @verb
-def tran_polyridge(df: Table, var: list[str], out: str, n_dim: int = 1, n_degree: int = 2, seed: int = 0, rows: int = 20_000, n_iter: int = 50) -> Table:
-    """Directions of a polynomial ridge function: a row for each, with a weight for each input.
+def tran_polyridge(df: Table, var: list[str], out: str, n_dim: int = 1, n_degree: int = 2, seed: int = 0, n_iter: int = 50) -> Table:
+    """Directions of a polynomial ridge function: a row for each, with a weight for each input; fitted to all rows (models/fit.py)."""
+    from tidymesh.models.fit import Ridge
 
-    Variable projection by Gauss-Newton on at most ``rows`` rows (those of the least hash)."""
-    from tidymesh.models.fit import ridge_directions
+    u = Ridge(df.df, list(var), out, n_dim, n_degree).fit(n_iter, seed)[0]
+    return Table(df.df.sparkSession.createDataFrame([tuple(float(x) for x in col) for col in u.T], ", ".join(f"`{c}` double" for c in var)))
 
-    names = list(var)
-    data = np.array(df.df.select(*quoted(names), _c(out)).dropna().orderBy(F.xxhash64(*quoted(names), F.lit(seed))).limit(rows).collect(), float)
-    u = ridge_directions(data[:, :-1], data[:, -1], n_dim, n_degree, n_iter, seed)[0]
-    return Table(df.df.sparkSession.createDataFrame([tuple(float(x) for x in col) for col in u.T], ", ".join(f"`{c}` double" for c in names)))
 
+def _embedding(df: Table, var: list[str] | None, out: str, keep: bool, append: bool, n_dim: int, rows: int, near: int, fun: Callable[[np.ndarray], np.ndarray]) -> Table:
+    """A position for every row with known inputs (missing for the others).
 
-def _embedding(df: Table, var: list[str] | None, out: str, keep: bool, append: bool, n_dim: int, rows: int, fun: Callable[[np.ndarray], np.ndarray]) -> Table:
+    ``fun`` lays out landmarks: at most ``rows`` distinct rows, those of the least hash. They are few, so they go out with the tasks, and any other row is put among its
+    ``near`` nearest landmarks, each weighing by a normal kernel as wide as the distances to them are; a landmark keeps its own position.
+    """
     names = list(var or _numeric(df.df))
-    kept = df.df.dropna(subset=names).orderBy(F.xxhash64(*quoted(names))).limit(rows)
-    frame = kept.toPandas()
-    got = fun(frame[names].to_numpy(float))
-    for i in range(n_dim):
-        frame[f"{out}{i}"] = got[:, i]
-    names_out = [*(frame.columns[: -n_dim] if append else names if keep else []), *(f"{out}{i}" for i in range(n_dim))]
-    return Table(df.df.sparkSession.createDataFrame(frame[list(names_out)]))
+    known = df.df.select(*(_c(c).cast("double").alias(c) for c in names)).dropna().distinct()
+    marks = np.array(known.orderBy(F.xxhash64(*quoted(names)), *quoted(names)).limit(rows).collect(), float).reshape(-1, len(names))
+    places = fun(marks) if len(marks) > 1 else np.zeros((len(marks), n_dim))
+    stats = known.agg(*(f(_c(c)) for c in names for f in (F.avg, F.stddev_pop))).first()
+    mid, width = np.array([0.0 if x is None else float(x) for x in stats[::2]]), np.array([float(x) if x else 1.0 for x in stats[1::2]])
+    marks = (marks - mid) / width
+    made = [f"{out}{i}" for i in range(n_dim)]
+    kept = [f for f in df.df.schema.fields if f.name not in made and (append or keep and f.name in names)]
+    schema = T.StructType([*kept, *(T.StructField(m, T.DoubleType()) for m in made)])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x = (f[names].to_numpy(float) - mid) / width
+            at = np.full((len(f), n_dim), np.nan)
+            for k in range(0, len(f), 1024):
+                part = x[k : k + 1024]
+                sure = np.isfinite(part).all(axis=1)
+                if not len(marks) or not sure.any():
+                    continue
+                d = ((part[sure][:, None] - marks[None]) ** 2).sum(axis=2)
+                own = np.argsort(d, axis=1, kind="stable")[:, :near]
+                far = np.take_along_axis(d, own, axis=1)
+                w = np.exp(-far / np.maximum(far.mean(axis=1, keepdims=True), 1e-300))
+                w = np.where((far[:, :1] <= 1e-18), far <= 1e-18, w)
+                at[k : k + 1024][sure] = np.einsum("ij,ijk->ik", w / w.sum(axis=1, keepdims=True), places[own])
+            got = f[[c.name for c in kept]].copy()
+            for i, m in enumerate(made):
+                got[m] = at[:, i]
+            yield got
+
+    done = df.df.mapInPandas(run, schema)
+    return Table(done.withColumns({m: F.when(~F.isnan(_c(m)), _c(m)) for m in made}))
 
 
 @verb
-def tran_tsne(df: Table, var: list[str] | None = None, out: str = "xi", keep: bool = True, append: bool = False, n_dim: int = 2, seed: int = 0, rows: int = 1000, perplexity: float = 20.0, n_iter: int = 300) -> Table:
-    """t-SNE map of at most ``rows`` rows (those of the least hash), on the driver: a picture, not a pipeline step."""
+def tran_tsne(
+    df: Table, var: list[str] | None = None, out: str = "xi", keep: bool = True, append: bool = False, n_dim: int = 2, seed: int = 0, rows: int = 1000, perplexity: float = 20.0, n_iter: int = 300, near: int = 8
+) -> Table:
+    """t-SNE map: landmarks (at most ``rows`` distinct rows) are laid out on the driver, every other row finds its place among its nearest landmarks."""
 
     def fun(x: np.ndarray) -> np.ndarray:
         x = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-12)
@@ -375,17 +462,17 @@ def tran_tsne(df: Table, var: list[str] | None = None, out: str = "xi", keep: bo
             y = y + v
         return y - y.mean(axis=0)
 
-    return _embedding(df, var, out, keep, append, n_dim, rows, fun)
+    return _embedding(df, var, out, keep, append, n_dim, rows, near, fun)
 
 
 @verb
-def tran_umap(df: Table, var: list[str] | None = None, out: str = "xi", keep: bool = True, append: bool = False, n_dim: int = 2, seed: int = 0, rows: int = 1000) -> Table:
-    """UMAP of at most ``rows`` rows on the driver; needs the umap package."""
+def tran_umap(df: Table, var: list[str] | None = None, out: str = "xi", keep: bool = True, append: bool = False, n_dim: int = 2, seed: int = 0, rows: int = 1000, near: int = 8) -> Table:
+    """UMAP of landmarks on the driver, all other rows among their nearest ones; needs the umap package."""
     try:
         import umap
     except ImportError as e:
         raise ImportError("tran_umap needs the umap package") from e
-    return _embedding(df, var, out, keep, append, n_dim, rows, lambda x: umap.UMAP(n_components=n_dim, random_state=seed).fit_transform(x))
+    return _embedding(df, var, out, keep, append, n_dim, rows, near, lambda x: umap.UMAP(n_components=n_dim, random_state=seed).fit_transform(x))
 
 
 @verb
