@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from tidymesh.llm.common import settle
 from tidymesh.llm.topk_search import HIGHEST, LARGEST, LOWEST, clamped, exact, filled, matrix
+from tidymesh.plans.rowindex import with_row_index
 
 #: Vectors in a block, blocks in a piece (what a task scores at once), targets in a run, rows that the first interval of keys should hold.
 BLOCK, PIECE, RUN, FIRST = 256, 64, 2048, 4096
-#: Pivots, the rows that they are chosen from, and rings: intervals of keys of one pivot, as many as the driver may plan with.
+#: Pivots, the rows that they are chosen from, and rings: intervals of keys of one pivot, about as many as the driver may plan with.
 PIVOTS, CHOSEN_FROM, RINGS = 32, 2048, 4096
 #: Distances come from floats: what they can't tell apart by this share of the largest square is still looked at.
 SLACK = 1e-9
@@ -77,7 +78,6 @@ def spread_out(points: np.ndarray, n: int) -> np.ndarray:
 
 KEYED = "id bigint, own bigint, label bigint, v array<bigint>, pivot int, distance double"
 BLOCKS = "ring bigint, piece bigint, pivot int, low double, high double, n int, width int, ids binary, owns binary, labels binary, data binary"
-TARGETS = "run bigint, target bigint, own bigint, id bigint, label bigint, v array<bigint>, low_score bigint, high_score bigint, same boolean"
 FOUND = "target bigint, own bigint, id bigint, score bigint"
 
 
@@ -85,7 +85,6 @@ class Index:
     """All vectors by (nearest pivot, distance to it), in blocks, pieces and rings, settled."""
 
     def __init__(self, rows: DataFrame) -> None:
-        spark = rows.sparkSession
         square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
         n, top, width = rows.agg(F.count("*"), F.max(square), F.max(F.size("v"))).first()
         some = [r.v for r in rows.orderBy(F.xxhash64("id"), "own").select("v").limit(CHOSEN_FROM).collect()]
@@ -100,48 +99,28 @@ class Index:
                     far = space.from_pivots(filled(list(frame["v"]), max(map(len, frame["v"]))), False)
                     yield frame.assign(pivot=far.argmin(axis=1).astype(np.int32), distance=far.min(axis=1))
 
-        least = max(FIRST // 2, -(-2 * n // RINGS))  # rows of a ring, so that rings stay few however many rows there are
-
-        def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ring, rows_in, piece, blocks_in, pivot, rest = -1, 0, -1, 0, None, None
-            part = None
-
-            def blocks(frame: pd.DataFrame) -> pd.DataFrame:
-                nonlocal ring, rows_in, piece, blocks_in, pivot
-                out = []
-                ends = np.append(np.flatnonzero(np.diff(frame["pivot"])) + 1, len(frame))
-                for a, b in zip(np.append(0, ends), ends):
-                    for k in range(a, b, BLOCK):
-                        x = frame.iloc[k : min(k + BLOCK, b)]
-                        if pivot != x["pivot"].iloc[0] or rows_in >= least:
-                            ring, rows_in, blocks_in, pivot = ring + 1, 0, 0, x["pivot"].iloc[0]
-                        if blocks_in % PIECE == 0:
-                            piece += 1
-                        rows_in, blocks_in = rows_in + len(x), blocks_in + 1
-                        v = filled(list(x["v"]), max(map(len, x["v"])))
-                        packed = [x[c].to_numpy(np.int64).tobytes() for c in ("id", "own", "label")]
-                        out.append((part + ring, part + piece, pivot, x["distance"].min(), x["distance"].max(), len(x), v.shape[1], *packed, v.tobytes()))
-                return pd.DataFrame(out, columns=[c.split()[0] for c in BLOCKS.split(", ")])
+        # rows of a piece, and of a ring: as many pieces as leave no more than RINGS rings or so, however many rows there are
+        size = min(BLOCK * PIECE, FIRST // 2)
+        while RINGS * size < 2 * n and size < BLOCK * PIECE:
+            size *= 2
+        least = size * max(1, -(-2 * n // (RINGS * size)))
+
+        def cut(frame: pd.DataFrame) -> pd.DataFrame:
+            """A piece in the order of its keys, in blocks of one pivot each."""
+            frame = frame.sort_values("at", kind="stable")
+            out = []
+            ends = np.append(np.flatnonzero(np.diff(frame["pivot"])) + 1, len(frame))
+            for a, b in zip(np.append(0, ends), ends):
+                for k in range(a, b, BLOCK):
+                    x = frame.iloc[k : min(k + BLOCK, b)]
+                    at, pivot = int(x["at"].iloc[0]), int(x["pivot"].iloc[0])
+                    v = filled(list(x["v"]), max(map(len, x["v"])))
+                    packed = [x[c].to_numpy(np.int64).tobytes() for c in ("id", "own", "label")]
+                    out.append((at // least * PIVOTS + pivot, at // size * PIVOTS + pivot, pivot, x["distance"].min(), x["distance"].max(), len(x), v.shape[1], *packed, v.tobytes()))
+            return pd.DataFrame(out, columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
-            for frame in frames:
-                if not len(frame):
-                    continue
-                if part is None:
-                    part = int(frame["part"].iloc[0]) << 33
-                if rest is not None:
-                    frame = pd.concat([rest, frame], ignore_index=True)
-                whole = len(frame) - len(frame) % BLOCK  # a batch's last rows share a block with the next batch's
-                rest = frame.iloc[whole:]
-                if whole:
-                    yield blocks(frame.iloc[:whole])
-            if rest is not None and len(rest):
-                yield blocks(rest)
-
-        keyed = rows.mapInPandas(key, KEYED)
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(1, min(tasks, n // (8 * BLOCK)), min(n // 200_000, RINGS))
-        near = keyed.repartitionByRange(parts, "pivot", "distance", "own").sortWithinPartitions("pivot", "distance", "own")
-        self.blocks = settle(near.withColumn("part", F.spark_partition_id()).mapInPandas(cut, BLOCKS), "keyed")
+        placed = with_row_index(rows.mapInPandas(key, KEYED), [F.col(c) for c in ("pivot", "distance", "own")], "at")
+        self.blocks = settle(placed.groupBy(F.floor(F.col("at") / size).alias("p")).applyInPandas(cut, BLOCKS), "keyed")
         told = self.blocks.groupBy("ring").agg(F.first("pivot").alias("pivot"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).orderBy("ring").collect()
         self.rings = Rings(*(np.array([r[c] for r in told]) for c in ("ring", "pivot", "low", "high", "n")))
 
@@ -156,23 +135,17 @@ class Index:
                     far = space.from_pivots(filled(list(frame["v"]), max(map(len, frame["v"]))), True)
                     yield frame.assign(pivot=far.argmin(axis=1).astype(np.int32), distance=far.min(axis=1))
 
-        def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            made = 0
-            for frame in frames:
-                for k in range(0, len(frame), RUN):
-                    x = frame.iloc[k : k + RUN]
-                    v = filled(list(x["v"]), max(map(len, x["v"])))
-                    packed = [x[c].to_numpy(np.int64).tobytes() for c in ("target", "own", "label", "low_score", "high_score", "same")]
-                    yield pd.DataFrame([((int(x["part"].iloc[0]) << 33) + made, len(x), v.shape[1], *packed, v.tobytes())], columns=[c.split()[0] for c in kind.split(", ")])
-                    made += 1
+        def pack(frame: pd.DataFrame) -> pd.DataFrame:
+            x = frame.sort_values("at", kind="stable")
+            v = filled(list(x["v"]), max(map(len, x["v"])))
+            packed = [x[c].to_numpy(np.int64).tobytes() for c in ("target", "own", "label", "low_score", "high_score", "same")]
+            return pd.DataFrame([(int(x["at"].iloc[0]) // RUN, len(x), v.shape[1], *packed, v.tobytes())], columns=[c.split()[0] for c in kind.split(", ")])
 
         asked = asked.select("own", "label", "v", "low_score", "high_score", F.col("same").cast("long").alias("same")).withColumn("target", F.monotonically_increasing_id())
         asked = settle(asked, "targets")
-        n, tasks = asked.count(), int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(1, min(tasks, n // RUN), n // 200_000)
         near = asked.mapInPandas(key, "own bigint, label bigint, v array<bigint>, low_score bigint, high_score bigint, same bigint, target bigint, pivot int, distance double")
-        near = near.repartitionByRange(parts, "pivot", "distance", "target").sortWithinPartitions("pivot", "distance", "target")
-        return settle(near.withColumn("part", F.spark_partition_id()).mapInPandas(pack, kind), "runs")
+        placed = with_row_index(near, [F.col(c) for c in ("pivot", "distance", "target")], "at")
+        return settle(placed.groupBy(F.floor(F.col("at") / RUN).alias("r")).applyInPandas(pack, kind), "runs")
 
 
 def unpacked(run: pd.Series, width: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -329,7 +302,7 @@ def mine_negatives(
     stored by (nearest pivot, distance to that pivot), in order; a target (an anchor, or an anchor and a positive's score) asks for
     the intervals of keys around its own distance, first the nearest, then all whose annulus may hold something better than the
     k-th so far and, for negatives, meets the annulus of the scores allowed. Pivots come from CHOSEN_FROM rows and only decide how
-    much is pruned; rings are at most about RINGS and a row of a partition each, so their directory is small at any size. Tasks have a run of targets
+    much is pruned; rings are at most about RINGS, so their directory is small at any size. Tasks have a run of targets
     and a piece of blocks. Where directions are spread evenly in many dimensions, distances to pivots are all alike and nearly all is looked at.
 
     Rows with a null id, label or vector, or a null or non-finite part, take no part. Shorter vectors count as filled up with
