@@ -273,10 +273,10 @@ def _average_rank(x: Any, known: Any) -> Expr:
 
 @weighted
 def _pearson(a: Column, b: Column) -> Column:
-    if WEIGHT.get() is None:
-        return F.corr(a, b)
     both = a.isNotNull() & b.isNotNull()
     a, b = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    if WEIGHT.get() is None:  # corr itself fails where a group has one value
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
     return F.try_divide(_avg(a * b) - _avg(a) * _avg(b), F.sqrt(_var_pop(a) * _var_pop(b)))
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tidymesh.expr import AGGREGATE, WINDOW, Context, Expr, X, scalar, temporary, window
-from tidymesh.functions.aggregates import median
+from tidymesh.functions.aggregates import median, place
 from tidymesh.plans.rowindex import with_row_index
+from tidymesh.plans.storage import settle
 
 
 def _whole(grouped: Expr, x: Any, alone: Callable[[Context, str], Column]) -> Expr:
@@ -237,6 +238,48 @@ def pareto_min(*costs: Any) -> Expr:
     return Expr(build, WINDOW)
 
 
+def stratum_min(*costs: Any, max_depth: int = 10) -> Expr:
+    """Which front of the whole table a row is in, fronts peeled off one after the other up to ``max_depth``; missing beyond, and for copies."""
+
+    def build(ctx: Context) -> Column:
+        if ctx.groups or ctx.summary:
+            raise ValueError("stratum_min is of a whole table: ungroup it first")
+        from tidymesh.transforms.pareto import strata
+
+        names, depth = [temporary() for _ in costs], temporary()
+        values = [ctx.hoisted(c) for c in costs]
+        ctx.df = ctx.flush().withColumns({n: v.cast("double") for n, v in zip(names, values)})
+        found = strata(ctx.df, names, max_depth)
+        if found is None:
+            return F.lit(None).cast("double")
+        keys = [temporary() for _ in costs]
+        ctx.df = ctx.df.join(found.toDF(*keys, depth), [F.col(n) == F.col(k) for n, k in zip(names, keys)], "left").drop(*keys)
+        return F.col(depth)
+
+    return Expr(build, WINDOW)
+
+
+def order_series_by(x: Any, *keys: Any) -> Expr:
+    """The values of ``x`` in the order of ``keys`` (desc() for a falling one), laid down the rows of the table or group in its own order; ties keep the row order."""
+
+    def build(ctx: Context) -> Column:
+        if ctx.summary:
+            raise ValueError("order_series_by is for rows; first, last and nth take order_by")
+        own, sorted_, value, key = (temporary() for _ in range(4))
+        here, there = place(), place([*keys, place()])
+        for name, e in ((own, here), (sorted_, there), (value, x)):
+            column = ctx.hoisted(e)
+            ctx.df = ctx.flush().withColumn(name, column)
+        groups = [temporary() for _ in ctx.groups]
+        ctx.df = settle(ctx.df, "series")  # it meets itself
+        other = ctx.df.select(*(F.col(f"`{g}`").alias(k) for g, k in zip(ctx.groups, groups)), F.col(sorted_).alias(key), F.col(value).alias(f"{value}s"))
+        on = [F.col(f"`{g}`").eqNullSafe(F.col(k)) for g, k in zip(ctx.groups, groups)] + [F.col(own) == F.col(key)]
+        ctx.df = ctx.df.join(other, on, "left").drop(*groups, key)
+        return F.col(f"{value}s")
+
+    return Expr(build, WINDOW)
+
+
 def fct_reorder(f: Any, x: Any, fun: Callable = median) -> Expr:
     """The place of a row's level among the levels of ``f``, from 1, by ``fun`` of ``x`` over each level.
 

@@ -281,7 +281,7 @@ def marg_fit(dist: str, data: Table, col: Any = None, sign: int = 0, **given: fl
         wide = {"loc": 0.0, "scale": 1.0} if inside else {"loc": least - room - lo * (most - least + 2 * room) / (hi - lo), "scale": (most - least + 2 * room) / (hi - lo)}
         start |= wide
         fixed = wide | fixed
-    elif math.isfinite(lo) or math.isfinite(hi):
+    elif (math.isfinite(lo) or math.isfinite(hi)) and dist not in ("genextreme", "kappa4", "pearson3"):  # their ends move with the shape
         fixed = ({} if "loc" in guesses else {"loc": 0.0}) | fixed
     elif "loc" not in guesses:
         start["loc"] = mean

@@ -62,7 +62,7 @@ def tran_summarize_each(df: Table, functions: list[Callable[[Expr], Expr]], *arg
 def tran_count(df: Table, *args: Any) -> Table:
     """Rows of each combination of keys, as ``n``."""
     keys = [named(a) for a in flatten(args)] or list(df.groups)
-    out = _known(df.df, keys).groupBy(*quoted(keys)).agg(F.count(F.lit(1)).alias("n"))
+    out = _known(df.df, keys).groupBy(*quoted(keys)).agg((F.count(F.lit(1)) if df.weight is None else F.sum(df.weight)).alias("n"))
     return Table(out, order=tuple(k.asc() for k in quoted(keys)))
 
 

@@ -27,6 +27,10 @@ def unpivoted(df: DataFrame, ids: list[str], values: list[str], key: str, value:
     return cast.unpivot(quoted(ids), quoted(values), key, value)
 
 
+#: Columns that a pivot may make of one key's levels.
+LEVELS = 10_000
+
+
 @verb
 def tran_gather(df: Table, key: str, values: str, *args: Any, add_id: bool = False) -> Table:
     """Columns to (key, value) rows; all columns if none are given. ``add_id``: the row's number as _ID."""
@@ -39,8 +43,11 @@ def tran_gather(df: Table, key: str, values: str, *args: Any, add_id: bool = Fal
 
 
 def _pivoted(df: DataFrame, ids: list[str], key: str, values: list[str], fill: Any = None) -> DataFrame:
-    """Wide form. Levels are found first (they become columns, so they are few); repeated cells raise when run."""
-    levels = sorted(r[0] for r in df.select(F.col(f"`{key}`")).distinct().collect() if r[0] is not None)
+    """Wide form. Levels are found first, as they become columns: more than LEVELS raise. Repeated cells raise when run."""
+    found = df.select(F.col(f"`{key}`")).where(F.col(f"`{key}`").isNotNull()).distinct().limit(LEVELS + 1).collect()
+    if len(found) > LEVELS:
+        raise ValueError(f"{key} has more than {LEVELS} levels, too many for columns")
+    levels = sorted(r[0] for r in found)
     cells: list[Column] = []
     for v in values:
         c = F.col(f"`{v}`")
@@ -62,8 +69,7 @@ def tran_spread(df: Table, key: Any, values: Any, convert: bool = False, fill: A
     out = _pivoted(df.df, ids, key, [values], fill)
     if convert:
         out = convert_type(out, [c for c in out.columns if c not in ids])
-    order = [k.asc_nulls_last() for k in quoted(ids)]
-    return Table(out.orderBy(*order), order=tuple(order))
+    return Table(out, order=tuple(k.asc_nulls_last() for k in quoted(ids)))
 
 
 def convert_type(df: DataFrame, columns: list[str]) -> DataFrame:

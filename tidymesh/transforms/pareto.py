@@ -137,20 +137,26 @@ def tran_pareto(df: Table, *costs: Any, name: str = "optimal") -> Table:
     return df.to(met.select(*(F.col(f"`{c}`") for c in df.columns if c != name), F.coalesce("__best", F.lit(False)).alias(name)))
 
 
-@verb
-def tran_stratum(df: Table, *costs: Any, name: str = "stratum", max_depth: int = 10) -> Table:
-    """``name``: which front a row is in when fronts are peeled off one after the other, up to ``max_depth``; missing
-    beyond. Copies never leave, as each betters the other weakly, so they and what they dominate have no front."""
-    names = [named(c) for c in flatten(costs)]
-    rest = settle(df.df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in names)).dropna().groupBy(*(F.col(f"`{c}`") for c in names)).agg(F.count(F.lit(1)).alias("__c")), "stratum")
+def strata(df: DataFrame, names: list[str], max_depth: int) -> DataFrame | None:
+    """The rows of each front, peeled off one after the other, with its number as __depth; None if there is none. Copies never leave."""
+    rest = settle(df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in names)).dropna().groupBy(*(F.col(f"`{c}`") for c in names)).agg(F.count(F.lit(1)).alias("__c")), "stratum")
     found = None
     for depth in range(1, max_depth + 1):
         front = thin(rest.select(*(F.col(f"`{c}`") for c in names)), names).drop("__n")
-        layer = front.join(rest, names).where("__c = 1").select(*names, F.lit(depth).cast("double").alias(name))
+        layer = front.join(rest, names).where("__c = 1").select(*names, F.lit(depth).cast("double").alias("__depth"))
         if layer.isEmpty():
             break
         found = layer if found is None else found.unionByName(layer)
         rest = settle(rest.join(layer.select(*names), names, "left_anti"), "stratum")
+    return found
+
+
+@verb
+def tran_stratum(df: Table, *costs: Any, name: str = "stratum", max_depth: int = 10) -> Table:
+    """``name``: which front a row is in when fronts are peeled off one after the other, up to ``max_depth``; missing
+    beyond. Copies never leave, as each betters the other weakly, so they and what they dominate have no front."""
+    names = [named(c) for c in flatten(costs)]
+    found = strata(df.df, names, max_depth)
     if found is None:
         return df.to(df.df.withColumn(name, F.lit(None).cast("double")))
     keys = found.toDF(*(f"__{i}" for i in range(len(names))), "__depth")
