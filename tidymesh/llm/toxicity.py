@@ -295,8 +295,8 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 3000, chars: int = 20_000) -> Model:
     """A model from labelled rows: at most ``rows`` of each label, those of the least hash of the id among the ones
-    that ``learn`` (an expression on the id) allows. Of a clean text of over ``chars`` characters, SAMPLES pieces that are spread evenly over
-    it are learnt from, as many characters together; a toxic one of that length teaches nothing, as its pieces may be clean.
+    that ``learn`` (an expression on the id) allows. Of a text of over ``chars`` characters, SAMPLES pieces that are spread evenly over
+    it are learnt from, as many characters together.
 
     Rows with a null id, label or text teach nothing, nor do ids with both labels. Of rows that repeat an id, the least text teaches. So the
     driver gets at most 2 * ``rows`` texts of ``chars`` characters. Labels of one kind, or none, give a constant score.
@@ -314,7 +314,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     sampled = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.substring(text, start(k), F.lit(each))), " ")
     # at most 2 * rows ids, so this side is bounded
     found = docs.select(id_col, F.col(text_col).alias("__t")).where("__t IS NOT NULL").join(F.broadcast(picked), id_col)
-    found = found.where((F.length("__t") <= chars) | (F.col("__y") == 0)).withColumn("__t", F.when(F.length("__t") <= chars, text).otherwise(sampled))
+    found = found.withColumn("__t", F.when(F.length("__t") <= chars, text).otherwise(sampled))
     found = found.groupBy(id_col, "__y").agg(F.min("__t").alias("__t")).toPandas().sort_values(id_col, kind="stable")
     model = fit(found["__t"].tolist(), found["__y"].tolist())
     release()
