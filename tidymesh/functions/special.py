@@ -226,9 +226,7 @@ def inverse(u: Any, p: Callable[[Any], Any], d: Callable[[Any], Any], scale: str
 
         def steps(ends: Column) -> Column:
             z = ends["lo"] + ends["w"] * (ends["hi"] - ends["lo"])
-            for _ in range(NEWTON):
-                z = let(z, lambda z: step(z, ends))
-            return z
+            return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), z, lambda z, _: step(z, ends))
 
         return let(start, steps)
 

@@ -107,6 +107,15 @@ def phi(m: Any, x: Any) -> Any:
     return m.exp(x * x * -0.5) / ROOT
 
 
+def pnorm(m: Any, x: Any) -> Any:
+    """With its argument computed once, as its formula has it many times."""
+    return m.let(x, lambda x: m.pnorm(x))
+
+
+def qnorm(m: Any, u: Any) -> Any:
+    return m.let(u, lambda u: m.qnorm(u))
+
+
 def _lb(a: float, b: float) -> float:
     return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
 
@@ -167,7 +176,7 @@ def _crystal_d(m: Any, x: Any, beta: float, n: float) -> Any:
 
 def _crystal_p(m: Any, x: Any, beta: float, n: float) -> Any:
     c, a, b = _crystal(beta, n)
-    return m.where(x > -beta, c * (n / beta * math.exp(-beta * beta / 2) / (n - 1) + ROOT * (m.pnorm(x) - float(Numbers.pnorm(-beta)))), c * a / (n - 1) * m.power(m.greatest(b - x, 1e-300), 1 - n))
+    return m.where(x > -beta, c * (n / beta * math.exp(-beta * beta / 2) / (n - 1) + ROOT * (pnorm(m, x) - float(Numbers.pnorm(-beta)))), c * a / (n - 1) * m.power(m.greatest(b - x, 1e-300), 1 - n))
 
 
 def _kolmogorov(m: Any, x: Any, slope: bool) -> Any:
@@ -216,7 +225,7 @@ def _pearson_d(m: Any, x: Any, skew: float) -> Any:
 
 def _pearson_p(m: Any, x: Any, skew: float) -> Any:
     if not skew:
-        return m.pnorm(x)
+        return pnorm(m, x)
     a, rate, at = _pearson(skew)
     p = gamma_p(rate * (x - at), a)
     return p if skew > 0 else 1 - p
@@ -224,7 +233,7 @@ def _pearson_p(m: Any, x: Any, skew: float) -> Any:
 
 def _pearson_q(m: Any, u: Any, skew: float) -> Any:
     if not skew:
-        return m.qnorm(u)
+        return qnorm(m, u)
     a, rate, at = _pearson(skew)
     return at + gamma_q(u if skew > 0 else 1 - u, a) / rate
 
@@ -269,7 +278,7 @@ def _trapez_q(m: Any, v: Any, c: float, d: float) -> Any:
 
 def _inv_gauss_p(m: Any, x: Any, mu: float) -> Any:
     r = m.sqrt(x)
-    return m.pnorm((x / mu - 1) / r) + math.exp(2 / mu) * m.pnorm((x / mu + 1) / r * -1)
+    return pnorm(m, (x / mu - 1) / r) + math.exp(2 / mu) * pnorm(m, (x / mu + 1) / r * -1)
 
 
 def _inv_gauss_d(m: Any, x: Any, mu: float) -> Any:
@@ -285,7 +294,7 @@ _WALD = (lambda m, x: _inv_gauss_d(m, x, 1.0), lambda m, x: _inv_gauss_p(m, x, 1
 _MISES = Law(("kappa",), (-math.pi, math.pi), lambda m, x, k: m.exp(k * m.cos(x)) / (2 * math.pi * _bessel_0(k)), _mises_p)
 
 MORE_LAWS: dict[str, Law] = {
-    "alpha": Law(("a",), (0, INF), lambda m, x, a: phi(m, a - 1 / x) / (x * x * float(Numbers.pnorm(a))), lambda m, x, a: m.pnorm(a - 1 / x) / float(Numbers.pnorm(a)), lambda m, u, a: 1 / (a - m.qnorm(u * float(Numbers.pnorm(a))))),
+    "alpha": Law(("a",), (0, INF), lambda m, x, a: phi(m, a - 1 / x) / (x * x * float(Numbers.pnorm(a))), lambda m, x, a: pnorm(m, a - 1 / x) / float(Numbers.pnorm(a)), lambda m, u, a: 1 / (a - qnorm(m, u * float(Numbers.pnorm(a))))),
     "anglit": Law((), (-math.pi / 4, math.pi / 4), lambda m, x: m.cos(2 * x), lambda m, x: m.power(m.sin(x + math.pi / 4), 2), lambda m, u: m.asin(m.sqrt(u)) - math.pi / 4),
     "arcsine": Law((), (0, 1), lambda m, x: 1 / (math.pi * m.sqrt(x * (1 - x))), lambda m, x: 2 / math.pi * m.asin(m.sqrt(x)), lambda m, u: m.power(m.sin(math.pi / 2 * u), 2)),
     "argus": Law(("chi",), (0, 1), lambda m, x, c: c**3 / (ROOT * float(_psi(Numbers, c))) * x * m.sqrt(1 - x * x) * m.exp((1 - x * x) * (-c * c / 2)), lambda m, x, c: 1 - _psi(m, c * m.sqrt(1 - x * x)) / float(_psi(Numbers, c))),
@@ -301,14 +310,14 @@ MORE_LAWS: dict[str, Law] = {
     "dgamma": Law(("a",), (-INF, INF), lambda m, x, a: gamma_d(m.greatest(m.abs(x), 1e-300), a) / 2, lambda m, x, a: 0.5 + m.sign(x) * gamma_p(m.abs(x), a) / 2, lambda m, u, a: _mirrored(m, u, lambda v: gamma_q(v, a))),
     "dweibull": Law(("c",), (-INF, INF), lambda m, x, c: c / 2 * m.power(m.abs(x), c - 1) * m.exp(-m.power(m.abs(x), c)), lambda m, x, c: 0.5 - m.sign(x) * m.expm1(-m.power(m.abs(x), c)) / 2, lambda m, u, c: _mirrored(m, u, lambda v: m.power(-m.log1p(-v), 1 / c))),
     "erlang": _GAMMA,
-    "exponnorm": Law(("K",), (-INF, INF), lambda m, x, k: m.exp(1 / (2 * k * k) - x / k) * m.pnorm(x - 1 / k) / k, lambda m, x, k: m.pnorm(x) - m.exp(1 / (2 * k * k) - x / k) * m.pnorm(x - 1 / k)),
+    "exponnorm": Law(("K",), (-INF, INF), lambda m, x, k: m.exp(1 / (2 * k * k) - x / k) * pnorm(m, x - 1 / k) / k, lambda m, x, k: pnorm(m, x) - m.exp(1 / (2 * k * k) - x / k) * pnorm(m, x - 1 / k)),
     "exponweib": Law(("a", "c"), (0, INF), lambda m, x, a, c: a * c * m.power(-m.expm1(-m.power(x, c)), a - 1) * m.exp(-m.power(x, c)) * m.power(x, c - 1), lambda m, x, a, c: m.power(-m.expm1(-m.power(x, c)), a), lambda m, u, a, c: m.power(-m.log1p(-m.power(u, 1 / a)), 1 / c)),
     "exponpow": Law(("b",), (0, INF), lambda m, x, b: b * m.power(x, b - 1) * m.exp(1 + m.power(x, b) - m.exp(m.power(x, b))), lambda m, x, b: -m.expm1(-m.expm1(m.power(x, b))), lambda m, u, b: m.power(m.log1p(-m.log1p(-u)), 1 / b)),
     "f": Law(("dfn", "dfd"), (0, INF), lambda m, x, n, d: m.exp((n / 2 - 1) * m.log(x) - (n + d) / 2 * m.log1p(n / d * x) + n / 2 * math.log(n / d) - _lb(n / 2, d / 2)), lambda m, x, n, d: beta_p(n * x / (n * x + d), n / 2, d / 2), lambda m, u, n, d: m.let(beta_q(u, n / 2, d / 2), lambda y: d * y / (n * (1 - y)))),
-    "fatiguelife": Law(("c",), (0, INF), lambda m, x, c: (x + 1) / (2 * c * x * m.sqrt(x)) * phi(m, (m.sqrt(x) - 1 / m.sqrt(x)) / c), lambda m, x, c: m.pnorm((m.sqrt(x) - 1 / m.sqrt(x)) / c), lambda m, u, c: m.let(c * m.qnorm(u), lambda z: m.power(z + m.sqrt(z * z + 4), 2) / 4)),
+    "fatiguelife": Law(("c",), (0, INF), lambda m, x, c: (x + 1) / (2 * c * x * m.sqrt(x)) * phi(m, (m.sqrt(x) - 1 / m.sqrt(x)) / c), lambda m, x, c: pnorm(m, (m.sqrt(x) - 1 / m.sqrt(x)) / c), lambda m, u, c: m.let(c * qnorm(m, u), lambda z: m.power(z + m.sqrt(z * z + 4), 2) / 4)),
     "fisk": Law(("c",), (0, INF), lambda m, x, c: c * m.power(x, -c - 1) * m.power(1 + m.power(x, -c), -2), lambda m, x, c: 1 / (1 + m.power(x, -c)), lambda m, u, c: m.power(1 / u - 1, -1 / c)),
     "foldcauchy": Law(("c",), (0, INF), lambda m, x, c: (1 / (1 + (x - c) * (x - c)) + 1 / (1 + (x + c) * (x + c))) / math.pi, lambda m, x, c: (m.atan(x - c) + m.atan(x + c)) / math.pi),
-    "foldnorm": Law(("c",), (0, INF), lambda m, x, c: phi(m, x - c) + phi(m, x + c), lambda m, x, c: m.pnorm(x - c) - m.pnorm(x * -1 - c)),
+    "foldnorm": Law(("c",), (0, INF), lambda m, x, c: phi(m, x - c) + phi(m, x + c), lambda m, x, c: pnorm(m, x - c) - pnorm(m, x * -1 - c)),
     "genlogistic": Law(("c",), (-INF, INF), lambda m, x, c: c * m.exp(-x) * m.power(1 + m.exp(-x), -c - 1), lambda m, x, c: m.power(1 + m.exp(-x), -c), lambda m, u, c: -m.log(m.expm1(-m.log(u) / c))),
     "gennorm": Law(("beta",), (-INF, INF), lambda m, x, b: b / 2 * m.exp(-m.power(m.abs(x), b) - math.lgamma(1 / b)), lambda m, x, b: 0.5 + m.sign(x) * gamma_p(m.power(m.abs(x), b), 1 / b) / 2, lambda m, u, b: _mirrored(m, u, lambda v: m.power(gamma_q(v, 1 / b), 1 / b))),
     "genpareto": Law(("c",), (0, lambda c: -1 / c if c < 0 else INF), lambda m, x, c: m.power(1 + c * x, -1 - 1 / c) if c else m.exp(-x), lambda m, x, c: 1 - m.power(1 + c * x, -1 / c) if c else -m.expm1(-x), lambda m, u, c: m.expm1(m.log1p(-u) * -c) / c if c else -m.log1p(-u)),
@@ -317,39 +326,39 @@ MORE_LAWS: dict[str, Law] = {
     "gamma": _GAMMA,
     "gengamma": Law(("a", "c"), (0, INF), lambda m, x, a, c: abs(c) * m.exp((c * a - 1) * m.log(x) - m.power(x, c) - math.lgamma(a)), _gen_gamma_p, lambda m, u, a, c: m.power(gamma_q(u if c > 0 else 1 - u, a), 1 / c)),
     "genhalflogistic": Law(("c",), (0, lambda c: 1 / c), lambda m, x, c: 2 * m.power(1 - c * x, 1 / c - 1) / m.power(1 + m.power(1 - c * x, 1 / c), 2), lambda m, x, c: (1 - m.power(1 - c * x, 1 / c)) / (1 + m.power(1 - c * x, 1 / c)), lambda m, u, c: (1 - m.power((1 - u) / (1 + u), c)) / c),
-    "gibrat": Law((), (0, INF), lambda m, x: phi(m, m.log(x)) / x, lambda m, x: m.pnorm(m.log(x)), lambda m, u: m.exp(m.qnorm(u))),
+    "gibrat": Law((), (0, INF), lambda m, x: phi(m, m.log(x)) / x, lambda m, x: pnorm(m, m.log(x)), lambda m, u: m.exp(qnorm(m, u))),
     "gompertz": Law(("c",), (0, INF), lambda m, x, c: c * m.exp(x - c * m.expm1(x)), lambda m, x, c: -m.expm1(-c * m.expm1(x)), lambda m, u, c: m.log1p(m.log1p(-u) / -c)),
     "halfcauchy": Law((), (0, INF), lambda m, x: 2 / (math.pi * (1 + x * x)), lambda m, x: 2 / math.pi * m.atan(x), lambda m, u: m.tan(math.pi / 2 * u)),
     "halflogistic": Law((), (0, INF), lambda m, x: 2 * m.exp(-x) / m.power(1 + m.exp(-x), 2), lambda m, x: m.tanh(x / 2), lambda m, u: m.log((1 + u) / (1 - u))),
-    "halfnorm": Law((), (0, INF), lambda m, x: 2 * phi(m, x), lambda m, x: 2 * m.pnorm(x) - 1, lambda m, u: m.qnorm((1 + u) / 2)),
+    "halfnorm": Law((), (0, INF), lambda m, x: 2 * phi(m, x), lambda m, x: 2 * pnorm(m, x) - 1, lambda m, u: qnorm(m, (1 + u) / 2)),
     "halfgennorm": Law(("beta",), (0, INF), lambda m, x, b: b * m.exp(-m.power(x, b) - math.lgamma(1 / b)), lambda m, x, b: gamma_p(m.power(x, b), 1 / b), lambda m, u, b: m.power(gamma_q(u, 1 / b), 1 / b)),
     "hypsecant": Law((), (-INF, INF), lambda m, x: 2 / math.pi * m.exp(-m.abs(x)) / (1 + m.exp(-2 * m.abs(x))), lambda m, x: 2 / math.pi * m.atan(m.exp(x)), lambda m, u: m.log(m.tan(math.pi / 2 * u))),
     "invgamma": Law(("a",), (0, INF), lambda m, x, a: m.exp(-(a + 1) * m.log(x) - 1 / x - math.lgamma(a)), lambda m, x, a: 1 - gamma_p(1 / x, a), lambda m, u, a: 1 / gamma_q(1 - u, a)),
     "invgauss": Law(("mu",), (0, INF), _inv_gauss_d, _inv_gauss_p),
     "invweibull": Law(("c",), (0, INF), lambda m, x, c: c * m.power(x, -c - 1) * m.exp(-m.power(x, -c)), lambda m, x, c: m.exp(-m.power(x, -c)), lambda m, u, c: m.power(-m.log(u), -1 / c)),
-    "johnsonsb": Law(("a", "b"), (0, 1), lambda m, x, a, b: b / (x * (1 - x)) * phi(m, a + b * m.log(x / (1 - x))), lambda m, x, a, b: m.pnorm(a + b * m.log(x / (1 - x))), lambda m, u, a, b: 1 / (1 + m.exp((a - m.qnorm(u)) / b))),
-    "johnsonsu": Law(("a", "b"), (-INF, INF), lambda m, x, a, b: b / m.sqrt(x * x + 1) * phi(m, a + b * m.asinh(x)), lambda m, x, a, b: m.pnorm(a + b * m.asinh(x)), lambda m, u, a, b: m.sinh((m.qnorm(u) - a) / b)),
+    "johnsonsb": Law(("a", "b"), (0, 1), lambda m, x, a, b: b / (x * (1 - x)) * phi(m, a + b * m.log(x / (1 - x))), lambda m, x, a, b: pnorm(m, a + b * m.log(x / (1 - x))), lambda m, u, a, b: 1 / (1 + m.exp((a - qnorm(m, u)) / b))),
+    "johnsonsu": Law(("a", "b"), (-INF, INF), lambda m, x, a, b: b / m.sqrt(x * x + 1) * phi(m, a + b * m.asinh(x)), lambda m, x, a, b: pnorm(m, a + b * m.asinh(x)), lambda m, u, a, b: m.sinh((qnorm(m, u) - a) / b)),
     "kappa4": Law(("h", "k"), (lambda h, k: _kappa4(h, k)[0], lambda h, k: _kappa4(h, k)[1]), _kappa4_d, _kappa4_p, _kappa4_q),
     "kappa3": Law(("a",), (0, INF), lambda m, x, a: a * m.power(a + m.power(x, a), -(a + 1) / a), lambda m, x, a: x * m.power(a + m.power(x, a), -1 / a), lambda m, u, a: m.power(a / (m.power(u, -a) - 1), 1 / a)),
     "kstwobign": Law((), (0, INF), lambda m, x: _kolmogorov(m, x, True), lambda m, x: _kolmogorov(m, x, False)),
-    "levy": Law((), (0, INF), lambda m, x: m.exp(-0.5 / x) / (ROOT * x * m.sqrt(x)), lambda m, x: 2 * m.pnorm(-1 / m.sqrt(x)), lambda m, u: 1 / m.power(m.qnorm(u / 2), 2)),
-    "levy_l": Law((), (-INF, 0), lambda m, x: m.exp(0.5 / x) / (ROOT * m.abs(x) * m.sqrt(m.abs(x))), lambda m, x: 1 - 2 * m.pnorm(-1 / m.sqrt(m.abs(x))), lambda m, u: -1 / m.power(m.qnorm((1 - u) / 2), 2)),
+    "levy": Law((), (0, INF), lambda m, x: m.exp(-0.5 / x) / (ROOT * x * m.sqrt(x)), lambda m, x: 2 * pnorm(m, -1 / m.sqrt(x)), lambda m, u: 1 / m.power(qnorm(m, u / 2), 2)),
+    "levy_l": Law((), (-INF, 0), lambda m, x: m.exp(0.5 / x) / (ROOT * m.abs(x) * m.sqrt(m.abs(x))), lambda m, x: 1 - 2 * pnorm(m, -1 / m.sqrt(m.abs(x))), lambda m, u: -1 / m.power(qnorm(m, (1 - u) / 2), 2)),
     "loggamma": Law(("c",), (-INF, INF), lambda m, x, c: m.exp(c * x - m.exp(x) - math.lgamma(c)), lambda m, x, c: gamma_p(m.exp(x), c), lambda m, u, c: m.log(gamma_q(u, c))),
     "loglaplace": Law(("c",), (0, INF), lambda m, x, c: c / 2 * m.where(x < 1, m.power(x, c - 1), m.power(x, -c - 1)), lambda m, x, c: m.where(x < 1, m.power(x, c) / 2, 1 - m.power(x, -c) / 2), lambda m, u, c: m.where(u < 0.5, m.power(2 * u, 1 / c), m.power(2 - 2 * u, -1 / c))),
     "lomax": Law(("c",), (0, INF), lambda m, x, c: c * m.power(1 + x, -c - 1), lambda m, x, c: 1 - m.power(1 + x, -c), lambda m, u, c: m.expm1(m.log1p(-u) / -c)),
     "maxwell": Law((), (0, INF), lambda m, x: 2 * x * x * phi(m, x), lambda m, x: gamma_p(x * x / 2, 1.5), lambda m, u: m.sqrt(2 * gamma_q(u, 1.5))),
     "mielke": Law(("k", "s"), (0, INF), lambda m, x, k, s: k * m.power(x, k - 1) * m.power(1 + m.power(x, s), -1 - k / s), lambda m, x, k, s: m.power(x, k) * m.power(1 + m.power(x, s), -k / s), lambda m, u, k, s: m.let(m.power(u, s / k), lambda y: m.power(y / (1 - y), 1 / s))),
-    "moyal": Law((), (-INF, INF), lambda m, x: m.exp((x + m.exp(-x)) / -2) / ROOT, lambda m, x: 2 * m.pnorm(-m.exp(x / -2)), lambda m, u: -2 * m.log(-m.qnorm(u / 2))),
+    "moyal": Law((), (-INF, INF), lambda m, x: m.exp((x + m.exp(-x)) / -2) / ROOT, lambda m, x: 2 * pnorm(m, -m.exp(x / -2)), lambda m, u: -2 * m.log(-qnorm(m, u / 2))),
     "nakagami": Law(("nu",), (0, INF), lambda m, x, v: gamma_d(v * x * x, v) * 2 * v * x, lambda m, x, v: gamma_p(v * x * x, v), lambda m, u, v: m.sqrt(gamma_q(u, v) / v)),
     "pearson3": Law(("skew",), (lambda s: -2 / s if s > 0 else -INF, lambda s: -2 / s if s < 0 else INF), _pearson_d, _pearson_p, _pearson_q),
-    "powerlognorm": Law(("c", "s"), (0, INF), lambda m, x, c, s: c / (x * s) * phi(m, m.log(x) / s) * m.power(m.pnorm(m.log(x) / -s), c - 1), lambda m, x, c, s: 1 - m.power(m.pnorm(m.log(x) / -s), c), lambda m, u, c, s: m.exp(m.qnorm(m.power(1 - u, 1 / c)) * -s)),
-    "powernorm": Law(("c",), (-INF, INF), lambda m, x, c: c * phi(m, x) * m.power(m.pnorm(-x), c - 1), lambda m, x, c: 1 - m.power(m.pnorm(-x), c), lambda m, u, c: -m.qnorm(m.power(1 - u, 1 / c))),
+    "powerlognorm": Law(("c", "s"), (0, INF), lambda m, x, c, s: c / (x * s) * phi(m, m.log(x) / s) * m.power(pnorm(m, m.log(x) / -s), c - 1), lambda m, x, c, s: 1 - m.power(pnorm(m, m.log(x) / -s), c), lambda m, u, c, s: m.exp(qnorm(m, m.power(1 - u, 1 / c)) * -s)),
+    "powernorm": Law(("c",), (-INF, INF), lambda m, x, c: c * phi(m, x) * m.power(pnorm(m, -x), c - 1), lambda m, x, c: 1 - m.power(pnorm(m, -x), c), lambda m, u, c: -qnorm(m, m.power(1 - u, 1 / c))),
     "rdist": Law(("c",), (-1, 1), lambda m, x, c: beta_d((x + 1) / 2, c / 2, c / 2) / 2, lambda m, x, c: beta_p((x + 1) / 2, c / 2, c / 2), lambda m, u, c: 2 * beta_q(u, c / 2, c / 2) - 1),
-    "recipinvgauss": Law(("mu",), (0, INF), lambda m, x, mu: m.exp((1 - mu * x) * (1 - mu * x) / (x * (-2 * mu * mu))) / (ROOT * m.sqrt(x)), lambda m, x, mu: m.pnorm((x - 1 / mu) / m.sqrt(x)) - math.exp(2 / mu) * m.pnorm((x + 1 / mu) / m.sqrt(x) * -1)),
+    "recipinvgauss": Law(("mu",), (0, INF), lambda m, x, mu: m.exp((1 - mu * x) * (1 - mu * x) / (x * (-2 * mu * mu))) / (ROOT * m.sqrt(x)), lambda m, x, mu: pnorm(m, (x - 1 / mu) / m.sqrt(x)) - math.exp(2 / mu) * pnorm(m, (x + 1 / mu) / m.sqrt(x) * -1)),
     "t": Law(("df",), (-INF, INF), lambda m, x, v: m.exp(m.log1p(x * x / v) * (-(v + 1) / 2) - _lb(v / 2, 0.5)) / math.sqrt(v), _t_p, _t_q),
     "trapz": Law(("c", "d"), (0, 1), _trapez_d, _trapez_p, _trapez_q),
     "truncexpon": Law(("b",), (0, lambda b: b), lambda m, x, b: m.exp(-x) / -math.expm1(-b), lambda m, x, b: m.expm1(-x) / math.expm1(-b), lambda m, u, b: -m.log1p(u * math.expm1(-b))),
-    "truncnorm": Law(("a", "b"), (lambda a, b: a, lambda a, b: b), lambda m, x, a, b: phi(m, x) / float(Numbers.pnorm(b) - Numbers.pnorm(a)), lambda m, x, a, b: (m.pnorm(x) - float(Numbers.pnorm(a))) / float(Numbers.pnorm(b) - Numbers.pnorm(a)), lambda m, u, a, b: m.qnorm(u * float(Numbers.pnorm(b) - Numbers.pnorm(a)) + float(Numbers.pnorm(a)))),
+    "truncnorm": Law(("a", "b"), (lambda a, b: a, lambda a, b: b), lambda m, x, a, b: phi(m, x) / float(Numbers.pnorm(b) - Numbers.pnorm(a)), lambda m, x, a, b: (pnorm(m, x) - float(Numbers.pnorm(a))) / float(Numbers.pnorm(b) - Numbers.pnorm(a)), lambda m, u, a, b: qnorm(m, u * float(Numbers.pnorm(b) - Numbers.pnorm(a)) + float(Numbers.pnorm(a)))),
     "vonmises": _MISES,
     "vonmises_line": _MISES,
     "wald": Law((), (0, INF), *_WALD),
