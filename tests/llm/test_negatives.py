@@ -97,3 +97,9 @@ def test_blocks_hold_all_rows_once(spark, n):
     ids = [int(x) for r in index.blocks.collect() for x in np.frombuffer(r.ids, np.int64)]
     assert sorted(ids) == list(range(n)) and index.rings.n.sum() == n
     rows.unpersist()
+
+
+def test_parts_up_to_the_ends_of_a_long(spark):
+    """Parts from 2**62 to 2**63 are told apart; their scores fit a long."""
+    rows = [(0, 1, [0.004, 0.0]), (1, 1, [3.5e16, 0.0]), (2, 2, [2.9e16, 0.0]), (3, 2, [3.4e16, 0.0]), (4, 2, [2.0e16, 0.0])]
+    assert told(mine_negatives(spark.createDataFrame(rows, ROWS))) == [(0, 1, 1, 3, math.floor(3.5e16 * 256), math.floor(3.4e16 * 256)), (0, 1, 2, 2, math.floor(3.5e16 * 256), math.floor(2.9e16 * 256))]

@@ -43,6 +43,20 @@ def test_large_parts(spark):
     assert sorted(map(tuple, top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).collect())) == brute(rows, k=4)
 
 
+def test_parts_up_to_the_ends_of_a_long(spark):
+    """Parts from 2**62 to 2**63 are told apart; their scores fit a long."""
+    far = [4.6e15, 5.5e15, 7e15, 8.9e15, 9.007199254740991e15]
+    rows = [(0, [0.001, 0.0]), (100, [-0.0005, 0.5])] + [(9 - i, [x, 0.0]) for i, x in enumerate(far)] + [(19 - i, [-x, 0.0]) for i, x in enumerate(far)] + [(20, [-8.95e15, 0.25])]
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, a in whole[:2]:
+        found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q)[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    assert all(-(2**63) <= s < 2**63 for *_, s in want)
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_many_blocks_and_runs(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 16)
     monkeypatch.setattr(T, "RUN", 8)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidymesh.llm.common import settle
-from tidymesh.llm.topk_search import HIGHEST, LARGEST, LOWEST, clamped, exact, filled, matrix
+from tidymesh.llm.topk_search import HIGHEST, LOWEST, clamped, exact, filled, matrix
 from tidymesh.plans.rowindex import with_row_index
 
 #: Vectors in a block, blocks in a piece (what a task scores at once), targets in a run, rows that the first interval of keys should hold.
@@ -60,7 +60,7 @@ def whole_rows(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, sc
     """id, own (a number of the row's), label, v (array of long) of the rows that take part."""
     v = F.col(vec_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    whole = F.transform(v, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(LARGEST)), F.lit(-LARGEST))).cast("long"))
+    whole = F.transform(v, lambda x: F.floor(x.cast("double") * scale))  # a long, which stays at its ends for what is beyond
     kept = vectors.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & v.isNotNull() & ~bad)
     return kept.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("own"), label.cast("long").alias("label"), whole.alias("v"))
 
@@ -307,8 +307,8 @@ def mine_negatives(
 
     Rows with a null id, label or vector, or a null or non-finite part, take no part. Shorter vectors count as filled up with
     zeros. Rows that repeat an id are rows of their own, as anchors too. A positive with a score below 0 has no negatives (nothing is between
-    it and more than it); nor has one that nothing fits. Parts beyond 2**62 (after scaling) count as that, and scores beyond the range of a long
-    as its ends. An empty table gives an empty result. Extra columns are left out.
+    it and more than it); nor has one that nothing fits. Parts (after scaling) and scores beyond the range of a long
+    count as its ends. An empty table gives an empty result. Extra columns are left out.
     """
     rows = settle(whole_rows(vectors, id_col, vec_col, label_col, scale, F.col(label_col) if label is None else label), "vectors")
     index = Index(rows)
