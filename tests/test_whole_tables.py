@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidymesh import verbs as tm
 from tidymesh.models import fit as ft
 from tidymesh.plans.quantiles import exact_quantiles
+from tidymesh.plans.storage import settle
 from tidymesh.table import Table, as_table
 from tidymesh.transforms import pareto
 from tidymesh.transforms import statistics as st
@@ -106,6 +107,27 @@ def test_bootstrap(spark):
     assert other.f_lo <= other.f_up
 
 
+def test_bootstrap_draws_equal_rows_together(spark, monkeypatch):
+    """23 values of 40,000 rows: what is drawn from grows with the values; the interval is that of all rows."""
+    settled = {}
+
+    def keep(df, name):
+        settled[name] = settle(df, name)
+        return settled[name]
+
+    monkeypatch.setattr(st, "settle", keep)
+    data = as_table(spark.range(40_000).selectExpr("CAST(id % 23 AS DOUBLE) AS x", "CASE WHEN id % 2 = 0 THEN 'a' END AS k"))
+    got = st.tran_bootstrap(data, tran=lambda d: tm.tran_summarize(d, m=tm.mean(X.x), n=tm.n()), n_boot=100, n_sub=8).collect()[0]
+    base = settled["bootstrap"]
+    assert base.count() == 46 and base.agg({"__copies": "sum"}).first()[0] == 40_000
+    assert got.n == 40_000 and got.m_lo < got.m < got.m_up and abs(got.m - (np.arange(40_000) % 23).mean()) < 1e-9
+    assert 0.6 < (got.m_up - got.m_lo) / (2 * 1.645 * np.std(np.arange(23)) / 200) < 1.6
+    assert 0.6 < (got.n_up - got.n_lo) / (2 * 1.645 * 200) < 1.6
+    maps = as_table(spark.range(300).selectExpr("CAST(id AS DOUBLE) AS x", "map('a', id) AS m"))
+    wide = st.tran_bootstrap(maps, tran=lambda d: tm.tran_summarize(d, m=tm.mean(X.x)), n_boot=40, n_sub=4).collect()[0]
+    assert wide.m_lo < wide.m < wide.m_up
+
+
 def front(x):
     return {tuple(p) for p in x if not any((q <= p).all() and (q < p).any() for q in x)}
 

@@ -74,66 +74,65 @@ def tran_kfolds(df: Table, k: int | None = None, ft: Callable | None = None, out
     return Table(whole)
 
 
-def _poisson(u: Column, mean: Column | float) -> Column:
-    """The Poisson number whose distribution function first passes ``u``; its steps go on until they no longer change the sum."""
-    mean = F.lit(mean) if isinstance(mean, float) else mean.cast("double")
-    start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("c"))
-    # beyond the mean and 12 of its roots (and 24) nothing is left that a double could tell from 1
-    most = F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("int")
+#: Draws of a row that a batch holds at once.
+DRAWN = 512
 
-    def step(s: Column, k: Column) -> Column:
-        p = s["p"] * mean / k
-        return F.when(u > s["c"], F.struct(k.alias("k"), p.alias("p"), (s["c"] + p).alias("c"))).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
+def _draws(row: Column, block: Column, copies: Column, boots: int, n_boot: int, n_sub: int, seed: int) -> Column:
+    """For each of a block's replicates how often a row of so many copies is in it, then in each of its sub-replicates: Poisson numbers from a
+    generator that the row's hash and the block set."""
 
+    @F.pandas_udf("array<bigint>")
+    def run(row: pd.Series, block: pd.Series, copies: pd.Series) -> pd.Series:
+        out = []
+        for r, b, c in zip(row, block, copies):
+            rng = np.random.Generator(np.random.Philox(key=np.array([r, seed]).astype(np.uint64), counter=[0, 0, 0, int(b)]))
+            times = rng.poisson(c, min(boots, n_boot - b * boots))[:, None]
+            out.append(np.hstack([times, rng.poisson(np.broadcast_to(times, (len(times), n_sub)))]).ravel())
+        return pd.Series(out)
 
-def _poisson_one(u: Column) -> Column:
-    """The same for a mean of 1, as a sum of steps; the 17th is the last that a double tells from 1."""
-    total, p, times = 0.0, math.exp(-1), F.lit(0)
-    for k in range(17):
-        total += p
-        times = times + (u > total).cast("int")
-        p /= k + 1
-    return times
-
-
-def _even(index: list[Column], seed: int) -> Column:
-    """A number in (0, 1) from a hash of whole numbers: 53 bits."""
-    return (F.shiftrightunsigned(F.xxhash64(*index, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    return run(row, block, copies)
 
 
 @verb
 def tran_bootstrap(df: Table, tran: Callable[[Table], Table], n_boot: int = 500, n_sub: int = 25, con: float = 0.9, col_sel: list[str] | None = None, seed: int = 0) -> Table:
     """Bootstrap-t intervals of a one-row summary's columns: name_lo and name_up.
 
-    Resampling is by weights: in each replicate a row counts a Poisson number of times, drawn from a hash of (row, replicate), and in a sub-replicate as often as
-    so many draws of its own say, so that a lost task draws the same again. The summary carries the weights into its aggregates, so no row is
-    copied or shuffled: replicates and sub-replicates are groups of one pass whose sums combine before the shuffle. Sub-replicates give
+    Resampling is by weights: in each replicate a row counts a Poisson number of times, and in a sub-replicate as often as so many draws of its own say. Equal rows
+    are counted first and drawn together, as their numbers add up to a Poisson number of their count. Draws come from the row's hash, so that a lost
+    task draws the same again. The summary carries the weights into its aggregates, so no row is
+    copied: replicates and sub-replicates are groups of one pass whose sums combine before the shuffle. Sub-replicates give
     each replicate's standard error. ``tran``: a verb that summarises a table with groups. Where its functions have no form for
-    weights (places, windows), rows are repeated instead.
+    weights (places, windows), rows are repeated instead. Rows with maps can't be told apart, so each is drawn by itself, by its place.
     """
     from tidymesh.expr import Unweighted
     from tidymesh.operators.group import tran_group_by
     from tidymesh.plans.quantiles import exact_quantiles
 
-    base = settle(df.df.withColumn("__row", F.monotonically_increasing_id()), "bootstrap")
+    plain = df.df.columns
+    if any("map<" in f.dataType.simpleString() for f in df.df.schema.fields):
+        base = df.df.withColumns({"__copies": F.lit(1).cast("long"), "__row": F.monotonically_increasing_id()})
+    else:
+        base = df.df.groupBy(*quoted(plain)).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__row", F.xxhash64(*quoted(plain)))
+    base = settle(base, "bootstrap")
     alpha = (1 - con) / 2
-    plain = [c for c in base.columns if c != "__row"]
-
-    once = tran(Table(base.drop("__row"))).df
+    try:
+        once = tran(Table(base.drop("__row"), weight="__copies")).df
+    except Unweighted:
+        once = tran(Table(base.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*quoted(plain)))).df
     names = [c for c in (col_sel or _numeric(once))]
-    # __sub -1 is the replicate itself; draws of a sub-replicate are as many as the row has in its replicate
-    each = base.withColumn("__boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("__n", _poisson_one(_even([F.col("__row"), F.col("__boot")], seed))).where("__n > 0")
-    each = each.withColumn("__sub", F.explode(F.sequence(F.lit(-1), F.lit(n_sub - 1))))
-    u = _even([F.col("__row"), F.col("__boot"), F.col("__sub")], seed + 1)
-    times = F.when(F.col("__sub") < 0, F.col("__n")).when(F.col("__n") == 1, _poisson_one(u)).otherwise(_poisson(u, F.col("__n")))
-    drawn = each.withColumn("__times", times).where("__times > 0").select(*quoted(plain), "__boot", "__sub", "__times")
+    each, boots = n_sub + 1, max(1, DRAWN // (n_sub + 1))
+    blocks = base.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // boots))))
+    blocks = blocks.withColumn("__draws", _draws(F.col("__row"), F.col("__block"), F.col("__copies"), boots, n_boot, n_sub, seed))
+    blocks = blocks.select(*quoted(plain), "__block", F.posexplode("__draws").alias("__at", "__times")).where("__times > 0")
+    # __sub -1 is the replicate itself
+    at = F.col("__at")
+    drawn = blocks.select(*quoted(plain), (F.col("__block") * boots + F.floor(at / each)).cast("int").alias("__boot"), (at % each - 1).cast("int").alias("__sub"), "__times")
     groups = ("__boot", "__sub")
     try:
         told = tran(Table(drawn, groups=groups, weight="__times")).df
     except Unweighted:
-        copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__copy", "__times")
+        copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__copy", "__times")
         told = tran(tran_group_by(Table(copies), *groups)).df
     told = settle(told.select(*groups, *(_c(c).cast("double").alias(c) for c in names)), "replicates")
     theta = told.where("__sub < 0")
