@@ -82,3 +82,15 @@ def test_ends_of_the_support(spark):
         got = spark.createDataFrame([(e,) for e in ends], "x double").select(x.p(F.col("x"), *s).alias("p"), x.d(F.col("x"), *s).alias("d")).collect()
         assert [r.p for r in got] == want and [r.d for r in got] == [0.0] * len(ends)
         assert x.q(0.0, *s) == lo and x.q(1.0, *s) == hi and math.isnan(x.q(1.5, *s))
+
+
+def test_long_laws_go_in_batches(spark):
+    """Copies of a value, nulls and ends of the support in one batch."""
+    m = law("gamma", 0.5, 2.0)
+    df = spark.range(3000).selectExpr("CASE WHEN id % 7 > 0 THEN (id % 5) / 2.0D END AS x", "CASE WHEN id % 7 > 0 THEN (id % 5) / 4.0D END AS u")
+    plan = df.select(m.p(F.col("x")), m.q(F.col("u")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") >= 1
+    got = df.select("x", "u", m.p(F.col("x")).alias("p"), m.q(F.col("u")).alias("q")).distinct().collect()
+    assert len(got) == 6
+    for r in got:
+        assert (r.p is None and r.q is None) if r.x is None else (math.isclose(r.p, float(m.p(r.x)), abs_tol=1e-12) and (r.q == float(m.q(r.u)) or math.isclose(r.q, float(m.q(r.u)))))

@@ -1,18 +1,20 @@
 """Named laws in their standard forms (location 0, scale 1): support, density, distribution function, quantile.
 
 Formulas take the functions they use from ``m``, so that they run on columns and on numbers. A law whose quantile has no closed form has
-it by a table of its distribution function and Newton steps (functions/special.py).
+it by a table of its distribution function and Newton steps (functions/special.py). On columns, what goes in series, fractions or Newton
+steps takes whole batches of numbers, each distinct value of a batch once; all else stays an expression.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,15 +24,28 @@ INF = math.inf
 ROOT = math.sqrt(2 * math.pi)
 
 
+def in_batches(f: Callable[[np.ndarray], Any], x: Column) -> Column:
+    """``f`` of a column, by arrays of its distinct values."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        values, at = np.unique(x.to_numpy(float), return_inverse=True)
+        return pd.Series(np.asarray(f(values), float)[at])
+
+    return run(x)
+
+
 @dataclass(frozen=True)
 class Law:
-    """``d``, ``p`` and ``q`` of (math, x, *shapes). ``ends``: the support, numbers or functions of the shapes."""
+    """``d``, ``p`` and ``q`` of (math, x, *shapes). ``ends``: the support, numbers or functions of the shapes. ``long``: p and q of columns go
+    in batches."""
 
     shapes: tuple[str, ...]
     ends: tuple[Any, Any]
     density: Callable[..., Any]
     below: Callable[..., Any]
     level: Callable[..., Any] | None = None
+    long: bool = False
 
     def support(self, *shapes: float) -> tuple[float, float]:
         return tuple(float(e(*shapes)) if callable(e) else float(e) for e in self.ends)  # type: ignore[return-value]
@@ -55,7 +70,10 @@ class Law:
         return self._held(x, lambda x: self.density(of(x), x, *shapes), 0.0, 0.0, shapes)
 
     def p(self, x: Any, *shapes: float) -> Any:
-        return self._held(x, lambda x: self.below(of(x), x, *shapes), 0.0, 1.0, shapes)
+        def inner(x: Any) -> Any:
+            return in_batches(lambda y: self.p(y, *shapes), x) if self.long and isinstance(x, Column) else self.below(of(x), x, *shapes)
+
+        return self._held(x, inner, 0.0, 1.0, shapes)
 
     def q(self, u: Any, *shapes: float) -> Any:
         """The ends of the support at 0 and 1; missing (NaN) outside of them."""
@@ -66,7 +84,8 @@ class Law:
 
         if isinstance(u, Column):
             u = u.cast("double")
-            return F.when(u == 0, F.lit(lo)).when(u == 1, F.lit(hi)).when((u > 0) & (u < 1), inner(u))
+            found = in_batches(lambda y: self.q(y, *shapes), u) if self.long or self.level is None else inner(u)
+            return F.when(u == 0, F.lit(lo)).when(u == 1, F.lit(hi)).when((u > 0) & (u < 1), found)
         u = np.asarray(u, float)
         inside = (u > 0) & (u < 1)
         with np.errstate(all="ignore"):
@@ -365,3 +384,8 @@ MORE_LAWS: dict[str, Law] = {
     "weibull_max": Law(("c",), (-INF, 0), lambda m, x, c: c * m.power(-x, c - 1) * m.exp(-m.power(-x, c)), lambda m, x, c: m.exp(-m.power(-x, c)), lambda m, u, c: -m.power(-m.log(u), 1 / c)),
     "wrapcauchy": Law(("c",), (0, 2 * math.pi), lambda m, x, c: (1 - c * c) / (2 * math.pi * (1 + c * c - 2 * c * m.cos(x))), _wrapped_p, _wrapped_q),
 }
+#: Laws on incomplete gamma and beta functions.
+LONG = (
+    "argus", "beta", "betaprime", "chi", "chi2", "dgamma", "erlang", "f", "gamma", "gengamma", "gennorm", "halfgennorm", "invgamma", "loggamma", "maxwell", "nakagami", "pearson3", "rdist", "t",
+)
+MORE_LAWS |= {name: replace(MORE_LAWS[name], long=True) for name in LONG}
