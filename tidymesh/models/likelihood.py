@@ -60,9 +60,9 @@ def scoring(dist: str, df: DataFrame, x: Column, density: Callable[[dict[str, fl
     A round sums the log density over all rows, its slopes by each parameter (as differences), its curvature, and the products of slopes, which stand in for the
     curvature where that isn't a maximum's. The step they give is taken if the likelihood rises, else the best of smaller ones, which the same
     pass has tried. Scales and positive shapes go by their logarithms. Rows of no density weigh as 1e-300, which turns a step back.
-    Null values are left out; values are settled once, so that rounds read a single column.
+    Null values are left out; equal values are counted and settled once, so that rounds read each value once, with its count.
     """
-    known = settle(df.select(x.cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)"), "values")
+    known = settle(df.select(x.cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)").groupBy("x").agg(F.count(F.lit(1)).alias("n")), "values")
     names = list(start)
 
     def log_density(theta: np.ndarray) -> Column:
@@ -78,8 +78,12 @@ def scoring(dist: str, df: DataFrame, x: Column, density: Callable[[dict[str, fl
         wide |= {f"{s}{i}_{j}": log_density(theta + sign * (steps[i] + steps[j])) for i, j in pairs for s, sign in (("p", 1), ("m", -1))}
         wide |= {f"o{j}": log_density(o) for j, o in enumerate(others)}
         score = [(F.col(f"u{i}") - F.col(f"d{i}")) / float(2 * steps[i, i]) for i in range(k)]
-        made = [F.avg(c).alias(c) for c in wide] + [F.avg(score[i] * score[j]).alias(f"v{i}_{j}") for i in range(k) for j in range(i + 1)]
-        row = {c: float("nan") if v is None else float(v) for c, v in known.select(*(x.alias(c) for c, x in wide.items())).agg(*made).first().asDict().items()}
+
+        def mean(c: Column) -> Column:
+            return F.try_divide(F.sum(c * F.col("n")), F.sum(F.when(c.isNotNull(), F.col("n"))))
+
+        made = [mean(F.col(c)).alias(c) for c in wide] + [mean(score[i] * score[j]).alias(f"v{i}_{j}") for i in range(k) for j in range(i + 1)]
+        row = {c: float("nan") if v is None else float(v) for c, v in known.select("n", *(x.alias(c) for c, x in wide.items())).agg(*made).first().asDict().items()}
         slope = np.array([(row[f"u{i}"] - row[f"d{i}"]) / (2 * steps[i, i]) for i in range(k)])
         seen, products = np.zeros((k, k)), np.zeros((k, k))
         for i in range(k):
