@@ -1,6 +1,7 @@
 """Models, their evaluation and fits."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -162,6 +163,27 @@ def test_predicted_dominance():
     assert p[0] > 0.95 and p[1] < 0.05
 
 
+def test_predicted_dominance_of_many_rows(spark):
+    """Equal predictions of a batch are scored once and told for every row; densities are those of the plain formula."""
+    rng = np.random.default_rng(5)
+    at, s, x = rng.random((150, 2)), np.array([[0.02, 0.006], [0.006, 0.01]]), rng.random((40, 2))
+    far = x[:, None] - at[None]
+    want = np.exp(-0.5 * np.einsum("abi,ij,abj->ab", far, np.linalg.inv(s), far)).mean(axis=1) / (2 * math.pi * math.sqrt(np.linalg.det(s)))
+    assert np.allclose(ev.dprop(x, s, at), want, rtol=1e-9)
+    md = cp.comp_vec_function(Model(), lambda v: {"a_mean": v.u, "b_mean": v.w, "a_sd": 0.05 + 0 * v.u, "b_sd": 0.05 + 0 * v.u}, var=["u", "w"], out=["a_mean", "b_mean", "a_sd", "b_sd"])
+    train = spark.createDataFrame([(0.3, 0.7), (0.5, 0.5), (0.7, 0.3)], "a double, b double")
+    test = spark.range(20_000).selectExpr("id", "(id % 5) / 4.0D AS u", "(id % 4) / 3.0D AS w")
+    began = time.perf_counter()
+    got = ev.eval_pnd(md, train, test, signs={"a": 1, "b": 1}, n=20_000).df.collect()
+    assert time.perf_counter() - began < 25  # a density of each row at each draw takes minutes
+    assert len({r.id for r in got}) == len(got) == 20_000
+    for r in got:
+        if r.u == 0 or r.w == 0:
+            assert r.pr_scores > 0.95
+        elif r.u >= 0.75 and r.w > 0.6:
+            assert r.pr_scores < 0.05
+
+
 
 def test_queries_take_whole_tables(spark, sf_dir, monkeypatch):
     from tidymesh.catalog import model_queries

@@ -537,13 +537,20 @@ def rprop(n: int, Sigma: np.ndarray, X_means: np.ndarray, seed: int = 0) -> np.n
     return X_means[rng.integers(0, len(X_means), n)] + rng.normal(size=(n, X_means.shape[1])) @ np.linalg.cholesky(Sigma).T
 
 
-def _normal_density(X: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    d = np.atleast_2d(X) - mean
-    return np.exp(-0.5 * np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d)) / math.sqrt((2 * math.pi) ** X.shape[1] * np.linalg.det(cov))
+#: Points whose densities at all draws are held at once.
+HELD = 64
 
 
 def dprop(X: np.ndarray, Sigma: np.ndarray, X_means: np.ndarray) -> np.ndarray:
-    return np.mean([_normal_density(X, m, Sigma) for m in X_means], axis=0)
+    """Density of an even mixture of normal laws of one covariance; lengths are taken by the covariance's root, equal means once."""
+    X, root = np.atleast_2d(X), np.linalg.inv(np.linalg.cholesky(Sigma)).T
+    means, copies = np.unique(np.atleast_2d(X_means), axis=0, return_counts=True)
+    x, means = X @ root, means @ root
+    total = np.zeros(len(x))
+    for k in range(0, len(means), HELD):
+        far = sum((x[:, i, None] - means[None, k : k + HELD, i]) ** 2 for i in range(x.shape[1]))
+        total += np.exp(-0.5 * far) @ copies[k : k + HELD]
+    return total / len(np.atleast_2d(X_means)) / math.sqrt((2 * math.pi) ** X.shape[1] * np.linalg.det(Sigma))
 
 
 def approx_pnd(X_pred: np.ndarray, X_cov: np.ndarray, X_train: np.ndarray, signs: np.ndarray, n: int = 10_000, seed: int = 0) -> np.ndarray:
@@ -556,18 +563,23 @@ def approx_pnd(X_pred: np.ndarray, X_cov: np.ndarray, X_train: np.ndarray, signs
     draws = np.concatenate([rprop(n // 2, sigma, train[best], seed), rprop(n - n // 2, np.mean(X_cov, axis=0) * 4 + 1e-12 * np.eye(train.shape[1]), pred, seed + 1)])
     free = ~(train[best][None] <= draws[:, None]).all(axis=2).any(axis=1)
     q = 0.5 * dprop(draws, sigma, train[best]) + 0.5 * dprop(draws, np.mean(X_cov, axis=0) * 4 + 1e-12 * np.eye(train.shape[1]), pred)
-    out = []
-    for x, c in zip(pred, np.asarray(X_cov)):
-        w = _normal_density(draws, x, c) / np.maximum(q, 1e-300)
-        out.append(float((w * free).sum() / max(w.sum(), 1e-300)))
-    return np.array(out)
+    q, cov, out = np.maximum(q, 1e-300), np.asarray(X_cov, float), []
+    for k in range(0, len(pred), HELD):
+        at, c = pred[k : k + HELD], cov[k : k + HELD]
+        # draws x points: a point's density at each draw, by its own errors
+        far, inverse = draws[:, None] - at[None], np.linalg.inv(c)
+        pairs = [(i, j) for i in range(at.shape[1]) for j in range(at.shape[1]) if inverse[:, i, j].any()]
+        w = np.exp(-0.5 * sum(far[..., i] * inverse[:, i, j] * far[..., j] for i, j in pairs))
+        w /= q[:, None] * np.sqrt((2 * math.pi) ** at.shape[1] * np.linalg.det(c))
+        out.append(free @ w / np.maximum(w.sum(axis=0), 1e-300))
+    return np.concatenate(out) if out else np.array([])
 
 
 def eval_pnd(model: Model, df_train: Any, df_test: Any, signs: dict[str, int], n: int = 10_000, seed: int = 0, append: bool = True, mean_prefix: str = "_mean", sd_prefix: str = "_sd") -> Table:
     """Each test row's chance to be dominated by no training row, by the model's predicted means and deviations.
 
-    The training rows are thinned to the best ones in Spark; these go to the executors, and test rows are done in
-    Arrow batches."""
+    The training rows are thinned to the best ones in Spark; these go to the executors. Test rows are dealt evenly to tasks, as each costs ``n`` densities,
+    and done in Arrow batches, equal predictions of a batch once."""
     from tidymesh.transforms.pareto import thin
 
     outs = list(signs)
@@ -581,8 +593,11 @@ def eval_pnd(model: Model, df_train: Any, df_test: Any, signs: dict[str, int], n
         for f in frames:
             x = f[[o + mean_prefix for o in outs]].to_numpy(float)
             sd = floor_sig(f[[o + sd_prefix for o in outs]].to_numpy(float))
-            yield f.assign(pr_scores=approx_pnd(x, np.array([np.diag(s * s) for s in sd]), best, sign, n, seed) if len(f) else [])
+            told, at = np.unique(np.hstack([x, sd]), axis=0, return_inverse=True)
+            cov = np.array([np.diag(s * s) for s in told[:, len(outs) :]])
+            yield f.assign(pr_scores=approx_pnd(told[:, : len(outs)], cov, best, sign, n, seed)[at.ravel()] if len(f) else [])
 
+    pred = pred.repartition(int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = pred.mapInPandas(run, schema)
     return Table(out if append else out.select("pr_scores"))
 
