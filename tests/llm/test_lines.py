@@ -5,6 +5,7 @@ import time
 from collections import Counter, defaultdict
 
 from tests.llm.cases import empty_docs, odd_docs, odd_texts, words
+from tidymesh.llm import line_dedup
 from tidymesh.llm import queries as Q
 from tidymesh.llm.line_dedup import dedup_lines
 
@@ -85,3 +86,15 @@ def test_long_lines_and_field_marks(spark):
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.n_dropped for r in got)[0] == 0 and all(r.text in (rows[r.doc_id][1], "\n".join(brute(rows)[r.doc_id])) for r in got)
     assert time.perf_counter() - began < 120
+
+
+def test_only_constant_tokens_go_on(spark, monkeypatch):
+    """What is shuffled to put templates together has no tokens of fields; the result is that of brute force."""
+    settle, plans = line_dedup.settle, {}
+    monkeypatch.setattr(line_dedup, "settle", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and settle(df, name))
+    rows = [(i, f"take the {words(i, 2)} road to {words(500 + i, 3)} now\nthe same old line ends here {i}") for i in range(30)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "\n".join(x) for i, x in brute(rows).items()}
+    assert "isnotnull(support" in plans["templates"] and "Filter" in plans["templates"]
+    every = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), constant=0.0)
+    assert {r.doc_id: r.text for r in every.collect()} == {i: "\n".join(x) for i, x in brute(rows, constant=0.0).items()}

@@ -13,8 +13,6 @@ from tidymesh.llm.common import attach_groups, let, numbered, renamed, running,
 LEADING = 2
 #: Groups that are broadcast as they are; few, so that small and large inputs go the same way.
 BROADCAST = 1000
-#: Stands for a variable field: no token has a space.
-FIELD = " "
 #: Comparisons of lines with dropped ones that a document's lines are looked up by; beyond, both are sorted.
 COMPARED = 4096
 
@@ -110,14 +108,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = 4, min_tokens: int = 3, constan
     n_kept = kept.count()
 
     unique = settle(kept.groupBy("lid", "leaf", "line").agg(F.count("*").alias("c"), F.first("long").alias("long"), F.first("leaf_again").alias("leaf_again")), "unique")
-    cells = unique.where("leaf_again").select("lid", "c", "leaf", F.posexplode(_tokens(F.col("line"))).alias("i", "token")).withColumn("cell", _key("leaf", "i", "token"))
+    cells = unique.where("leaf_again").withColumn("tokens", _tokens(F.col("line"))).select("lid", "c", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
+    cells = cells.withColumn("cell", _key("leaf", "i", "token"))
     support = settle(cells.groupBy("cell").agg(F.sum("c").alias("support")).where(F.col("support") >= min_docs), "support")
-    met = attach_groups(cells.select("lid", "c", "i", "token", "cell"), support, "cell", "support", n_kept, F.col("lid"), few=BROADCAST)
-    # the tokens of one line, so as many as it has
-    parts = F.array_sort(F.collect_list(F.struct("i", F.when(F.col("support").isNotNull(), F.col("token")).otherwise(F.lit(FIELD)).alias("t"))))
-    fixed = F.count("support")
-    templates = met.groupBy("lid", "c").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("template"), fixed.alias("fixed"), F.count("*").alias("n"))
-    templates = templates.where(F.col("fixed") >= constant * F.col("n")).select("lid", "c", F.md5("template").alias("template"), F.lit(min_docs).alias("least"))
+    met = attach_groups(cells.select("lid", "c", "n", "i", "token", "cell"), support, "cell", "support", n_kept, F.col("lid"), few=BROADCAST)
+    # only the constant tokens of a line go on, with their places: they and its number of tokens make the template
+    known = F.col("support").isNotNull()
+    parts = F.array_sort(F.collect_list(F.when(known, F.struct("i", "token"))))
+    templates = (met.where(known) if constant > 0 else met).groupBy("lid", "c", "n").agg(parts.alias("parts")).where(F.size("parts") >= constant * F.col("n"))
+    spelled = F.array_join(F.transform("parts", lambda p: F.concat_ws(" ", p["i"].cast("string"), p["token"])), "\n")
+    templates = templates.select("lid", "c", F.md5(F.concat_ws("\n", F.col("n").cast("string"), spelled)).alias("template"), F.lit(min_docs).alias("least"))
     literal = unique.where("long AND c >= 2").select("lid", "c", F.concat(F.lit("line "), "lid").alias("template"), F.lit(2).alias("least"))
     # one or two for each line
     templates = templates.unionByName(literal).groupBy("lid", "c").agg(F.collect_list(F.struct("template", "least")).alias("of"))
